@@ -1,10 +1,19 @@
 """Operators for large training-data pipelines, and their registered queries."""
 
-from . import chat, lines, mixing
+from . import chat, leaks, lines, mixing, quality, secrets, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_lines": lines.op3_lines,
+    "op4_tokens": tokens.op4_tokens,
+    "op5_leaks": leaks.op5_leaks,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_quality": quality.op9_quality,
+}
+ORACLE_SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
+    "op3_lines": lines.OP3_SQL,
+    "op5_leaks": leaks.OP5_SQL,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op2_chat": chat.OP2_SQL, "op3_lines": lines.OP3_SQL}
