@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, and their registered queries."""
 
-from . import chat, leaks, lines, mixing, quality, secrets, tokens
+from . import chat, leaks, lines, mixing, neardup, quality, secrets, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_lines": lines.op3_lines,
     "op4_tokens": tokens.op4_tokens,
     "op5_leaks": leaks.op5_leaks,
+    "op6_neardup": neardup.op6_neardup,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
 }
