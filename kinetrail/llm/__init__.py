@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, and their registered queries."""
 
-from . import chat, leaks, lines, mixing, neardup, quality, secrets, tokens
+from . import chat, leaks, licenses, lines, mixing, neardup, quality, secrets, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_neardup": neardup.op6_neardup,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
