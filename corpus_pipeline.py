@@ -1,11 +1,57 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: five stages over documents, each an operator of kinetrail.llm."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinetrail.llm import leaks, lines, mixing, neardup, quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules' weak supervision keeps."""
+    return quality.quality(docs).where("kept").select(*COLUMNS)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many of them share; n_chars follows the text."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.without_copies(docs).select(*COLUMNS)
+
+
+def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents with how often each is taken, those not taken included as copies 0."""
+    return mixing.mix(docs, keep=COLUMNS)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", lines_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", leaks_stage),
+    ("mixing", mix_stage),
+]
+
+#: Expectation-maximisation and minwise signatures are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder before the next."""
+    from kinetrail.llm.common import saved
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
