@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, and their registered queries."""
 
-from . import chat, leaks, licenses, lines, mixing, neardup, quality, secrets, tokens
+from . import chat, leaks, licenses, lines, mixing, neardup, quality, repeats, secrets, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_tokens": tokens.op4_tokens,
     "op5_leaks": leaks.op5_leaks,
     "op6_neardup": neardup.op6_neardup,
+    "op7_repeats": repeats.op7_repeats,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
