@@ -52,6 +52,7 @@ def dedup_lines(
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "last")
     )
+    holders = saved(holders, "lines-holders")
     drops = (
         found.join(holders, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("last")))
