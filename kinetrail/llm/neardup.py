@@ -117,45 +117,21 @@ def _matrix(sigs: pa.Array, count: int) -> np.ndarray:
     return np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, count)
 
 
-class _Verifier:
-    """Turns candidate pairs (a, b) into links, by signatures first and whole texts then."""
+def _links(pairs: DataFrame, known: DataFrame, count: int, percent: int, size: int, miss: float) -> DataFrame:
+    """The linked ones of candidate pairs (a, b), written: signatures first, whole texts of the survivors then."""
 
-    def __init__(self, sigs: DataFrame, texts: DataFrame, count: int, percent: int, size: int, miss: float):
-        self.sigs, self.texts, self.count, self.percent, self.size, self.miss = sigs, texts, count, percent, size, miss
+    @F.arrow_udf(T.BooleanType())
+    def linked(left: pa.Array, right: pa.Array, texts: pa.Array, others: pa.Array) -> pa.Array:
+        out = [False] * len(left)
+        if out:
+            for i in surviving(_matrix(left, count), _matrix(right, count), percent, BATCH, miss).tolist():
+                out[i] = similar(texts[i].as_py(), others[i].as_py(), percent, size)
+        return pa.array(out, pa.bool_())
 
-    def _both(self, pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
-        left = table.select(F.col("id").alias("b"), F.col(what).alias("right"))
-        right = table.select(F.col("id").alias("a"), F.col(what).alias("left"))
-        return pairs.join(left, "b").join(right, "a")
-
-    def prune(self, pairs: DataFrame) -> DataFrame:
-        count, percent, miss = self.count, self.percent, self.miss
-
-        @F.arrow_udf(T.BooleanType())
-        def goes_on(left: pa.Array, right: pa.Array) -> pa.Array:
-            out = np.zeros(len(left), bool)
-            if len(left):
-                out[surviving(_matrix(left, count), _matrix(right, count), percent, BATCH, miss)] = True
-            return pa.array(out)
-
-        return self._both(pairs, self.sigs, "sig").where(goes_on("left", "right")).select("a", "b")
-
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        percent, size = self.percent, self.size
-
-        @F.arrow_udf(T.BooleanType())
-        def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-            return pa.array(
-                [similar(x, y, percent, size) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.bool_()
-            )
-
-        return self._both(pairs, self.texts, "text").where(linked("left", "right")).select("a", "b")
-
-    def links(self, pairs: DataFrame, pruned: bool = False) -> DataFrame:
-        rest = saved(pairs if pruned else self.prune(pairs), "near-rest")
-        out = saved(self.exact(rest), "near-links")
-        discard(rest)
-        return out
+    b = known.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
+    a = known.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
+    both = pairs.join(b, "b").join(a, "a")
+    return saved(both.where(linked("sig_a", "sig_b", "text_a", "text_b")).select("a", "b").distinct(), "near-links")
 
 
 def _across(count: int, percent: int, miss: float):
@@ -194,7 +170,7 @@ def near_groups(
        batches of signature positions, pruned as soon as the posterior probability of reaching the
        threshold falls below `miss`, then the exact sets of whole texts. 4. Links become components.
        Bands that still hold several components get stars around other members of their largest
-       component; what is left after STARS rounds, or a round without new links, is compared
+       component; what is left after STARS rounds, or a round that hardly links any, is compared
        completely, but only across components: blocks of members outside a band's largest component
        with blocks of all its members, in numpy, where just survivors become rows. So a group of n near copies costs
        about n comparisons, and no link between components is lost.
@@ -218,49 +194,50 @@ def near_groups(
     shared = keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("band", "low")
     member = saved(keyed.join(shared, "band").distinct(), "near-members")
     ids = saved(member.select("id").distinct(), "near-ids")
-    sigs = saved(reps.join(ids, "id", "left_semi").select("id", "sig"), "near-sigs")
-    discard(reps)
-    texts = saved(
+    texts = (
         source.where("text IS NOT NULL")
         .join(ids, "id", "left_semi")
         .select("id", F.col("text").cast("binary").alias("text"))
         .withColumn("h", F.xxhash64("text"))
         .dropDuplicates(["id", "h"])
-        .select("id", "text"),
-        "near-texts",
+        .select("id", "text")
     )
-    verify = _Verifier(sigs, texts, count, percent, size, miss)
-    links = verify.links(member.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    last = False
+    known = saved(texts.join(reps.select("id", "sig"), "id"), "near-known")
+    discard(ids, reps)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _links(pairs, known, count, percent, size, miss)
+
+    links = verified(member.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    labels = saved(components(links), "near-labels")
     for star in range(1, STARS + 1):
-        labels = saved(components(links), "near-labels")
         labelled = member.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
         split = (
             labelled.groupBy("band", "comp")
             .agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(star))).alias("pivot"))
             .groupBy("band")
-            .agg(F.max_by(F.struct("comp", "pivot"), F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-            .where("parts > 1")
-            .select("band", "n", F.col("main.comp").alias("main"), F.col("main.pivot").alias("pivot"))
+            .agg(
+                F.max_by(F.struct("comp", "pivot"), F.struct("n", "comp")).alias("main"),
+                F.max("n").alias("most"),
+                F.sum("n").alias("n"),
+            )
+            .where("n > most")
+            .select("band", "n", (F.col("n") - F.col("most")).alias("asking"), F.col("main.comp").alias("main"), F.col("main.pivot").alias("pivot"))
         )
-        split = saved(split, "near-split")
-        if split.isEmpty():
-            last = True
-            break
         open_ = saved(labelled.join(split, "band"), "near-open")
-        pairs = open_.where("comp != main").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        more = verify.links(pairs)
-        if more.isEmpty():
+        pairs = saved(
+            open_.where("comp != main").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(),
+            "near-pairs",
+        )
+        tried, more = pairs.count(), verified(pairs)
+        gained = more.count()
+        if gained:
+            links = links.unionByName(more)
+        if gained * 20 <= tried:  # labels that miss a few links cost some comparisons below, nothing else
             break
-        links = links.unionByName(more)
-    if not last:
         labels = saved(components(links), "near-labels")
-        outside = open_.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        # the largest component may have grown meanwhile; its label then is that of the pivot
-        now = labels.select(F.col("id").alias("pivot"), F.col("comp").alias("now"))
-        outside = saved(outside.join(now, "pivot", "left").withColumn("main", F.coalesce("now", "pivot")).select("band", "n", "id", "comp", "main"), "near-outside")
-        asks = outside.groupBy("band").agg(F.count_if(F.col("comp") != F.col("main")).alias("asking")).where("asking > 0")
-        blocks = outside.join(asks, "band").withColumns(
+    if tried:
+        blocks = open_.withColumns(
             {
                 "of": F.ceil(F.col("n") / BLOCK).cast("int"),
                 "in": F.ceil(F.col("asking") / BLOCK).cast("int"),
@@ -272,14 +249,16 @@ def near_groups(
         cells = blocks.select("band", "id", "comp", F.lit(False).alias("asks"), F.explode(every).alias("cell")).unionByName(
             blocks.where("comp != main").select("band", "id", "comp", F.lit(True).alias("asks"), F.explode(outer).alias("cell"))
         )
+        parts = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         pairs = (
-            cells.join(sigs, "id")
-            .select("band", "cell.x", "cell.y", "id", "comp", "asks", "sig")
+            cells.join(known.select("id", "sig"), "id")
+            .select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks", "sig")
+            .repartition(parts, "band", "x", "y")
             .groupBy("band", "x", "y")
             .applyInPandas(_across(count, percent, miss), "a long, b long")
             .distinct()
         )
-        links = links.unionByName(verify.links(pairs, pruned=True))
+        links = links.unionByName(verified(pairs))
         labels = saved(components(links), "near-labels")
     named = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "d1", "d2", "n", F.coalesce("comp", "rep").alias("comp")
