@@ -23,6 +23,8 @@ BANDS, ROWS = 40, 5
 PERCENT, BATCH, MISS = 75, 40, 1e-6
 #: Rounds of stars before all pairs across components are compared, and rows of a block for that.
 STARS, BLOCK = 4, 512
+#: Pivots of one document in a round of stars.
+PIVOTS = 3
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -166,7 +168,7 @@ def near_groups(
 
     1. One Arrow pass signs whole texts; documents with equal sets form a class, which its
        smallest id stands for from here on. 2. Band keys of the classes are counted, and members of
-       bands with two or more stay. 3. In each band all others are compared with one member (a star):
+       bands with two or more stay. 3. Each is compared with the first members of its bands, PIVOTS at most (stars):
        batches of signature positions, pruned as soon as the posterior probability of reaching the
        threshold falls below `miss`, then the exact sets of whole texts. 4. Links become components.
        Bands that still hold several components get stars around other members of their largest
@@ -208,7 +210,13 @@ def near_groups(
     def verified(pairs: DataFrame) -> DataFrame:
         return _links(pairs, known, count, percent, size, miss)
 
-    links = verified(member.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    def stars(rows: DataFrame, order: Column) -> DataFrame:
+        """(a, b) of each document with its first few pivots: linear in the documents, whatever the bands."""
+        few = F.slice(F.sort_array(F.collect_set(F.struct(order.alias("o"), F.col("pivot")))), 1, PIVOTS)
+        near = rows.groupBy("id").agg(few.alias("p")).select("id", F.explode("p.pivot").alias("pivot"))
+        return near.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+    links = verified(stars(member.where("id != low").withColumnRenamed("low", "pivot"), F.col("pivot")))
     labels = saved(components(links), "near-labels")
     for star in range(1, STARS + 1):
         labelled = member.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
@@ -225,12 +233,10 @@ def near_groups(
             .select("band", "n", (F.col("n") - F.col("most")).alias("asking"), F.col("main.comp").alias("main"), F.col("main.pivot").alias("pivot"))
         )
         open_ = saved(labelled.join(split, "band"), "near-open")
-        pairs = saved(
-            open_.where("comp != main").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(),
-            "near-pairs",
-        )
+        pairs = saved(stars(open_.where("comp != main"), F.xxhash64("pivot", F.lit(star))), "near-pairs")
         tried, more = pairs.count(), verified(pairs)
         gained = more.count()
+        discard(pairs)
         if gained:
             links = links.unionByName(more)
         if gained * 20 <= tried:  # labels that miss a few links cost some comparisons below, nothing else
@@ -260,6 +266,7 @@ def near_groups(
         )
         links = links.unionByName(verified(pairs))
         labels = saved(components(links), "near-labels")
+    discard(known, member, open_)
     named = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "d1", "d2", "n", F.coalesce("comp", "rep").alias("comp")
     )

@@ -129,7 +129,8 @@ def fit_votes(
 def quality(docs: DataFrame, least: float = 0.5, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Features, votes and posterior quality of each document.
 
-    One Arrow pass over whole texts makes the features, written once to the shared folder.
+    One Arrow pass over whole texts makes the features. They are written to the shared folder once,
+    unless `keep` holds the texts: then they are made a second time, which costs less than a copy of the corpus.
     The rules' votes are grouped by pattern; there are at most 3 ** rules patterns,
     whatever the input, and only their counts reach the driver, where the EM runs.
 
@@ -145,11 +146,10 @@ def quality(docs: DataFrame, least: float = 0.5, text_col: str = "text", keep: l
     keep = [c for c in (keep or docs.columns) if c not in made]
     listed = rules()
     code = sum(((v + 1) * 3**i for i, v in enumerate(listed.values())), F.lit(0))
-    table = saved(
-        docs.select(*keep, _features(F.col(text_col).cast("binary")).alias("_kt_f"))
-        .select(*keep, *[F.col(f"_kt_f.{c}").alias(c) for c in FEATURES]),
-        "quality",
-    ).withColumn("_kt_code", code)
+    table = docs.select(*keep, _features(F.col(text_col).cast("binary")).alias("_kt_f")).select(
+        *keep, *[F.col(f"_kt_f.{c}").alias(c) for c in FEATURES]
+    )
+    table = (table if text_col in keep else saved(table, "quality")).withColumn("_kt_code", code)
     seen = {r[0]: r[1] for r in table.groupBy("_kt_code").count().collect()}
     codes = np.arange(3 ** len(listed))
     votes = np.stack([codes // 3**i % 3 - 1 for i in range(len(listed))], axis=1)
