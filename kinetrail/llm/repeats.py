@@ -38,7 +38,7 @@ _VALUES = scramble(np.arange(1, 257, dtype=np.uint64))
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every stretch of `width` bytes."""
     n = len(data)
-    up, down = _powers(1 << max(20, n.bit_length()))
+    up, down = _powers(1 << max(19, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
     return scramble((sums[width:] - sums[:-width]) * down[: n - width + 1])
@@ -116,21 +116,37 @@ def _contexts(length: int, name: int, held, bits: int):
     return run
 
 
+#: Contexts whose windows are hashed at a time.
+SLICE = 1000
+
+
+def _window_keys(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, row and place in the row of every window; a slice's bytes and hashes are gone before the next."""
+    names = rows.column("name").to_numpy().astype(np.int64).view(np.uint64)
+    offsets = rows.column("offset").to_numpy()
+    keys, owners, steps = [], [], []
+    for at in range(0, rows.num_rows, SLICE):
+        raw = rows.column("context").slice(at, SLICE).to_pylist()
+        sizes = np.array([len(x) for x in raw])
+        starts = np.cumsum(sizes) - sizes
+        count = sizes - length + 1
+        owner = np.repeat(np.arange(len(raw)), count)
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        windows = rolling(np.frombuffer(b"".join(raw), np.uint8), length)[starts[owner] + step]
+        owner += at
+        keys.append(scramble(windows ^ scramble(names[owner] + (offsets[owner] - step).astype(np.uint64))))
+        owners.append(owner.astype(np.int32))
+        steps.append(step.astype(np.int32))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(steps)
+
+
 def repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
     """Stretches (id, row, begin, end) that windows found twice cover, of whole groups of one name."""
-    raw = rows.column("context").to_pylist()
-    sizes = np.array([len(x) for x in raw])
-    starts = np.cumsum(sizes) - sizes
-    count = sizes - length + 1
-    owner = np.repeat(np.arange(len(raw)), count)
-    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    windows = rolling(np.frombuffer(b"".join(raw), np.uint8), length)[starts[owner] + step]
-    names = rows.column("name").to_numpy().astype(np.int64).view(np.uint64)
-    offset = rows.column("offset").to_numpy()[owner] - step
-    keys = scramble(windows ^ scramble(names[owner] + offset.astype(np.uint64)))
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    twice = np.zeros(len(keys), bool)
+    keys, owner, step = _window_keys(rows, length)
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    twice = np.zeros(len(order), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     fresh = step == 0
