@@ -15,6 +15,7 @@ WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _local_dir: list[str] = []
+_own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir[0]}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/kinetrail-{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
@@ -41,7 +52,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     size of the files, lets it broadcast the table only if it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kt_path = path
