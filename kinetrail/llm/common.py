@@ -41,7 +41,9 @@ def _own_folder(spark: SparkSession) -> str:
     if path not in _own:
         _own.add(path)
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
     return path
 
 
