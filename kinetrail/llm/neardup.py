@@ -24,7 +24,7 @@ PERCENT, BATCH, MISS = 75, 40, 1e-6
 #: Rounds of stars before all pairs across components are compared, and rows of a block for that.
 STARS, BLOCK = 4, 512
 #: Pivots of one document in a round of stars.
-PIVOTS = 3
+PIVOTS = 12
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -136,19 +136,23 @@ def _links(pairs: DataFrame, known: DataFrame, count: int, percent: int, size: i
     return saved(both.where(linked("sig_a", "sig_b", "text_a", "text_b")).select("a", "b").distinct(), "near-links")
 
 
-def _across(count: int, percent: int, miss: float):
-    """Surviving pairs of a block of outsiders with a block of a band's members."""
+def _across(bands: int, rows: int, percent: int, miss: float):
+    """Surviving pairs of a block of outsiders with a block of a band's members, in their first common band only."""
+    count = bands * rows
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ask, of = rows[rows["asks"]], rows[~rows["asks"]]
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        ask, of = block[block["asks"]], block[~block["asks"]]
         found = []
         if len(ask) and len(of):
             sigs = np.frombuffer(b"".join(of["sig"]), np.uint16).reshape(-1, count)
             ids, comps = of["id"].to_numpy(), of["comp"].to_numpy()
-            for i, comp, sig in zip(ask["id"], ask["comp"], ask["sig"], strict=True):
-                other = np.flatnonzero(comps != comp)
-                mine = np.broadcast_to(np.frombuffer(sig, np.uint16), (len(other), count))
-                found += [(min(i, j), max(i, j)) for j in ids[other][surviving(mine, sigs[other], percent, BATCH, miss)].tolist()]
+            for i, comp, raw in zip(ask["id"], ask["comp"], ask["sig"], strict=True):
+                other, sig = np.flatnonzero(comps != comp), np.frombuffer(raw, np.uint16)
+                alive = other[surviving(np.broadcast_to(sig, (len(other), count)), sigs[other], percent, BATCH, miss)]
+                if len(alive):
+                    here = int(np.flatnonzero(band_keys(sig, bands, rows) == key[0])[0])
+                    first = (sigs[alive] == sig).reshape(-1, bands, rows).all(axis=2).argmax(axis=1)
+                    found += [(min(i, j), max(i, j)) for j in ids[alive[first == here]].tolist()]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return compare
@@ -261,7 +265,7 @@ def near_groups(
             .select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks", "sig")
             .repartition(parts, "band", "x", "y")
             .groupBy("band", "x", "y")
-            .applyInPandas(_across(count, percent, miss), "a long, b long")
+            .applyInPandas(_across(bands, rows, percent, miss), "a long, b long")
             .distinct()
         )
         links = links.unionByName(verified(pairs))
