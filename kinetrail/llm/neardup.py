@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -61,20 +60,34 @@ def surviving(left: np.ndarray, right: np.ndarray, percent: int = PERCENT, batch
     return alive
 
 
-def similar(a: bytes, b: bytes, percent: int, size: int) -> bool:
-    """Whether the whole shingle sets are that similar, by exact sets of word tuples."""
-    x, y = _set(a, size), _set(b, size)
+def shingle_set(text: bytes, size: int) -> frozenset:
+    words = words_of(text)
+    size = min(size, len(words))
+    return frozenset(zip(*(words[k:] for k in range(size)), strict=False)) if words else frozenset()
+
+
+def alike(x: frozenset, y: frozenset, percent: int) -> bool:
+    """Whether two sets have that similarity, in hundredths; an empty one is like nothing."""
     if not x or not y or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     common = len(x & y)
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-@lru_cache(maxsize=64)
-def _set(text: bytes, size: int) -> frozenset:
-    words = words_of(text)
-    size = min(size, len(words))
-    return frozenset(zip(*(words[k:] for k in range(size)), strict=False)) if words else frozenset()
+class _Sets(dict):
+    """Shingle sets of texts; emptied when they hold many shingles."""
+
+    def __init__(self, size: int, bound: int = 300_000):
+        self.size, self.bound, self.held = size, bound, 0
+
+    def __missing__(self, text: bytes) -> frozenset:
+        found = shingle_set(text, self.size)
+        if self.held + len(found) > self.bound:
+            self.clear()
+            self.held = 0
+        self.held += len(found)
+        self[text] = found
+        return found
 
 
 _SIGNED = T.StructType(
@@ -124,10 +137,10 @@ def _links(pairs: DataFrame, known: DataFrame, count: int, percent: int, size: i
 
     @F.arrow_udf(T.BooleanType())
     def linked(left: pa.Array, right: pa.Array, texts: pa.Array, others: pa.Array) -> pa.Array:
-        out = [False] * len(left)
+        out, sets = [False] * len(left), _Sets(size)
         if out:
             for i in surviving(_matrix(left, count), _matrix(right, count), percent, BATCH, miss).tolist():
-                out[i] = similar(texts[i].as_py(), others[i].as_py(), percent, size)
+                out[i] = alike(sets[texts[i].as_py()], sets[others[i].as_py()], percent)
         return pa.array(out, pa.bool_())
 
     b = known.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
@@ -136,23 +149,39 @@ def _links(pairs: DataFrame, known: DataFrame, count: int, percent: int, size: i
     return saved(both.where(linked("sig_a", "sig_b", "text_a", "text_b")).select("a", "b").distinct(), "near-links")
 
 
-def _across(bands: int, rows: int, percent: int, miss: float):
-    """Surviving pairs of a block of outsiders with a block of a band's members, in their first common band only."""
+def _across(bands: int, rows: int, percent: int, size: int, miss: float):
+    """Links between components of a block of outsiders with a block of a band's members.
+
+    A pair is compared in its first common band only: signatures first, then whole texts, likeliest
+    pairs first. Components that a link of this block has joined already need no second one.
+    """
     count = bands * rows
 
     def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         ask, of = block[block["asks"]], block[~block["asks"]]
-        found = []
+        found, joined, sets = [], {}, _Sets(size)
+
+        def find(comp: int) -> int:
+            while comp in joined:
+                comp = joined[comp]
+            return comp
+
         if len(ask) and len(of):
             sigs = np.frombuffer(b"".join(of["sig"]), np.uint16).reshape(-1, count)
-            ids, comps = of["id"].to_numpy(), of["comp"].to_numpy()
-            for i, comp, raw in zip(ask["id"], ask["comp"], ask["sig"], strict=True):
+            ids, comps, texts = of["id"].to_numpy(), of["comp"].to_numpy(), of["text"].to_numpy()
+            for i, comp, raw, text in zip(ask["id"], ask["comp"], ask["sig"], ask["text"], strict=True):
                 other, sig = np.flatnonzero(comps != comp), np.frombuffer(raw, np.uint16)
                 alive = other[surviving(np.broadcast_to(sig, (len(other), count)), sigs[other], percent, BATCH, miss)]
-                if len(alive):
-                    here = int(np.flatnonzero(band_keys(sig, bands, rows) == key[0])[0])
-                    first = (sigs[alive] == sig).reshape(-1, bands, rows).all(axis=2).argmax(axis=1)
-                    found += [(min(i, j), max(i, j)) for j in ids[alive[first == here]].tolist()]
+                if not len(alive):
+                    continue
+                here = int(np.flatnonzero(band_keys(sig, bands, rows) == key[0])[0])
+                same = sigs[alive] == sig
+                first = same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == here
+                for k in alive[first][np.argsort(-same[first].sum(axis=1), kind="stable")].tolist():
+                    a, b = find(comp), find(int(comps[k]))
+                    if a != b and alike(sets[text], sets[texts[k]], percent):
+                        joined[max(a, b)] = min(a, b)
+                        found.append((min(i, int(ids[k])), max(i, int(ids[k]))))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return compare
@@ -178,8 +207,8 @@ def near_groups(
        Bands that still hold several components get stars around other members of their largest
        component; what is left after STARS rounds, or a round that hardly links any, is compared
        completely, but only across components: blocks of members outside a band's largest component
-       with blocks of all its members, in numpy, where just survivors become rows. So a group of n near copies costs
-       about n comparisons, and no link between components is lost.
+       with blocks of all its members, signatures and then whole texts, until a link joins two components; just
+       links become rows. So a group of n near copies costs about n comparisons, and no link between components is lost.
 
     Returns one row per input row: id_col, n_shingles (long, distinct), component_id (long), kept (boolean, id =
     component_id). Null, empty or blank text: 0 shingles, linked with nothing. Rows of equal id are one
@@ -261,14 +290,14 @@ def near_groups(
         )
         parts = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         pairs = (
-            cells.join(known.select("id", "sig"), "id")
-            .select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks", "sig")
+            cells.join(known, "id")
+            .select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks", "sig", "text")
             .repartition(parts, "band", "x", "y")
             .groupBy("band", "x", "y")
-            .applyInPandas(_across(bands, rows, percent, miss), "a long, b long")
+            .applyInPandas(_across(bands, rows, percent, size, miss), "a long, b long")
             .distinct()
         )
-        links = links.unionByName(verified(pairs))
+        links = links.unionByName(saved(pairs, "near-links"))
         labels = saved(components(links), "near-labels")
     discard(known, member, open_)
     named = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
