@@ -69,11 +69,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that long texts don't fill a worker."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch, unless the session asks for fewer.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes that one Arrow batch holds, so that long texts don't fill a worker.
+
+    This is a setting of the session: it also holds for the caller's other Arrow batches, which it can
+    only make smaller. A single longer text is a batch of its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def without(columns: list[str], made: tuple[str, ...]) -> list[str]:
+    """The columns but for those that an operator makes; names differ by more than case, as in Spark."""
+    names = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in names]
 
 
 def ascii_lower(text: Column) -> Column:

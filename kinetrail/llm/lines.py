@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, documents, saved
+from .common import WHITE, ascii_lower, discard, documents, saved, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -27,18 +27,20 @@ def dedup_lines(
     with A-Z lower-cased, held as two 64-bit hashes. A count of rows per first
     hash, combined map-side, leaves the hashes that can reach min_docs; over
     their lines alone distinct documents are counted exactly. Positions to drop
-    go back to their rows, and the other lines are joined again in order.
+    go back to their rows, and the other lines are joined again by position, in time linear in the lines. The drops
+    are a written table: Spark broadcasts it if its files are small, else rows meet them by a sort-merge join.
 
     Returns the input's columns with text_col replaced by the kept text, and n_lines, n_dropped
-    (long; such columns are replaced). Null or empty text: one empty line, kept, and
+    (long; such columns, in either case, are replaced). Null or empty text: one empty line, kept, and
     the text becomes empty. Rows of equal id are one document for the count; null ids
     are one document below all others. Repeated rows get equal results. Empty table: no rows.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = without(docs.columns, ("n_lines", "n_dropped"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     row_hash = F.xxhash64(text)
     keyed = (
-        docs.select(F.col(id_col).alias("id"), row_hash.alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        docs.select(F.col(id_col).alias("id"), row_hash.alias("row"), F.split(text, "\n", -1).alias("lines"))
+        .select("id", "row", F.posexplode("lines").alias("pos", "line"))  # the row's hash above, or it is made for each line
         .withColumn("line", _stripped(F.col("line")))
         .where(F.length("line") >= min_chars)
         .withColumn("line", ascii_lower(F.col("line")))
@@ -61,10 +63,12 @@ def dedup_lines(
         .select(F.col("id").alias("_kt_id"), F.col("row").alias("_kt_row"), "_kt_drop")
     )
     drops = saved(drops, "lines-drops")
+    discard(often, found, holders)
     rows = docs.select(*kept).withColumn("_kt_lines", F.split(text, "\n", -1)).withColumn("_kt_h", row_hash)
-    # a sort-merge join at every size: where the drops just fit a broadcast, the same plan runs on ten times the input
-    joined = rows.join(drops.hint("merge"), (F.col(id_col).eqNullSafe(F.col("_kt_id"))) & (F.col("_kt_h") == F.col("_kt_row")), "left")
-    left = F.array_join(F.filter("_kt_lines", lambda x, i: ~F.array_contains("_kt_drop", i)), "\n")
+    joined = rows.join(drops, (F.col(id_col).eqNullSafe(F.col("_kt_id"))) & (F.col("_kt_h") == F.col("_kt_row")), "left")
+    # the positions that stay, by hash set; looking each position up in the array of drops would be quadratic
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_kt_lines") - 1), F.col("_kt_drop"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_kt_lines"), i)), "\n")
     return joined.select(
         *[F.when(F.col("_kt_drop").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(c) for c in kept],
         F.size("_kt_lines").cast("long").alias("n_lines"),
