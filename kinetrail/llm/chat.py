@@ -40,14 +40,27 @@ def text_parts(text: Column) -> Column:
     )
 
 
+#: While parts are joined, a control character opens a mark: a for itself in texts, b and c for a placeholder's ends.
+_MARK = "\x01"
+
+
 def _visit(part: Column) -> Column:
-    """One part as formatted text: its escaped text, or its kind's placeholder."""
+    """One part on its way into the body: its text, or its kind's placeholder, both in marks."""
     known = part["kind"].isin(*EXPANDED)
-    return F.when(part["kind"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), F.when(known, part["kind"]).otherwise("file"), F.lit("|>"))
+    text = F.replace(F.coalesce(part["text"], F.lit("")), F.lit(_MARK), F.lit(_MARK + "a"))
+    return F.when(part["kind"] == "text", text).otherwise(
+        F.concat(F.lit(_MARK + "b"), F.when(known, part["kind"]).otherwise("file"), F.lit(_MARK + "c"))
     )
 
 
+def _body(parts: Column) -> Column:
+    """All parts of a turn: texts that touch are escaped as one, so that no control string arises between them."""
+    out = escape(F.array_join(F.transform(parts, _visit), ""))
+    for mark, meant in (("b", "<|"), ("c", "|>"), ("a", _MARK)):
+        out = F.replace(out, F.lit(_MARK + mark), F.lit(meant))
+    return out
+
+
 def _attachment(part: Column) -> Column:
     default = F.lit(0).cast("long")
     for kind, n in EXPANDED.items():
@@ -69,29 +82,29 @@ def format_chat(
     """One formatted text per conversation, with its loss mask and attachments.
 
     `parts_col` is an array of struct<kind, text, ref, tokens>. Text parts are
-    escaped, other parts become ordered placeholders `<|kind|>` (`<|file|>` for
-    unknown kinds). A turn is `<s>role\\nbody</s>`; control strings inside texts and
+    escaped, neighbours as one text, and other parts become ordered placeholders `<|kind|>` (`<|file|>` for
+    unknown or null kinds). A turn is `<s>role\\nbody</s>`; control strings inside texts and
     roles are escaped reversibly (see read_turns). Message offsets come from a
     running sum per conversation, so nothing is quadratic in the turns; a
     conversation's own text is the one thing that meets in a row.
 
     Returns id_col, n_turns (long), formatted (string), loss_spans (array of
     start, end in code points, end exclusive), attachments (array of turn, part,
-    kind, ref, tokens in order), expanded_tokens (long). Null parts or texts are empty, a
-    null role is an empty one, null turns come first, ties go by role and parts,
+    kind, ref, tokens in order), expanded_tokens (long). A null list of parts or a null text is empty, a null
+    part in a list doesn't count, a null role is an empty one, null turns come first, ties go by role and parts,
     repeated rows are turns of their own, and null ids form one conversation. Empty
     table: no rows. Other columns are ignored.
     """
     rows = messages.select(
         F.col(id_col).alias("_kt_id"), F.col(turn_col).alias("_kt_turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("_kt_role"),
-        F.coalesce(F.col(parts_col), F.array().cast(messages.schema[parts_col].dataType)).alias("_kt_parts"),
+        F.filter(F.coalesce(F.col(parts_col), F.array().cast(messages.schema[parts_col].dataType)), lambda p: p.isNotNull()).alias("_kt_parts"),
     )
     order = Window.partitionBy("_kt_id").orderBy("_kt_turn", "_kt_role", "_kt_parts")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     turns = (
         rows.withColumn("_kt_head", F.concat(F.lit("<s>"), escape_role(F.col("_kt_role")), F.lit("\n")))
-        .withColumn("_kt_body", F.array_join(F.transform("_kt_parts", _visit), ""))
+        .withColumn("_kt_body", _body(F.col("_kt_parts")))
         .withColumn("_kt_out", F.concat("_kt_head", "_kt_body", F.lit("</s>")))
         .withColumn("_kt_n", F.row_number().over(order))
         .withColumn("_kt_start", F.coalesce(F.sum(F.length("_kt_out")).over(before), F.lit(0)) + F.length("_kt_head"))
@@ -104,7 +117,7 @@ def format_chat(
                         F.col("_kt_n").alias("turn"), (i + 1).alias("part"), _attachment(p).alias("what")
                     ),
                 ),
-                lambda x: x["what"]["kind"] != "text",
+                lambda x: ~x["what"]["kind"].eqNullSafe(F.lit("text")),
             ),
         )
     )
