@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, saved, small_batches
+from .common import discard, documents, saved, small_batches, without
 
 #: Runs of digits, lower-cased letters and anything beyond ASCII, over UTF-8 bytes.
 NORMAL = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Windows that one broadcast holds at most; a larger benchmark is scanned for in several passes.
+#: Entries that one broadcast holds at most: pairs of item and window, or windows of a benchmark that has more pairs.
 BROADCAST = 1_000_000
 
 
@@ -29,9 +29,9 @@ def item_windows(words: list[bytes], size: int = WINDOW) -> set[bytes]:
 
 
 class Grams:
-    """A hash set of windows, with the words that open and close one as quick tests."""
+    """A hash set of windows and what each stands for, with the words that open and close one as quick tests."""
 
-    def __init__(self, windows: dict[bytes, list[str]]):
+    def __init__(self, windows: dict[bytes, list]):
         self.windows = windows
         self.by_size: dict[int, tuple[frozenset, frozenset]] = {}
         split = [w.split(b" ") for w in windows]
@@ -39,8 +39,8 @@ class Grams:
             same = [w for w in split if len(w) == n]
             self.by_size[n] = frozenset(w[0] for w in same), frozenset(w[-1] for w in same)
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """Number of words, merged runs of hit words (end exclusive), items hit."""
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
+        """Number of words, merged runs of hit words (end exclusive), what the windows found stand for."""
         words = words_of(text)
         found, items = [], set()
         for n, (opens, closes) in self.by_size.items():
@@ -57,31 +57,30 @@ class Grams:
         return len(words), runs, items
 
 
-_RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-HITS = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("runs", T.ArrayType(_RUN)),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-_HITS = pa.struct(
-    [("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
-)
+_RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_RUNS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan_column(text: Column, grams) -> Column:
-    @F.arrow_udf(HITS)
+def _scan_column(text: Column, grams, of: T.DataType, arrow: pa.DataType) -> Column:
+    """(n_words, runs, found) of each text; `found` is a sorted array of what its windows stand for."""
+    made = pa.struct([("n_words", pa.int64()), ("runs", _RUNS_ARROW), ("found", pa.list_(arrow))])
+
+    @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", _RUNS), T.StructField("found", T.ArrayType(of))]))
     def scan(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            n, runs, items = grams.value.scan(t or b"")
-            out.append({"n_words": n, "runs": [{"start": a, "end": b} for a, b in runs], "items": sorted(items)})
-        return pa.array(out, _HITS)
+            n, runs, found = grams.value.scan(t or b"")
+            out.append({"n_words": n, "runs": [{"start": a, "end": b} for a, b in runs], "found": sorted(found)})
+        return pa.array(out, made)
 
     return scan(text.cast("binary"))
 
 
+@F.arrow_udf(T.LongType())
+def _n_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words_of(t or b"")) for t in texts.to_pylist()], pa.int64())
+
+
 def _item_rows(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +109,62 @@ def _without(text: Column, runs: Column) -> Column:
     return cut(text.cast("binary"), runs)
 
 
+@F.arrow_udf(_RUNS)
+def _merged(runs: pa.Array) -> pa.Array:
+    """Sorted runs with overlapping and touching ones made one."""
+    out = []
+    for row in runs.to_pylist():
+        one: list[dict] = []
+        for r in row or ():
+            if one and r["start"] <= one[-1]["end"]:
+                one[-1]["end"] = max(one[-1]["end"], r["end"])
+            else:
+                one.append(dict(r))
+        out.append(one)
+    return pa.array(out, _RUNS_ARROW)
+
+
+def _broadcast(spark: SparkSession, rows: list) -> object:
+    part: dict[bytes, list] = {}
+    for meant, gram in rows:
+        part.setdefault(bytes(gram), []).append(meant)
+    return spark.sparkContext.broadcast(Grams(part))
+
+
+def _hit_texts(texts: DataFrame, pairs: DataFrame, bound: int) -> DataFrame:
+    """(h1, h2, runs, items) of the texts (h1, h2, text) with a window of (item, gram), however many of these there are.
+
+    Windows are numbered and dealt by hash into slices of about `bound`; each slice is broadcast for a pass
+    that writes only its hits. Items come in at the end, by a join on the window's number.
+    """
+    spark = texts.sparkSession
+    windows = saved(pairs.select("gram").distinct().withColumn("id", F.monotonically_increasing_id()), "benchmark-grams")
+    slices = max(1, -(-windows.count() // bound))
+    passes = []
+    for k in range(slices):
+        held = _broadcast(spark, windows.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k).select("id", "gram").collect())
+        found = texts.select("h1", "h2", _scan_column(F.col("text"), held, T.LongType(), pa.int64()).alias("s"))
+        hit = found.where(F.size("s.found") > 0).select("h1", "h2", "s.runs", "s.found")
+        passes.append(saved(hit.dropDuplicates(["h1", "h2"]), "leaks"))
+        held.unpersist()
+    hits = passes[0]
+    for more in passes[1:]:
+        hits = hits.unionByName(more)
+    # texts with the same windows have the same items: each such set of windows meets the items once
+    sets = saved(
+        hits.groupBy("h1", "h2")
+        .agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"), F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+        .withColumns({"s1": F.xxhash64("found"), "s2": F.xxhash64(F.lit(1), "found")}),
+        "leaks-sets",
+    )
+    of = sets.select("s1", "s2", "found").dropDuplicates(["s1", "s2"]).select("s1", "s2", F.explode("found").alias("id"))
+    named = pairs.join(windows, "gram").select("id", "item")
+    items = of.join(named, "id").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = saved(sets.join(items, ["s1", "s2"]).select("h1", "h2", "runs", "items"), "leaks-items")
+    discard(windows, sets, *passes)
+    return out
+
+
 def scan_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -121,52 +176,48 @@ def scan_leaks(
 ) -> DataFrame:
     """Which words of each document stand in windows of benchmark items.
 
-    The benchmark's windows (size consecutive words, or all of a shorter item's) are counted
+    The benchmark's pairs of item and window (size consecutive words, or all of a shorter item's) are counted
     first. Up to `bound` of them are broadcast as a hash set, and one Arrow pass over the documents
-    looks at every window. More are dealt by hash into slices of about `bound`, each
-    broadcast for a pass of its own, whose hits are written before the next.
+    looks at every window. Of more, the distinct windows alone are broadcast, in slices of about `bound` for a pass each over
+    the texts, which stay where they are; only hits are written, and their items and rows come in by joins.
 
     Returns the columns `keep` (default: all) and n_words, n_hit (long), hit_runs (array of
-    start, end in words), items (array<string>, sorted); such columns are replaced. Null or
+    start, end in words), items (array<string>, sorted); such columns, in either case, are replaced. Null or
     empty text: no words, no hits. Null or wordless items have no windows; a null item id reads "null";
     repeated items count once. Empty documents or benchmark: no rows, or no hits.
     """
     spark = docs.sparkSession
     small_batches(spark)
     made = ("n_words", "n_hit", "hit_runs", "items")
-    keep = [c for c in (keep or docs.columns) if c not in made]
+    keep = without(keep or docs.columns, made)
     named = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("binary").alias("text")
     )
-    grams = saved(named.mapInArrow(_item_rows(size), "item string, gram binary").distinct(), "benchmark-windows")
-    slices = max(1, -(-grams.count() // bound))
+    pairs = saved(named.mapInArrow(_item_rows(size), "item string, gram binary").distinct(), "benchmark-windows")
     rows = docs.select(*keep, F.col(text_col).alias("_kt_text"))
-    runs, items = [], []
-    for k in range(slices):
-        part: dict[bytes, list[str]] = {}
-        for item, gram in grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k).collect():
-            part.setdefault(bytes(gram), []).append(item)
-        held = spark.sparkContext.broadcast(Grams(part))
-        rows = rows.withColumn(f"_kt_{k}", _scan_column(F.col("_kt_text"), held))
-        if slices > 1:
-            rows = saved(rows, "leaks")
-        runs.append(F.col(f"_kt_{k}.runs"))
-        items.append(F.col(f"_kt_{k}.items"))
-    merged = F.sort_array(F.flatten(F.array(*runs))) if slices > 1 else runs[0]
-    hit = F.aggregate(
-        merged,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at")),
-        lambda s, r: F.struct(
-            (s["n"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(s["at"], r["start"]))).alias("n"),
-            F.greatest(s["at"], r["end"]).alias("at"),
-        ),
-    )["n"]
-    return rows.select(
-        *[F.col("_kt_text").alias(c) if c == text_col else F.col(c) for c in keep],
-        F.col("_kt_0.n_words").alias("n_words"),
-        hit.alias("n_hit"),
-        merged.alias("hit_runs"),
-        (F.array_sort(F.array_distinct(F.flatten(F.array(*items)))) if slices > 1 else items[0]).alias("items"),
+    if pairs.count() <= bound:
+        held = _broadcast(spark, pairs.collect())
+        rows = rows.withColumn("_kt_s", _scan_column(F.col("_kt_text"), held, T.StringType(), pa.string()))
+        words, runs, items = F.col("_kt_s.n_words"), F.col("_kt_s.runs"), F.col("_kt_s.found")
+    else:
+        keys = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+        texts = docs.where(F.col(text_col) != "").select(F.col(text_col).alias("text")).withColumns(keys)
+        found = _hit_texts(texts, pairs, bound).select(*[F.col(c).alias(f"_kt_{c}") for c in ("h1", "h2", "runs", "items")])
+        both = (F.xxhash64("_kt_text") == F.col("_kt_h1")) & (F.xxhash64(F.lit(1), "_kt_text") == F.col("_kt_h2"))
+        rows = rows.join(found, both, "left")
+        words = _n_words(F.col("_kt_text").cast("binary"))
+        runs = _merged(F.col("_kt_runs"))
+        items = F.coalesce("_kt_items", F.array().cast("array<string>"))
+    n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return (
+        rows.select(
+            *[F.col("_kt_text").alias(c) if c == text_col else F.col(c) for c in keep],
+            words.alias("n_words"),
+            runs.alias("hit_runs"),
+            items.alias("items"),
+        )
+        .withColumn("n_hit", n_hit)
+        .select(*keep, *made)
     )
 
 
@@ -174,35 +225,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """Remove leaked documents ("document") or just their hit runs of words ("span").
 
     Rows and columns are as in scan_leaks; a cut text loses the characters
-    from a run's first to its last word. Overlapping runs of several slices are cut once.
+    from a run's first to its last word.
     """
     found = scan_leaks(docs, benchmark, text_col=text_col, **options)
     if mode == "document":
         return found.where(F.col("n_hit") == 0)
-    cut = F.when(F.col("n_hit") > 0, _without(F.col(text_col), merge_runs(F.col("hit_runs")))).otherwise(F.col(text_col))
+    cut = F.when(F.col("n_hit") > 0, _without(F.col(text_col), F.col("hit_runs"))).otherwise(F.col(text_col))
     return found.withColumn(text_col, cut)
 
 
-def merge_runs(runs: Column) -> Column:
-    """Sorted runs with overlapping ones made one."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return F.aggregate(
-        runs,
-        empty,
-        lambda out, r: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["end"] >= r["start"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.size(out) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], r["end"]).alias("end")
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(out, F.array(r))),
-    )
-
-
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What benchmark windows each document holds."""
     found = scan_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
