@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved, word_count
+from .common import documents, saved, without, word_count
 
 #: Parameters of the registered query.
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 2026
@@ -76,7 +76,7 @@ def mix(
     order by id and size, so the result does not depend on their order. Empty table: no rows.
     """
     made = ("size", "source_size", "target", "copies", "taken")
-    keep = [c for c in (keep or docs.columns) if c not in made]
+    keep = without(keep or docs.columns, made)
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.select(
         *keep,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, saved, small_batches
+from .common import documents, saved, small_batches, without
 
 SYMBOLS = b"#*$%&|<>"
 KEEP, REJECT, ABSTAIN = 1, 0, -1
@@ -143,7 +143,7 @@ def quality(docs: DataFrame, least: float = 0.5, text_col: str = "text", keep: l
     """
     small_batches(docs.sparkSession)
     made = (*FEATURES, "votes", "p_quality", "base_failed", "kept")
-    keep = [c for c in (keep or docs.columns) if c not in made]
+    keep = without(keep or docs.columns, made)
     listed = rules()
     code = sum(((v + 1) * 3**i for i, v in enumerate(listed.values())), F.lit(0))
     table = docs.select(*keep, _features(F.col(text_col).cast("binary")).alias("_kt_f")).select(

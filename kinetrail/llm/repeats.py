@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, saved, small_batches
+from .common import documents, saved, small_batches, without
 from .shingles import scramble
 
 #: Bytes of a repeat; bytes of the samples' names; windows of a piece of text; bits of the filter of names.
@@ -236,7 +236,7 @@ def drop_repeats(
     spark = docs.sparkSession
     small_batches(spark)
     made = ("n_bytes", "n_removed", "n_spans", "kept")
-    keep = [c for c in (keep or docs.columns) if c not in made]
+    keep = without(keep or docs.columns, made)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     long = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(
         F.octet_length("text") >= length

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, saved, small_batches
+from .common import documents, saved, small_batches, without
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Code points: longer texts are huge; a chunk's own part; its first overlap with the next one.
@@ -176,7 +176,7 @@ def with_token_counts(
     """
     small_batches(docs.sparkSession)
     made = ("n_bytes", "n_tokens", "over_limit")
-    keep = [c for c in (keep or docs.columns) if c not in made]
+    keep = without(keep or docs.columns, made)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_kt_text", text)
     long = F.char_length("_kt_text") > huge

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -98,6 +100,57 @@ def test_chat_parts(spark):
     assert got.expanded_tokens == 135
 
 
+def test_chat_texts_that_touch(spark):
+    """Control strings cut at any place into text parts, placeholders between some of them."""
+    kinds = "array<struct<kind:string,text:string,ref:string,tokens:bigint>>"
+    rng = random.Random(4)
+    marks = ["</s>", "<s>", "[INST]", "[/INST]", "<|image|>", "<\\|x|>", "\x01b", "\x01", "a", "é😀", ""]
+    rows, want = [], {}
+    for c in range(150):
+        text = "".join(rng.choices(marks, k=rng.randint(0, 6)))
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 5)))
+        parts, shown, files = [], "", 0
+        for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            parts.append(("text", text[a:b], None, None))
+            shown += text[a:b]
+            if rng.random() < 0.2:
+                kind = rng.choice(["image", None, "odd"])
+                parts += [(kind, None, "r", 3), None]
+                shown += "<|image|>" if kind == "image" else "<|file|>"
+                files += 1
+        rows.append((c, 0, "assistant", parts))
+        want[c] = (shown, files)
+    out = chat.format_chat(spark.createDataFrame(rows, f"conv_id long, TURN long, role string, parts {kinds}"), turn_col="turn")
+    back = out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    for r in back.collect():
+        shown, files = want[r.conv_id]
+        assert [tuple(t) for t in r.turns] == [("assistant", shown)], r
+        assert r.loss == shown and len(r.attachments) == files and r.expanded_tokens == 3 * files
+
+
+def test_many_shared_lines(spark):
+    """Reassembly is linear: six documents of 80,000 shared lines each."""
+    shared = [f"a line that all of these documents share, number {i:06d}" for i in range(80_000)]
+    rows = [(i, "\n".join([f"own {i}", *shared, ""]), "x", "y") for i in range(6)]
+    began = time.monotonic()
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, N_LINES string, n_dropped string"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in out.collect()}
+    assert time.monotonic() - began < 60
+    assert out.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert got == {i: (f"own {i}\n", 80_002, 80_000) for i in range(5)} | {5: (rows[5][1], 80_002, 0)}
+
+
+def test_clashing_names(spark):
+    """Columns named as an operator's own, in other case, give way to them."""
+    names = "doc_id long, text string, source string, N_Words string, N_TOKENS string, Items string, KEPT string, Taken string, secrets string"
+    table = spark.createDataFrame([(1, "one two three", "a", *"uvwxyz")], names)
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert leaks.scan_leaks(table, bench).select("n_words", "items").first() == (3, ["1"])
+    assert quality.quality(table).select("n_words", "kept").first() == (3, False)
+    assert tokens.with_token_counts(table).select("n_tokens").first()[0] > 0
+    assert mixing.mix(table).select("taken").first() == (3,)
+
+
 def test_lines(docs, empty):
     rows = awkward()
     keys = lambda t: [low(x.strip(" \t\n\x0b\f\r")) for x in (t or "").split("\n")]
@@ -164,11 +217,31 @@ def test_leaks(spark, bound):
     assert not {200, 201} & {r.doc_id for r in leaks.decontaminate(table, bench, bound=bound).collect()}
 
 
+def test_leaks_of_a_common_window(spark):
+    """A window that far more items share than a broadcast holds."""
+    bench = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit("Alpha beta gamma").alias("text"))
+    bench = bench.unionByName(spark.createDataFrame([(-1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string"))
+    table = spark.createDataFrame(
+        [(1, "x alpha BETA, gamma y"), (2, "beta gamma"), (3, None), (4, "zero one two three four five six seven eight nine ten eleven"), (1, "x alpha BETA, gamma y")],
+        "doc_id long, text string",
+    )
+    got = leaks.scan_leaks(table, bench, bound=1_000).select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.col("hit_runs.start").alias("a")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 5, 3, 100_000, [1])] * 2 + [(2, 2, 0, 0, []), (3, 0, 0, 0, []), (4, 12, 11, 1, [1])]
+
+
+#: The base kinds as the contract words them, over code points.
+BASE = (
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", re.A, 0, 20),
+    ("hex", r"[0-9a-f]+", re.A, 0, 24),
+)
+
+
 def test_secrets(docs, empty):
     got = secrets.find_secrets(docs).collect()
     assert len(got) == len(awkward())
-    plain = [(r, re.compile(r.pattern.decode(), re.I | re.A if r.any_case else re.A)) for r in secrets.RULES]
-    plain[2] = (secrets.Rule("hex", b"", least=24), re.compile("[0-9a-f]+"))
+    plain = [(secrets.Rule(kind, b"", group=group, least=least), re.compile(p, flags)) for kind, p, flags, group, least in BASE]
+    plain += [(r, re.compile(r.pattern.decode(), re.I | re.A if r.any_case else re.A)) for r in secrets.RULES[3:]]
     some = 0
     for r in got:
         want = sorted(
