@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, saved, small_batches, without
+from .common import discard, documents, saved, small_batches, without
 from .shingles import scramble
 
 #: Bytes of a repeat; bytes of the samples' names; windows of a piece of text; bits of the filter of names.
 LENGTH, NAME, PIECE, BITS = 200, 100, 1 << 18, 24
+#: Samples of one name that one task compares; the windows around a name with more are dealt by themselves.
+HOT = 10_000
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -87,11 +91,13 @@ _CONTEXT = pa.schema(
 )
 
 
-def _contexts(length: int, name: int, held, bits: int):
-    """For each sample whose name may repeat: where its windows start, and the bytes they cover."""
+def _contexts(length: int, name: int, held, bits: int, without=None):
+    """For each sample whose name is in a filter, and not in another: where its windows start, and the bytes they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
+        if without is not None:
+            often &= ~np.unpackbits(np.frombuffer(without.value, np.uint8), bitorder="little") & 1
         for batch in batches:
             ids, hashes, texts = (batch.column(k) for k in range(3))
             for i, text in enumerate(texts.to_pylist()):
@@ -140,15 +146,42 @@ def _window_keys(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(steps)
 
 
+def _same_bytes(raw: list[bytes], owner: np.ndarray, step: np.ndarray, former: np.ndarray, later: np.ndarray, length: int) -> bool:
+    """Whether the windows of equal keys, former[i] and later[i], are equal bytes; windows in a row are compared at once."""
+    if not len(later):
+        return True
+    by = np.argsort(later)
+    former, later = former[by], later[by]
+    breaks = (np.diff(later) != 1) | (np.diff(former) != 1) | (np.diff(owner[later]) != 0) | (np.diff(owner[former]) != 0)
+    first = np.flatnonzero(np.concatenate([[True], breaks]))
+    last = np.concatenate([first[1:] - 1, [len(later) - 1]])
+    size = (step[later[last]] - step[later[first]] + length).tolist()
+    one, other = later[first], former[first]
+    return all(
+        raw[i][a : a + n] == raw[j][b : b + n]
+        for i, a, j, b, n in zip(owner[one].tolist(), step[one].tolist(), owner[other].tolist(), step[other].tolist(), size, strict=True)
+    )
+
+
 def repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
-    """Stretches (id, row, begin, end) that windows found twice cover, of whole groups of one name."""
+    """Stretches (id, row, begin, end) that windows found twice cover, of whole groups of one name.
+
+    Windows are sorted by a 64-bit key, and neighbours of equal keys compared byte by byte; should any differ, all
+    of these rows' windows are counted as bytes.
+    """
     keys, owner, step = _window_keys(rows, length)
-    order = np.argsort(keys)
-    keys = keys[order]
-    same = keys[1:] == keys[:-1]
-    twice = np.zeros(len(order), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    former, later = order[same], order[same + 1]
+    raw = rows.column("context").to_pylist()
+    if _same_bytes(raw, owner, step, former, later, length):
+        twice = np.zeros(len(order), bool)
+        twice[former] = True
+        twice[later] = True
+    else:
+        windows = [raw[i][a : a + length] for i, a in zip(owner.tolist(), step.tolist(), strict=True)]
+        seen = Counter(windows)
+        twice = np.array([seen[w] > 1 for w in windows])
     fresh = step == 0
     begin = np.flatnonzero(twice & (fresh | ~np.concatenate([[False], twice[:-1]])))
     end = np.flatnonzero(twice & (np.concatenate([fresh[1:], [True]]) | ~np.concatenate([twice[1:], [False]])))
@@ -165,6 +198,66 @@ def repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
     )
 
 
+def _windows(length: int):
+    """Each window of contexts (c1, c2, n, context): its context, place in it, and 128 bits of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                raw = part.column(3).to_pylist()
+                sizes = np.array([len(x) for x in raw])
+                starts, count = np.cumsum(sizes) - sizes, sizes - length + 1
+                owner = np.repeat(np.arange(len(raw)), count)
+                step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                digests = [xxhash.xxh3_128_digest(raw[i][a : a + length]) for i, a in zip(owner.tolist(), step.tolist(), strict=True)]
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pc.take(part.column(k), take) for k in range(3)), pa.array(step), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                    ["c1", "c2", "n", "step", "w1", "w2"],
+                )
+
+    return run
+
+
+def _hot_stretches(hot: DataFrame, length: int) -> DataFrame:
+    """(id, row, begin, end) of the repeated stretches around hot names, without a task that holds all of a name.
+
+    Equal contexts become one with a count, combined map-side; the windows of the distinct ones are counted by their bytes'
+    128-bit hash, combined map-side too, and those found twice go back to their contexts (a hundred windows at
+    most) and these to their places by joins that AQE can split.
+    """
+    keys = ["c1", "c2"]
+    placed = saved(
+        hot.withColumns({"c1": F.xxhash64("context"), "c2": F.xxhash64(F.lit(1), "context")}), "repeats-hot"
+    )
+    distinct = saved(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.first("context").alias("context")), "repeats-distinct")
+    windows = distinct.mapInArrow(_windows(length), "c1 long, c2 long, n long, step long, w1 long, w2 long")
+    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+    hits = windows.join(again, ["w1", "w2"]).groupBy(*keys).agg(F.sort_array(F.collect_set("step")).alias("steps"))
+    runs = saved(hits.select(*keys, _stretches(F.col("steps"), F.lit(length)).alias("runs")), "repeats-runs")
+    back = placed.select(*keys, "id", "row", "start").join(runs, keys).select("id", "row", "start", F.explode("runs").alias("r"))
+    out = saved(back.select("id", "row", (F.col("start") + F.col("r.a")).alias("begin"), (F.col("start") + F.col("r.b")).alias("end")), "repeats-found")
+    discard(placed, distinct, runs)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
+def _stretches(steps: pa.Array, length: pa.Array) -> pa.Array:
+    """What windows at these places cover: first and last byte of each stretch of neighbours."""
+    out = []
+    for row, n in zip(steps.to_pylist(), length.to_pylist(), strict=True):
+        one: list[dict] = []
+        for a in row:
+            if one and a == one[-1]["b"] - n + 1:
+                one[-1]["b"] = a + n
+            else:
+                one.append({"a": a, "b": a + n})
+        out.append(one)
+    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+
 def _compare(length: int, least: int = 3000):
     """Works through groups sorted by name, several whole ones at a time."""
 
@@ -211,11 +304,27 @@ def _cut(text: Column, runs: Column) -> Column:
     return cut(text, runs)
 
 
+def _filter(names: DataFrame, bits: int):
+    """A broadcast filter of 2**bits bits, whatever the input: a name's low bits are set. A full one lets all pass."""
+    bit = F.col("name").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's bitmaps count from 1
+    filled = (
+        names.select(bit.alias("bit"))
+        .groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap"))
+        .collect()
+    )
+    out = bytearray(max(4096, (1 << bits) // 8))
+    for bucket, bitmap in filled:
+        out[(bucket - 1) * 4096 : bucket * 4096] = bytes(bitmap)
+    return names.sparkSession.sparkContext.broadcast(bytes(out))
+
+
 def drop_repeats(
     docs: DataFrame,
     length: int = LENGTH,
     name: int = NAME,
     bits: int = BITS,
+    most: int = HOT,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: list[str] | None = None,
@@ -224,13 +333,14 @@ def drop_repeats(
 
     Suffixes of all texts are sampled at content-defined positions that cover every window of `length` bytes,
     and named by a hash of the `name` bytes that stand there. Names are counted over all
-    samples; those found twice set bits in a filter of 2**bits bits, whatever the input (a full filter
-    lets all pass and costs time, not results). What passes is dealt by name, and each window is placed
-    by its sample's name and its offset from it, so that equal windows meet; sorting them and comparing neighbours
-    tells which occur twice. Their stretches go back to their texts. Windows never cross documents.
+    samples; those found twice set bits in a filter of fixed size. What passes is dealt by name, and each window is placed
+    by its sample's name and its offset from it, so that equal windows meet; sorting them and comparing neighbours, by key and then by bytes,
+    tells which occur twice. A name with over `most` samples is hot: there equal surroundings are counted first, then
+    the windows of distinct ones by 128-bit hashes, so that no task holds all of a name. Their stretches go back to
+    their texts. Windows never cross documents.
 
     Returns the columns `keep` (default: all) and n_bytes, n_removed, n_spans (long; maximal removed runs), kept (binary: the
-    rest may end within a character); such columns are replaced. Null or empty text: 0 bytes, empty rest. Repeated
+    rest may end within a character); such columns, in either case, are replaced. Null or empty text: 0 bytes, empty rest. Repeated
     rows are documents that repeat each other. Empty table: no rows. Ids must be long; null ids are allowed.
     """
     spark = docs.sparkSession
@@ -242,23 +352,19 @@ def drop_repeats(
         F.octet_length("text") >= length
     )
     names = long.select("text").mapInArrow(_names(length, name), "name long")
-    bit = F.col("name").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's bitmaps count from 1
-    twice = names.groupBy("name").count().where("count > 1").select(bit.alias("bit"))
-    filled = (
-        twice.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap"))
-        .collect()
-    )
-    often = bytearray(max(4096, (1 << bits) // 8))
-    for bucket, bitmap in filled:
-        often[(bucket - 1) * 4096 : bucket * 4096] = bytes(bitmap)
-    held = spark.sparkContext.broadcast(bytes(often))
+    twice = saved(names.groupBy("name").count().where("count > 1"), "repeats-names")
+    crowded = twice.where(F.col("count") > most)
+    often, hot = _filter(twice, bits), None if crowded.isEmpty() else _filter(crowded, bits)
+    context = "name long, id long, row long, start long, offset long, context binary"
     found = (
-        long.mapInArrow(_contexts(length, name, held, bits), "name long, id long, row long, start long, offset long, context binary")
+        long.mapInArrow(_contexts(length, name, often, bits, hot), context)
         .repartition("name")
         .sortWithinPartitions("name")
         .mapInArrow(_compare(length), "id long, row long, begin long, end long")
     )
+    if hot is not None:
+        found = found.unionByName(_hot_stretches(long.mapInArrow(_contexts(length, name, hot, bits), context), length))
+    discard(twice)
     runs = saved(
         found.groupBy("id", "row").agg(F.collect_set(F.struct("begin", "end")).alias("_kt_runs")).select(
             F.col("id").alias("_kt_id"), F.col("row").alias("_kt_row"), "_kt_runs"

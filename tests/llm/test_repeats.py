@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from kinetrail.llm import repeats
 
@@ -27,8 +28,10 @@ def result(df):
     return Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in df.collect())
 
 
-@pytest.mark.parametrize(("length", "name", "piece"), [(200, 100, 1 << 18), (60, 30, 1 << 18), (60, 20, 97)])
-def test_awkward(spark, monkeypatch, length, name, piece):
+@pytest.mark.parametrize(
+    ("length", "name", "piece", "most"), [(200, 100, 1 << 18, 10_000), (60, 30, 1 << 18, 10_000), (60, 20, 97, 3), (60, 30, 1 << 18, 1)]
+)
+def test_awkward(spark, monkeypatch, length, name, piece, most):
     monkeypatch.setattr(repeats, "PIECE", piece)
     rows = awkward()
     rows[62] = (102, "ab" * 400, *rows[62][2:])
@@ -38,11 +41,29 @@ def test_awkward(spark, monkeypatch, length, name, piece):
         a = rng.randrange(2500)
         cut = base[a : a + rng.randint(10, 500)]
         rows.append((500 + i, "".join(rng.choices("xyz", k=rng.randint(0, 90))) + cut + "".join(rng.choices("xyz", k=50)), *rows[0][2:]))
-    got = repeats.drop_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), length=length, name=name)
+    got = repeats.drop_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), length=length, name=name, most=most)
     assert result(got) == brute([r[1] for r in rows], length)
     assert repeats.drop_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_tables(spark):
+@pytest.mark.parametrize("most", [10_000, 4])
+def test_tables(spark, most):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert result(repeats.drop_repeats(table)) == brute([r.text for r in table.select("text").collect()], 200)
+    assert result(repeats.drop_repeats(table, most=most)) == brute([r.text for r in table.select("text").collect()], 200)
+
+
+def test_equal_keys_of_other_bytes(spark, monkeypatch):
+    """Windows whose keys collide are told apart by their bytes."""
+    monkeypatch.setattr(repeats, "_window_keys", lambda rows, length, f=repeats._window_keys: (f(rows, length)[0] % 7, *f(rows, length)[1:]))
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"ab", k=rng.randint(20, 60))) for _ in range(40)]
+    texts += texts[:3]
+    table = pa.table({"name": [1] * 43, "id": range(43), "row": [0] * 43, "start": [0] * 43, "offset": [0] * 43, "context": texts})
+    got = repeats.repeated(table.cast(repeats._CONTEXT), 20)
+    seen = Counter(t[i : i + 20] for t in texts for i in range(len(t) - 19))
+    want, covered = set(), set()
+    for k, t in enumerate(texts):
+        want |= {(k, i + j) for i in range(len(t) - 19) if seen[t[i : i + 20]] > 1 for j in range(20)}
+    for r in got.to_pylist():
+        covered |= {(r["id"], i) for i in range(r["begin"], r["end"])}
+    assert covered == want
