@@ -182,9 +182,7 @@ def repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
         windows = [raw[i][a : a + length] for i, a in zip(owner.tolist(), step.tolist(), strict=True)]
         seen = Counter(windows)
         twice = np.array([seen[w] > 1 for w in windows])
-    fresh = step == 0
-    begin = np.flatnonzero(twice & (fresh | ~np.concatenate([[False], twice[:-1]])))
-    end = np.flatnonzero(twice & (np.concatenate([fresh[1:], [True]]) | ~np.concatenate([twice[1:], [False]])))
+    begin, end = _runs_of(twice, step == 0)
     at = rows.column("start").to_numpy()
     take = pa.array(owner[begin])
     return pa.RecordBatch.from_arrays(
@@ -198,64 +196,102 @@ def repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
     )
 
 
-def _windows(length: int):
-    """Each window of contexts (c1, c2, n, context): its context, place in it, and 128 bits of its bytes."""
+_WINDOW = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "id", "row", "begin", "end")] + [("done", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                raw = part.column(3).to_pylist()
-                sizes = np.array([len(x) for x in raw])
-                starts, count = np.cumsum(sizes) - sizes, sizes - length + 1
-                owner = np.repeat(np.arange(len(raw)), count)
-                step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                digests = [xxhash.xxh3_128_digest(raw[i][a : a + length]) for i, a in zip(owner.tolist(), step.tolist(), strict=True)]
-                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pc.take(part.column(k), take) for k in range(3)), pa.array(step), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                    ["c1", "c2", "n", "step", "w1", "w2"],
-                )
 
-    return run
+def _runs_of(marked: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of marked windows; a fresh window begins another context."""
+    begin = np.flatnonzero(marked & (fresh | ~np.concatenate([[False], marked[:-1]])))
+    end = np.flatnonzero(marked & (np.concatenate([fresh[1:], [True]]) | ~np.concatenate([marked[1:], [False]])))
+    return begin, end
 
 
-def _hot_stretches(hot: DataFrame, length: int) -> DataFrame:
-    """(id, row, begin, end) of the repeated stretches around hot names, without a task that holds all of a name.
+def _hot_rows(ids: pa.Array, places: np.ndarray, raw: list[bytes], length: int) -> pa.RecordBatch:
+    """The windows of some contexts (row and start are `places`), those that are equal combined.
 
-    Equal contexts become one with a count, combined map-side; the windows of the distinct ones are counted by their bytes'
-    128-bit hash, combined map-side too, and those found twice go back to their contexts (a hundred windows at
-    most) and these to their places by joins that AQE can split.
+    A window found once is a row with 128 bits of its bytes' hash and its place. Of windows found several times one row goes on,
+    without a place; their places are done, as stretches.
     """
-    keys = ["c1", "c2"]
-    placed = saved(
-        hot.withColumns({"c1": F.xxhash64("context"), "c2": F.xxhash64(F.lit(1), "context")}), "repeats-hot"
+    sizes = np.array([len(x) for x in raw])
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(raw)), count)
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    digests = b"".join([xxhash.xxh3_128_digest(raw[i][a : a + length]) for i, a in zip(owner.tolist(), step.tolist(), strict=True)])
+    w1, w2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+    order = np.lexsort((w2, w1))
+    same = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+    twice = np.zeros(len(order), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    one = np.flatnonzero(~twice)
+    group = order[:-1][same & ~np.concatenate([[False], same[:-1]])]
+    begin, end = _runs_of(twice, step == 0)
+    row, start = places[:, 0], places[:, 1]
+    at = np.concatenate([one, group, begin])
+    done = np.arange(len(at)) >= len(one) + len(group)
+    ghost = (np.arange(len(at)) >= len(one)) & ~done
+    first = start[owner[at]] + step[at]
+    last = first + length
+    last[done] = start[owner[end]] + step[end] + length
+    spread = scramble((row[owner[at]] ^ first).view(np.uint64)).view(np.int64)  # places that are done go anywhere
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.where(done, spread, w1[at])),
+            pa.array(np.where(done, 0, w2[at])),
+            pc.take(ids, pa.array(owner[at])),
+            pa.array(row[owner[at]]),
+            pa.array(np.where(ghost, -1, first)),
+            pa.array(np.where(ghost, -1, last)),
+            pa.array(done),
+        ],
+        schema=_WINDOW,
     )
-    distinct = saved(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.first("context").alias("context")), "repeats-distinct")
-    windows = distinct.mapInArrow(_windows(length), "c1 long, c2 long, n long, step long, w1 long, w2 long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    hits = windows.join(again, ["w1", "w2"]).groupBy(*keys).agg(F.sort_array(F.collect_set("step")).alias("steps"))
-    runs = saved(hits.select(*keys, _stretches(F.col("steps"), F.lit(length)).alias("runs")), "repeats-runs")
-    back = placed.select(*keys, "id", "row", "start").join(runs, keys).select("id", "row", "start", F.explode("runs").alias("r"))
-    out = saved(back.select("id", "row", (F.col("start") + F.col("r.a")).alias("begin"), (F.col("start") + F.col("r.b")).alias("end")), "repeats-found")
-    discard(placed, distinct, runs)
-    return out
-
-
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
-def _stretches(steps: pa.Array, length: pa.Array) -> pa.Array:
-    """What windows at these places cover: first and last byte of each stretch of neighbours."""
-    out = []
-    for row, n in zip(steps.to_pylist(), length.to_pylist(), strict=True):
-        one: list[dict] = []
-        for a in row:
-            if one and a == one[-1]["b"] - n + 1:
-                one[-1]["b"] = a + n
-            else:
-                one.append({"a": a, "b": a + n})
-        out.append(one)
-    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+
+def _hot_windows(length: int, most: int):
+    """Rows of _hot_rows, from up to `most` contexts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            places = np.stack([table.column(c).to_numpy() for c in ("row", "start")], axis=1)
+            return _hot_rows(table.column("id").combine_chunks(), places, table.column("context").to_pylist(), length)
+
+        for batch in batches:
+            waiting.append(batch)
+            n += len(batch)
+            if n >= most:
+                yield rows()
+                waiting, n = [], 0
+        if n:
+            yield rows()
+
+    return run
+
+
+def _hot_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of windows found twice, and those done, from rows sorted by window; one row of the last window is carried over."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        w1, w2, begin = (table.column(c).to_numpy() for c in ("w1", "w2", "begin"))
+        done = table.column("done").to_numpy()
+        same = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]) & ~done[1:] & ~done[:-1]
+        out = done.copy()
+        out[1:] |= same
+        out[:-1] |= same
+        yield from table.filter(pa.array(out & (begin >= 0))).select(["id", "row", "begin", "end"]).to_batches()
+        k = len(out) - 1
+        tail = table.slice(k, 1)
+        if done[k]:
+            held = None
+        else:
+            if out[k]:  # its place is out already; the window itself stays
+                tail = tail.set_column(4, "begin", pa.array([-1], pa.int64()))
+            held = tail.to_batches()[0]
 
 
 def _compare(length: int, least: int = 3000):
@@ -335,8 +371,8 @@ def drop_repeats(
     and named by a hash of the `name` bytes that stand there. Names are counted over all
     samples; those found twice set bits in a filter of fixed size. What passes is dealt by name, and each window is placed
     by its sample's name and its offset from it, so that equal windows meet; sorting them and comparing neighbours, by key and then by bytes,
-    tells which occur twice. A name with over `most` samples is hot: there equal surroundings are counted first, then
-    the windows of distinct ones by 128-bit hashes, so that no task holds all of a name. Their stretches go back to
+    tells which occur twice. A name with over `most` samples is hot: its windows are dealt by 128 bits of their own bytes' hash,
+    and equal ones combined before they are, so that no task holds all of a name. Their stretches go back to
     their texts. Windows never cross documents.
 
     Returns the columns `keep` (default: all) and n_bytes, n_removed, n_spans (long; maximal removed runs), kept (binary: the
@@ -363,7 +399,12 @@ def drop_repeats(
         .mapInArrow(_compare(length), "id long, row long, begin long, end long")
     )
     if hot is not None:
-        found = found.unionByName(_hot_stretches(long.mapInArrow(_contexts(length, name, hot, bits), context), length))
+        windows = long.mapInArrow(_contexts(length, name, hot, bits), context).mapInArrow(
+            _hot_windows(length, most), "w1 long, w2 long, id long, row long, begin long, end long, done boolean"
+        )
+        found = found.unionByName(
+            windows.repartition("w1").sortWithinPartitions("w1", "w2").mapInArrow(_hot_found, "id long, row long, begin long, end long")
+        )
     discard(twice)
     runs = saved(
         found.groupBy("id", "row").agg(F.collect_set(F.struct("begin", "end")).alias("_kt_runs")).select(
