@@ -20,8 +20,8 @@ from .shingles import SHINGLE, MinHash, band_keys, scramble, shingle_hashes
 BANDS, ROWS = 40, 5
 #: Similarity in hundredths; signature positions compared at a time; probability of losing a pair at a test.
 PERCENT, BATCH, MISS = 75, 40, 1e-6
-#: Rounds of stars before all pairs across components are compared, and rows of a block for that.
-STARS, BLOCK = 4, 512
+#: Rounds of stars before all pairs across components are compared; size of a block for that, and bytes of text that count as one row.
+STARS, BLOCK, UNIT = 4, 256, 16_384
 #: Pivots of one document in a round of stars.
 PIVOTS = 12
 
@@ -133,20 +133,62 @@ def _matrix(sigs: pa.Array, count: int) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, known: DataFrame, count: int, percent: int, size: int, miss: float) -> DataFrame:
-    """The linked ones of candidate pairs (a, b), written: signatures first, whole texts of the survivors then."""
+    """The linked ones of candidate pairs (a, b), written: signatures first; only the survivors fetch their whole texts."""
 
     @F.arrow_udf(T.BooleanType())
-    def linked(left: pa.Array, right: pa.Array, texts: pa.Array, others: pa.Array) -> pa.Array:
-        out, sets = [False] * len(left), _Sets(size)
-        if out:
-            for i in surviving(_matrix(left, count), _matrix(right, count), percent, BATCH, miss).tolist():
-                out[i] = alike(sets[texts[i].as_py()], sets[others[i].as_py()], percent)
-        return pa.array(out, pa.bool_())
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = np.zeros(len(left), bool)
+        if len(out):
+            out[surviving(_matrix(left, count), _matrix(right, count), percent, BATCH, miss)] = True
+        return pa.array(out)
 
-    b = known.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
-    a = known.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
-    both = pairs.join(b, "b").join(a, "a")
-    return saved(both.where(linked("sig_a", "sig_b", "text_a", "text_b")).select("a", "b").distinct(), "near-links")
+    @F.arrow_udf(T.BooleanType())
+    def linked(texts: pa.Array, others: pa.Array) -> pa.Array:
+        sets = _Sets(size)
+        return pa.array([alike(sets[x.as_py()], sets[y.as_py()], percent) for x, y in zip(texts, others, strict=True)], pa.bool_())
+
+    def both(rows: DataFrame, column: str) -> DataFrame:
+        b = known.select(F.col("id").alias("b"), F.col(column).alias(f"{column}_b"))
+        a = known.select(F.col("id").alias("a"), F.col(column).alias(f"{column}_a"))
+        return rows.join(b, "b").join(a, "a")
+
+    alive = saved(both(pairs, "sig").where(near("sig_a", "sig_b")).select("a", "b").distinct(), "near-alive")
+    out = saved(both(alive, "text").where(linked("text_a", "text_b")).select("a", "b").distinct(), "near-links")
+    discard(alive)
+    return out
+
+
+def _against(sig: np.ndarray, comp: int, sigs: np.ndarray, comps: np.ndarray, band: int, bands: int, rows: int, percent: int, miss: float) -> np.ndarray:
+    """Members of other components whose signatures no batch prunes and whose first common band this is, likeliest first."""
+    other = np.flatnonzero(comps != comp)
+    alive = other[surviving(np.broadcast_to(sig, (len(other), bands * rows)), sigs[other], percent, BATCH, miss)]
+    if not len(alive):
+        return alive
+    here = int(np.flatnonzero(band_keys(sig, bands, rows) == band)[0])
+    same = sigs[alive] == sig
+    first = same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == here
+    return alive[first][np.argsort(-same[first].sum(axis=1), kind="stable")]
+
+
+def _matched(bands: int, rows: int, percent: int, miss: float):
+    """Who of a block of outsiders, and of a block of a band's members, has a pair that signatures don't rule out."""
+
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        ask, of = block[block["asks"]], block[~block["asks"]]
+        asking, asked = [], np.zeros(len(of), bool)
+        if len(ask) and len(of):
+            sigs = np.frombuffer(b"".join(of["sig"]), np.uint16).reshape(-1, bands * rows)
+            comps = of["comp"].to_numpy()
+            for i, comp, raw in zip(ask["id"], ask["comp"], ask["sig"], strict=True):
+                alive = _against(np.frombuffer(raw, np.uint16), comp, sigs, comps, key[0], bands, rows, percent, miss)
+                if len(alive):
+                    asking.append((i, comp, True))
+                    asked[alive] = True
+        both = asking + [(i, comp, False) for i, comp in zip(of["id"][asked], of["comp"][asked], strict=True)]
+        out = pd.DataFrame(both, columns=["id", "comp", "asks"]).astype({"id": "int64", "comp": "int64", "asks": bool})
+        return out.assign(band=key[0], x=key[1], y=key[2])[["band", "x", "y", "id", "comp", "asks"]]
+
+    return compare
 
 
 def _across(bands: int, rows: int, percent: int, size: int, miss: float):
@@ -170,14 +212,7 @@ def _across(bands: int, rows: int, percent: int, size: int, miss: float):
             sigs = np.frombuffer(b"".join(of["sig"]), np.uint16).reshape(-1, count)
             ids, comps, texts = of["id"].to_numpy(), of["comp"].to_numpy(), of["text"].to_numpy()
             for i, comp, raw, text in zip(ask["id"], ask["comp"], ask["sig"], ask["text"], strict=True):
-                other, sig = np.flatnonzero(comps != comp), np.frombuffer(raw, np.uint16)
-                alive = other[surviving(np.broadcast_to(sig, (len(other), count)), sigs[other], percent, BATCH, miss)]
-                if not len(alive):
-                    continue
-                here = int(np.flatnonzero(band_keys(sig, bands, rows) == key[0])[0])
-                same = sigs[alive] == sig
-                first = same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == here
-                for k in alive[first][np.argsort(-same[first].sum(axis=1), kind="stable")].tolist():
+                for k in _against(np.frombuffer(raw, np.uint16), comp, sigs, comps, key[0], bands, rows, percent, miss).tolist():
                     a, b = find(comp), find(int(comps[k]))
                     if a != b and alike(sets[text], sets[texts[k]], percent):
                         joined[max(a, b)] = min(a, b)
@@ -207,25 +242,31 @@ def near_groups(
        Bands that still hold several components get stars around other members of their largest
        component; what is left after STARS rounds, or a round that hardly links any, is compared
        completely, but only across components: blocks of members outside a band's largest component
-       with blocks of all its members, signatures and then whole texts, until a link joins two components; just
-       links become rows. So a group of n near copies costs about n comparisons, and no link between components is lost.
+       with blocks of all its members. Blocks, bounded in rows and in bytes of text, first hold signatures alone; whole texts
+       come only to members that they leave with a partner, and are compared until a link joins two components. Just
+       members and links become rows. So a group of n near copies costs about n comparisons, and no link between components is lost.
 
     Returns one row per input row: id_col, n_shingles (long, distinct), component_id (long), kept (boolean, id =
     component_id). Null, empty or blank text: 0 shingles, linked with nothing. Rows of equal id are one
-    document; a null id is linked with nothing, component_id null, kept true. Other
+    document: their texts are in one component; a null id is linked with nothing, component_id null, kept true. Other
     columns are ignored. Empty table: no rows. Ids must cast to long.
     """
     small_batches(docs.sparkSession)
     count = bands * rows
     source = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(source.select("own", "id", _sign(F.col("text"), count, size).alias("s")).select("own", "id", "s.*"), "near-signed")
+    weight = (1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / UNIT)).cast("int").alias("w")
+    signed = saved(source.select("own", "id", weight, _sign(F.col("text"), count, size).alias("s")).select("own", "id", "w", "s.*"), "near-signed")
     usable = signed.where("n > 0 AND id IS NOT NULL")
     classes = saved(usable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "near-classes")
     reps = saved(
-        usable.join(classes, ["d1", "d2", "n"]).where("id = rep").select("id", "sig", "d1", "d2").dropDuplicates(["id", "d1", "d2"]),
+        usable.join(classes, ["d1", "d2", "n"]).where("id = rep").select("id", "w", "sig", "d1", "d2").dropDuplicates(["id", "d1", "d2"]),
         "near-reps",
     )
-    keyed = reps.select("id", F.explode(_bands(F.col("sig"), bands, rows)).alias("band"))
+    text = F.struct("d1", "d2", "n")
+    several = usable.groupBy("id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low != high").select("id")
+    own = usable.join(several, "id", "left_semi").join(classes, ["d1", "d2", "n"])
+    own = saved(own.select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a != b").distinct(), "near-own")
+    keyed = reps.select("id", "w", F.explode(_bands(F.col("sig"), bands, rows)).alias("band"))
     shared = keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("band", "low")
     member = saved(keyed.join(shared, "band").distinct(), "near-members")
     ids = saved(member.select("id").distinct(), "near-ids")
@@ -249,13 +290,13 @@ def near_groups(
         near = rows.groupBy("id").agg(few.alias("p")).select("id", F.explode("p.pivot").alias("pivot"))
         return near.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
-    links = verified(stars(member.where("id != low").withColumnRenamed("low", "pivot"), F.col("pivot")))
+    links = own.unionByName(verified(stars(member.where("id != low").withColumnRenamed("low", "pivot"), F.col("pivot"))))
     labels = saved(components(links), "near-labels")
     for star in range(1, STARS + 1):
-        labelled = member.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+        labelled = member.select("band", "id", "w").join(labels, "id", "left").select("band", "id", "w", F.coalesce("comp", "id").alias("comp"))
         split = (
             labelled.groupBy("band", "comp")
-            .agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(star))).alias("pivot"))
+            .agg(F.sum("w").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(star))).alias("pivot"))
             .groupBy("band")
             .agg(
                 F.max_by(F.struct("comp", "pivot"), F.struct("n", "comp")).alias("main"),
@@ -289,17 +330,25 @@ def near_groups(
             blocks.where("comp != main").select("band", "id", "comp", F.lit(True).alias("asks"), F.explode(outer).alias("cell"))
         )
         parts = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        place = ["band", "x", "y"]
+        dealt = cells.select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks")
+        matched = saved(
+            dealt.join(known.select("id", "sig"), "id")
+            .repartition(parts, *place)
+            .groupBy(*place)
+            .applyInPandas(_matched(bands, rows, percent, miss), "band long, x int, y int, id long, comp long, asks boolean"),
+            "near-matched",
+        )
         pairs = (
-            cells.join(known, "id")
-            .select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks", "sig", "text")
-            .repartition(parts, "band", "x", "y")
-            .groupBy("band", "x", "y")
+            matched.join(known, "id")
+            .repartition(parts, *place)
+            .groupBy(*place)
             .applyInPandas(_across(bands, rows, percent, size, miss), "a long, b long")
             .distinct()
         )
         links = links.unionByName(saved(pairs, "near-links"))
         labels = saved(components(links), "near-labels")
-    discard(known, member, open_)
+    discard(known, member, open_, own)
     named = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "d1", "d2", "n", F.coalesce("comp", "rep").alias("comp")
     )

@@ -71,6 +71,28 @@ def test_wide_groups(spark, monkeypatch, stars):
     assert result(got) == brute(rows)
 
 
+def test_texts_of_one_id(spark):
+    """Rows of one id join what their texts are near to."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(50)], k=40)) for _ in range(3))
+    rows = [(1, a), (2, b), (5, a), (5, b), (7, c), (8, c + " end"), (8, None), (9, b), (2, c)]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (7, 1), (8, 1), (9, 1), (8, 8)}
+
+
+def test_wide_band_of_other_texts(spark, monkeypatch):
+    """Many documents that share a band but little more, some long, with a few links among them."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "UNIT", 300)
+    monkeypatch.setattr(neardup, "STARS", 1)
+    rng = random.Random(6)
+    words, common = [f"w{i}" for i in range(3000)], [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + rng.choices(words, k=rng.randint(20, 90)))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 20, 3)]
+    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert result(got) == brute(rows)
+
+
 def test_tables(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = neardup.near_groups(table)
