@@ -6,7 +6,6 @@ import math
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +157,15 @@ def _links(pairs: DataFrame, known: DataFrame, count: int, percent: int, size: i
     return out
 
 
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _numbers(block: pa.Table, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """asks, id, comp and the matrix of signatures of a block."""
+    asks, ids, comps = (block.column(c).to_numpy() for c in ("asks", "id", "comp"))
+    return asks, ids, comps, np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint16).reshape(-1, count)
+
+
 def _against(sig: np.ndarray, comp: int, sigs: np.ndarray, comps: np.ndarray, band: int, bands: int, rows: int, percent: int, miss: float) -> np.ndarray:
     """Members of other components whose signatures no batch prunes and whose first common band this is, likeliest first."""
     other = np.flatnonzero(comps != comp)
@@ -173,20 +181,15 @@ def _against(sig: np.ndarray, comp: int, sigs: np.ndarray, comps: np.ndarray, ba
 def _matched(bands: int, rows: int, percent: int, miss: float):
     """Who of a block of outsiders, and of a block of a band's members, has a pair that signatures don't rule out."""
 
-    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        ask, of = block[block["asks"]], block[~block["asks"]]
-        asking, asked = [], np.zeros(len(of), bool)
-        if len(ask) and len(of):
-            sigs = np.frombuffer(b"".join(of["sig"]), np.uint16).reshape(-1, bands * rows)
-            comps = of["comp"].to_numpy()
-            for i, comp, raw in zip(ask["id"], ask["comp"], ask["sig"], strict=True):
-                alive = _against(np.frombuffer(raw, np.uint16), comp, sigs, comps, key[0], bands, rows, percent, miss)
-                if len(alive):
-                    asking.append((i, comp, True))
-                    asked[alive] = True
-        both = asking + [(i, comp, False) for i, comp in zip(of["id"][asked], of["comp"][asked], strict=True)]
-        out = pd.DataFrame(both, columns=["id", "comp", "asks"]).astype({"id": "int64", "comp": "int64", "asks": bool})
-        return out.assign(band=key[0], x=key[1], y=key[2])[["band", "x", "y", "id", "comp", "asks"]]
+    def compare(key: tuple, block: pa.Table) -> pa.Table:
+        asks, ids, comps, sigs = _numbers(block, bands * rows)
+        of, partner = np.flatnonzero(~asks), np.zeros(len(asks), bool)
+        if len(of):
+            for i in np.flatnonzero(asks).tolist():
+                alive = _against(sigs[i], comps[i], sigs[of], comps[of], key[0].as_py(), bands, rows, percent, miss)
+                partner[i] = len(alive) > 0
+                partner[of[alive]] = True
+        return block.drop_columns("sig").filter(pa.array(partner))
 
     return compare
 
@@ -199,8 +202,9 @@ def _across(bands: int, rows: int, percent: int, size: int, miss: float):
     """
     count = bands * rows
 
-    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        ask, of = block[block["asks"]], block[~block["asks"]]
+    def compare(key: tuple, block: pa.Table) -> pa.Table:
+        asks, ids, comps, sigs = _numbers(block, count)
+        of, texts = np.flatnonzero(~asks), block.column("text").to_pylist()
         found, joined, sets = [], {}, _Sets(size)
 
         def find(comp: int) -> int:
@@ -208,16 +212,14 @@ def _across(bands: int, rows: int, percent: int, size: int, miss: float):
                 comp = joined[comp]
             return comp
 
-        if len(ask) and len(of):
-            sigs = np.frombuffer(b"".join(of["sig"]), np.uint16).reshape(-1, count)
-            ids, comps, texts = of["id"].to_numpy(), of["comp"].to_numpy(), of["text"].to_numpy()
-            for i, comp, raw, text in zip(ask["id"], ask["comp"], ask["sig"], ask["text"], strict=True):
-                for k in _against(np.frombuffer(raw, np.uint16), comp, sigs, comps, key[0], bands, rows, percent, miss).tolist():
-                    a, b = find(comp), find(int(comps[k]))
-                    if a != b and alike(sets[text], sets[texts[k]], percent):
+        if len(of):
+            for i in np.flatnonzero(asks).tolist():
+                for k in of[_against(sigs[i], comps[i], sigs[of], comps[of], key[0].as_py(), bands, rows, percent, miss)].tolist():
+                    a, b = find(int(comps[i])), find(int(comps[k]))
+                    if a != b and alike(sets[texts[i]], sets[texts[k]], percent):
                         joined[max(a, b)] = min(a, b)
-                        found.append((min(i, int(ids[k])), max(i, int(ids[k]))))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                        found.append({"a": int(min(ids[i], ids[k])), "b": int(max(ids[i], ids[k]))})
+        return pa.Table.from_pylist(found, schema=_LINK)
 
     return compare
 
@@ -334,16 +336,17 @@ def near_groups(
         dealt = cells.select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks")
         matched = saved(
             dealt.join(known.select("id", "sig"), "id")
+            .select(*place, "id", "comp", "asks", "sig")
             .repartition(parts, *place)
             .groupBy(*place)
-            .applyInPandas(_matched(bands, rows, percent, miss), "band long, x int, y int, id long, comp long, asks boolean"),
+            .applyInArrow(_matched(bands, rows, percent, miss), "band long, x int, y int, id long, comp long, asks boolean"),
             "near-matched",
         )
         pairs = (
             matched.join(known, "id")
             .repartition(parts, *place)
             .groupBy(*place)
-            .applyInPandas(_across(bands, rows, percent, size, miss), "a long, b long")
+            .applyInArrow(_across(bands, rows, percent, size, miss), "a long, b long")
             .distinct()
         )
         links = links.unionByName(saved(pairs, "near-links"))

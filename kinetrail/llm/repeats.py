@@ -224,14 +224,20 @@ def _hot_rows(ids: pa.Array, places: np.ndarray, raw: list[bytes], length: int)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     one = np.flatnonzero(~twice)
     group = order[:-1][same & ~np.concatenate([[False], same[:-1]])]
-    begin, end = _runs_of(twice, step == 0)
     row, start = places[:, 0], places[:, 1]
+    begin, end = _runs_of(twice, step == 0)
+    # contexts of a text follow each other: stretches that touch become one
+    a, b = start[owner[begin]] + step[begin], start[owner[end]] + step[end] + length
+    text = row[owner[begin]]
+    fresh = np.ones(len(begin), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (a[1:] <= a[:-1]) | (a[1:] > b[:-1])
+    begin, b = begin[fresh], b[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(b) - 1]])] if len(b) else b
     at = np.concatenate([one, group, begin])
     done = np.arange(len(at)) >= len(one) + len(group)
     ghost = (np.arange(len(at)) >= len(one)) & ~done
     first = start[owner[at]] + step[at]
     last = first + length
-    last[done] = start[owner[end]] + step[end] + length
+    last[done] = b
     spread = scramble((row[owner[at]] ^ first).view(np.uint64)).view(np.int64)  # places that are done go anywhere
     return pa.RecordBatch.from_arrays(
         [
