@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.motion import horizon_bucket
+from ..functions.motion import finite, horizon_bucket
 from ..schema import ENTITY, KEYS
 
 
@@ -24,11 +23,40 @@ def align(truth: DataFrame, prediction: DataFrame) -> DataFrame:
     return t.join(p, KEYS, "full_outer").withColumn("status", status).drop("in_truth", "in_prediction")
 
 
-def score(truth: DataFrame, prediction: DataFrame) -> DataFrame:
-    """Signed residuals dx, dy of matching keys; a model column stays."""
-    extra = [c for c in ("model",) if c in prediction.columns]
+def score(truth: DataFrame, prediction: DataFrame, models: Sequence[str] | None = None, partial: bool = False) -> DataFrame:
+    """Signed residuals dx, dy of each key; a model column stays.
+
+    Truth and forecast must hold the same keys, each once (for every model), with finite coordinates: any
+    missing, extra, repeated or non-finite row raises when the result is read. `models` names those
+    that each key must have; where it is left out, the models found are (a small job). With `partial`, only matching rows are
+    scored and nothing raises. Both sides are dealt by the keys once.
+    """
+    named = "model" in prediction.columns
+    extra = ["model"] if named else []
     t = truth.select(*KEYS, F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return prediction.join(t, KEYS).select(*extra, *KEYS, (F.col("x") - F.col("tx")).alias("dx"), (F.col("y") - F.col("ty")).alias("dy"))
+    residuals = [(F.col("x") - F.col("tx")).alias("dx"), (F.col("y") - F.col("ty")).alias("dy")]
+    if partial:
+        return prediction.join(t, KEYS).select(*extra, *KEYS, *residuals)
+    if named and models is None:
+        models = [r[0] for r in prediction.select("model").distinct().collect()]
+    expected = F.array(*[F.lit(m) for m in sorted(models)]) if named and models else F.array(F.lit(""))
+    label = F.col("model") if named else F.lit("")
+    made = prediction.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(label.alias("model"), "x", "y"))).alias("made"))
+    known = t.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("tx").alias("tx"), F.first("ty").alias("ty"))
+    off = (
+        F.when(F.col("n").isNull(), "extra forecast")
+        .when(F.col("made").isNull(), "missing forecast")
+        .when(F.col("n") > 1, "repeated label")
+        .when(F.col("made.model") != expected, "missing, extra or repeated model")
+        .when(~(finite(F.col("tx")) & finite(F.col("ty"))), "label that is not finite")
+        .when(F.exists("made", lambda p: ~(finite(p["x"]) & finite(p["y"]))), "forecast that is not finite")
+    )
+    key = F.concat_ws(", ", *KEYS)
+    checked = F.when(off.isNull(), F.col("made")).otherwise(F.raise_error(F.concat(off, F.lit(" at "), key)))
+    joined = made.join(known, KEYS, "full_outer").select(*KEYS, "tx", "ty", F.explode(checked).alias("p"))
+    return joined.select(*[F.col("p.model").alias(c) for c in extra], *KEYS, F.col("p.x").alias("x"), F.col("p.y").alias("y"), "tx", "ty").select(
+        *extra, *KEYS, *residuals
+    )
 
 
 def squared() -> Column:
@@ -50,23 +78,51 @@ def pooled(errors: DataFrame, *by: str | Column) -> DataFrame:
     return grouped.withColumn("rmse", rmse(F.col("sse"), F.col("n")))
 
 
+def exact_percentile(rows: DataFrame, value: str, share: float, *by: str) -> DataFrame:
+    """(by, value) with linear interpolation between order statistics, and no task that holds a group's values.
+
+    Values are counted by narrow logarithmic buckets; the distinct values of the one or two buckets that hold the wanted ranks
+    are then counted and ranked. Values must be finite and not negative.
+    """
+    bucket = F.when(F.col(value) > 0, F.floor(F.log2(value) * 256)).otherwise(F.lit(-(1 << 40))).alias("_b")
+    keyed = rows.select(*by, F.col(value).alias("_v"), bucket)
+    up_to = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.lit(share) * (F.sum("_n").over(Window.partitionBy(*by)) - 1)
+    wanted = (
+        keyed.groupBy(*by, "_b")
+        .agg(F.count("*").alias("_n"))
+        .select(*by, "_b", at.alias("_at"), F.sum("_n").over(up_to).alias("_end"), "_n")
+        .where((F.col("_end") > F.floor("_at")) & (F.col("_end") - F.col("_n") <= F.ceil("_at")))
+    )
+    near = keyed.join(wanted, [*by, "_b"]).groupBy(*by, "_b", "_v", "_at", (F.col("_end") - F.col("_n")).alias("_first")).agg(F.count("*").alias("_k"))
+    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_last", F.col("_first") + F.sum("_k").over(inside) - 1)
+    holds = lambda rank: (F.col("_last") >= rank) & (F.col("_last") - F.col("_k") < rank)
+    low, high = (F.min(F.when(holds(f("_at")), F.col("_v"))) for f in (F.floor, F.ceil))
+    out = ranked.groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.first("_at").alias("_at"))
+    return out.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias(value))
+
+
 def error_metrics(errors: DataFrame, *by: str) -> DataFrame:
     """rmse, ade, trajectory ade, fde, p95 and mae of each group.
 
     The trajectory means and last-frame distances come from one row per entity; the
-    exact percentile and the sums from the rows themselves.
+    sums from the rows themselves, and the exact percentile from counts of ever fewer of them.
     """
     d = errors.withColumn("d", distance())
     flat = d.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.sqrt(F.sum(squared()) / (2.0 * F.count("*"))).alias("coordinate_rmse"),
         F.avg("d").alias("frame_ade"),
-        F.percentile("d", 0.95).alias("p95_displacement"),
         (F.sum(F.abs("dx") + F.abs("dy")) / (2.0 * F.count("*"))).alias("coordinate_mae"),
     )
     per = d.groupBy(*by, *ENTITY).agg(F.avg("d").alias("mean"), F.max_by("d", "frame_id").alias("final"))
     tracks = per.groupBy(*by).agg(F.avg("mean").alias("trajectory_ade"), F.avg("final").alias("fde"))
-    return flat.join(tracks, list(by)) if by else flat.crossJoin(tracks)
+    tail = exact_percentile(d, "d", 0.95, *by).withColumnRenamed("d", "p95_displacement")
+    out = flat.join(tracks, list(by)).join(tail, list(by)) if by else flat.crossJoin(tracks).crossJoin(tail)
+    return out.select(
+        *by, "n", "coordinate_rmse", "frame_ade", "trajectory_ade", "fde", "p95_displacement", "coordinate_mae"
+    )
 
 
 def by_partition(errors: DataFrame, splits: DataFrame) -> DataFrame:
@@ -152,23 +208,28 @@ def cumulative(errors: DataFrame) -> DataFrame:
     ).withColumn("rmse", rmse(F.col("sse"), F.col("n")))
 
 
+def draw(seed: Column | int, rep: Column, turn: Column, n: Column) -> Column:
+    """A number from 0 to n - 1: 32 bits of a digest of seed, repetition and turn, so any engine can repeat it."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), rep, turn).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+
 def bootstrap(errors: DataFrame, repeats: int = 2000, seed: int = 2026) -> DataFrame:
     """(model, rep, rmse): whole games drawn with replacement.
 
-    Rows are summed per game in Spark. The draws, repeats x games, come from a seeded generator on
-    the driver as counts per (rep, game) and meet the sums by a join.
+    Rows are summed per game. Draws, as many as games in each repetition, are made in tasks from the seed and counted
+    by (rep, game) before they meet the sums. One row per game reaches the unpartitioned window.
     """
-    spark = errors.sparkSession
     sums = errors.groupBy("model", "game_id").agg(F.count("*").alias("n"), F.sum(squared()).alias("sse"))
-    games = [r.game_id for r in sums.select("game_id").distinct().orderBy("game_id").collect()]
-    if not games:
+    games = sums.select("game_id").distinct()
+    count = games.count()
+    if not count:
         raise ValueError("nothing to resample")
-    rng = np.random.default_rng(seed)
-    drawn = rng.integers(0, len(games), size=(repeats, len(games)))
-    counts = [(r, games[g], int(k)) for r in range(repeats) for g, k in zip(*np.unique(drawn[r], return_counts=True), strict=True)]
-    times = spark.createDataFrame(counts, "rep long, game_id long, times long")
+    numbered = games.withColumn("g", (F.row_number().over(Window.orderBy("game_id")) - 1).cast("long"))
+    turns = errors.sparkSession.range(repeats).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("turn"))
+    times = turns.groupBy("rep", draw(seed, F.col("rep"), F.col("turn"), F.lit(count)).alias("g")).agg(F.count("*").alias("times"))
     return (
-        times.join(sums, "game_id")
+        times.join(sums.join(numbered, "game_id"), "g")
         .groupBy("model", "rep")
         .agg(F.sum(F.col("sse") * F.col("times")).alias("sse"), F.sum(F.col("n") * F.col("times")).alias("n"))
         .select("model", "rep", rmse(F.col("sse"), F.col("n")).alias("rmse"))
@@ -183,10 +244,10 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str] = tuple(
 def coverage(predictions: DataFrame, requests: DataFrame, models: DataFrame) -> DataFrame:
     """(model, keys) that are required but absent, or present but not required, with `status`.
 
-    models is a short list, so its product with the requests is linear in them.
+    Every model needs every request, so the requirement itself is their product; Spark decides by size how it is made.
     """
     keys = ["model", *KEYS]
-    required = requests.select(*KEYS).crossJoin(F.broadcast(models.select("model").limit(1000)))
+    required = requests.select(*KEYS).distinct().crossJoin(models.select("model").distinct())
     have = predictions.select(*keys)
     absent = missing_keys(required, have, keys).withColumn("status", F.lit("missing"))
     return absent.unionByName(missing_keys(have, required, keys).withColumn("status", F.lit("extra")))

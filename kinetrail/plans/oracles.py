@@ -186,6 +186,16 @@ fm AS (SELECT model, count(*) AS n, sqrt(sum(e) / (2.0 * count(*))) AS coordinat
         "SELECT model, game_id, CAST(sum(n) OVER w - n AS BIGINT) AS n, round(sqrt((sum(sse) OVER w - sse) / (2.0 * (sum(n) OVER w - n))), 6) AS rmse "
         "FROM gs WINDOW w AS (PARTITION BY model)",
     ),
+    "bootstrap_rmse": _with(
+        _errors(("constant_velocity", "last_position"))
+        + """,
+gs AS (SELECT model, game_id, count(*) AS n, sum(e) AS sse FROM sq GROUP BY ALL),
+gn AS (SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS g, count(*) OVER () AS k FROM (SELECT DISTINCT game_id FROM gs)),
+dr AS (
+  SELECT rep, CAST('0x' || substr(md5('2026:' || rep || ':' || turn), 1, 8) AS BIGINT) % (SELECT max(k) FROM gn) AS g
+  FROM range(2000) r(rep), range((SELECT max(k) FROM gn)) t(turn))""",
+        "SELECT model, rep, round(sqrt(sum(sse) / (2.0 * sum(n))), 6) AS rmse FROM dr JOIN gn USING (g) JOIN gs USING (game_id) GROUP BY model, rep",
+    ),
     "error_timeline": _pooled("frame_id"),
     "cumulative_horizon": _with(
         _errors() + ",\nfs AS (SELECT model, frame_id, count(*) AS n, sum(e) AS sse FROM sq GROUP BY ALL)",

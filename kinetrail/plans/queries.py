@@ -41,7 +41,7 @@ def nudged(*columns: str, digits: int = 6) -> list[Column]:
 
 def errors(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = COMPARED) -> DataFrame:
     t = load(spark, sf_dir)
-    return evaluate.score(t.labels, predict(t.observed, t.requests, models))
+    return evaluate.score(t.labels, predict(t.observed, t.requests, models), models)
 
 
 def _forecast(model: str) -> Query:
@@ -118,7 +118,7 @@ def ridge_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = partitions(spark).where("partition = 'train'").select("game_id")
     fitted = ridge.fit_statistics(ridge.sufficient_statistics(design(t.observed, t.requests.join(train, "game_id", "left_semi")), t.labels))
     out = ridge_predict(design(t.observed, t.requests), ridge.weights_table(spark, fitted)).withColumn("model", F.lit("role_ridge"))
-    return evaluate.pooled(evaluate.score(t.labels, out), "model", "game_id").select("model", "game_id", "n", *r6("rmse"))
+    return evaluate.pooled(evaluate.score(t.labels, out, ["role_ridge"]), "model", "game_id").select("model", "game_id", "n", *r6("rmse"))
 
 
 @query
@@ -142,8 +142,8 @@ def holdout_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout games up to frame 6, filtered before anything is forecast."""
     t = load(spark, sf_dir)
     games = partitions(spark).where("partition = 'holdout'").select("game_id")
-    requests = t.requests.where("frame_id <= 6").join(games, "game_id", "left_semi")
-    found = evaluate.score(t.labels, predict(t.observed, requests, COMPARED))
+    labels = t.labels.where("frame_id <= 6").join(games, "game_id", "left_semi")
+    found = evaluate.score(labels, predict(t.observed, labels, COMPARED), COMPARED)
     return evaluate.pooled(found, "model").select("model", "n", *r6("rmse"))
 
 

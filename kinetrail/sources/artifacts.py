@@ -1,14 +1,11 @@
-"""Files of a run: fingerprints, manifests, write-once outputs, reusable stages, an event log."""
+"""Files of a run: fingerprints, manifests, write-once outputs, stored stages, an event log."""
 
 from __future__ import annotations
 
-import fcntl
 import hashlib
 import json
 import os
-import tempfile
-import threading
-import time
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 from pathlib import Path
@@ -26,32 +23,22 @@ def dumps(value: object) -> str:
     return json.dumps(value, sort_keys=True, allow_nan=False, indent=1) + "\n"
 
 
-def write_atomic(path: Path, text: str) -> None:
-    """Replace a file by a complete new one."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    try:
-        with os.fdopen(fd, "w", encoding="utf-8", newline="\n") as f:
-            f.write(text)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except BaseException:
-        Path(temporary).unlink(missing_ok=True)
-        raise
-
-
 def write_once(path: Path, text: str) -> bool:
-    """Write a new file; accept equal content, reject another, and links. True if written."""
+    """Put a new file in place whole; accept equal content, reject another, and links. True if written."""
     path = Path(path)
     if path.is_symlink():
         raise ValueError(f"{path} is a link")
-    if path.exists():
+    path.parent.mkdir(parents=True, exist_ok=True)
+    draft = path.with_name(f".{uuid.uuid4().hex}")
+    draft.write_text(text, encoding="utf-8", newline="\n")
+    try:
+        os.link(draft, path)  # fails where the name is taken, so no writer replaces another's file
+    except FileExistsError:
         if path.read_text(encoding="utf-8") != text:
-            raise ValueError(f"{path} exists with other content")
+            raise ValueError(f"{path} exists with other content") from None
         return False
-    write_atomic(path, text)
+    finally:
+        draft.unlink()
     return True
 
 
@@ -81,68 +68,38 @@ def fingerprint(root: Path, inputs: Sequence[str], parameters: dict) -> str:
     return hashlib.sha256(dumps({"inputs": parts, "parameters": parameters}).encode()).hexdigest()
 
 
-class EventLog:
-    """JSON lines, one an event, with a heartbeat while it is open."""
+def log_event(path: Path, event: str, error: BaseException | None = None, **fields: object) -> None:
+    """Append one JSON line. Of an error only the type is kept: its message may hold addresses or credentials."""
+    known = {"event": event, "time": datetime.now(UTC).isoformat(), **fields}
+    if error is not None:
+        known["error"] = type(error).__name__
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with Path(path).open("a", encoding="utf-8") as f:
+        f.write(json.dumps(known, sort_keys=True, allow_nan=False) + "\n")
 
-    def __init__(self, path: Path, beat: float = 0.0):
-        self.path, self.beat, self.lock, self.stop = Path(path), beat, threading.Lock(), threading.Event()
 
-    def write(self, event: str, **fields: object) -> None:
-        line = json.dumps({"time": datetime.now(UTC).isoformat(), "event": event, **fields}, sort_keys=True, allow_nan=False)
-        with self.lock, self.path.open("a", encoding="utf-8") as f:
-            f.write(line + "\n")
+def stored(spark: SparkSession, root: str, name: str, signature: str, build: Callable[[], DataFrame], log: Path | None = None) -> DataFrame:
+    """A stage's table, built unless a committed one of this signature is there with the files it was committed with.
 
-    def __enter__(self) -> EventLog:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.write("start")
-        if self.beat:
-            threading.Thread(target=self._beats, daemon=True).start()
-        return self
-
-    def _beats(self) -> None:
-        while not self.stop.wait(self.beat):
-            self.write("heartbeat")
-
-    def __exit__(self, kind: type | None, error: BaseException | None, _: object) -> None:
-        self.stop.set()
-        self.write("failed" if kind else "completed", **({"error": str(error)} if error else {}))
-
-
-def run_stage(root: Path, name: str, signature: str, outputs: Sequence[str], action: Callable[[], None], log: EventLog | None = None, wait: float = 1.0) -> bool:
-    """Run an action unless a completed run of the same signature left these outputs intact.
-
-    A lock keeps two processes apart; status and output digests are written atomically. True if it ran.
+    The path holds the signature, Spark's committer leaves its marker last, and a listing of the files' digests lies
+    beside: a table without them, or with other files, is built anew. Works on any file system that Spark reads.
     """
-    state = Path(root) / f"{name}.state.json"
-    state.parent.mkdir(parents=True, exist_ok=True)
-    with (Path(root) / f"{name}.lock").open("w") as lock:
-        until = time.monotonic() + wait
-        while True:
-            try:
-                fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
-                break
-            except OSError:
-                if time.monotonic() > until:
-                    raise TimeoutError(f"stage {name} is locked") from None
-                time.sleep(0.05)
-        try:
-            known = json.loads(state.read_text())
-        except (OSError, ValueError):
-            known = {}
-        files = [safe_member(root, o) for o in outputs]
-        intact = all(f.is_file() for f in files) and known.get("outputs") == {o: sha256_file(f) for o, f in zip(outputs, files, strict=True)}
-        if known.get("status") == "completed" and known.get("signature") == signature and intact:
+    path = f"{root.rstrip('/')}/{name}-{signature}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.files/_SUCCESS")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place):
+        now, then = manifest(spark, path, ()), spark.read.parquet(f"{path}.files")
+        if now.exceptAll(then).isEmpty() and then.exceptAll(now).isEmpty():
             if log:
-                log.write("reused", stage=name)
-            return False
-        write_atomic(state, dumps({"status": "running", "signature": signature}))
-        try:
-            action()
-            done = {o: sha256_file(f) for o, f in zip(outputs, files, strict=True)}
-        except BaseException as error:
-            write_atomic(state, dumps({"status": "failed", "signature": signature, "error": str(error)}))
-            raise
-        write_atomic(state, dumps({"status": "completed", "signature": signature, "outputs": done}))
+                log_event(log, "reused", stage=name)
+            return spark.read.parquet(path)
+    try:
+        build().write.mode("overwrite").parquet(path)
+        manifest(spark, path, ()).write.mode("overwrite").parquet(f"{path}.files")
+    except Exception as error:
         if log:
-            log.write("ran", stage=name)
-        return True
+            log_event(log, "failed", error, stage=name)
+        raise
+    if log:
+        log_event(log, "built", stage=name)
+    return spark.read.parquet(path)

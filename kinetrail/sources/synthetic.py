@@ -8,11 +8,21 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import KEYS
+from ..schema import KEYS, RATE
 
 GAMES = (101, 102, 103, 104, 105, 106)
 PARTITION = {101: "train", 102: "train", 103: "train", 104: "validation", 105: "holdout", 106: "holdout"}
 OBSERVED, FUTURE = 8, 12
+#: Fixed values of the published fixture: an entity's draws, in order; start positions also grow by player.
+DRAWS = (
+    ("x0", -0.6, 0.6),
+    ("y0", -0.6, 0.6),
+    ("u", 2.5, 5.0),
+    ("v", -1.5, 1.5),
+    ("a", -1.1, 1.1),
+    ("b", -1.3, 1.3),
+)
+START = "39.0 + 3 * nfl_id", "14.0 + 6 * nfl_id"
 
 
 class Bundle(NamedTuple):
@@ -29,26 +39,25 @@ def partitions(spark: SparkSession) -> DataFrame:
 def synthetic(spark: SparkSession, seed: int = 2026, games: tuple[int, ...] = GAMES, plays: int = 2, players: int = 3) -> Bundle:
     """Observations of frames 1-8 and labels of the 12 after, for each game, play and player.
 
-    Six parameters an entity come from a private generator on the driver; rows are made by Spark.
+    Six parameters an entity come from a private generator on the driver; rows are made by Spark. Time 0 is the last observed frame.
     """
     rng = random.Random(seed)
     rows = [
-        (g, p, n, rng.uniform(20, 100), rng.uniform(5, 48), rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5), rng.uniform(-0.02, 0.02), rng.uniform(-0.02, 0.02))
+        (g, p, n, *[rng.uniform(low, high) for _, low, high in DRAWS])
         for g in games
         for p in range(1, plays + 1)
         for n in range(1, players + 1)
     ]
-    entities = spark.createDataFrame(
-        rows, "game_id long, play_id long, nfl_id long, x0 double, y0 double, u double, v double, a double, b double"
-    )
-    t = F.col("t")
+    names = ", ".join(f"{name} double" for name, _, _ in DRAWS)
+    entities = spark.createDataFrame(rows, f"game_id long, play_id long, nfl_id long, {names}")
+    t = (F.col("t") - OBSERVED) / F.lit(RATE)
     points = entities.select("*", F.explode(F.sequence(F.lit(1), F.lit(OBSERVED + FUTURE))).alias("t")).select(
         "game_id",
         "play_id",
         "nfl_id",
-        t.cast("long").alias("t"),
-        F.round(F.col("x0") + F.col("u") * t + F.col("a") * t * t / 2, 6).alias("x"),
-        F.round(F.col("y0") + F.col("v") * t + F.col("b") * t * t / 2, 6).alias("y"),
+        F.col("t").cast("long").alias("t"),
+        F.round(F.expr(START[0]) + F.col("x0") + F.col("u") * t + 0.5 * F.col("a") * t * t, 6).alias("x"),
+        F.round(F.expr(START[1]) + F.col("y0") + F.col("v") * t + 0.5 * F.col("b") * t * t, 6).alias("y"),
     )
     observed = points.where(F.col("t") <= OBSERVED).withColumnRenamed("t", "frame_id").select(*KEYS, "x", "y")
     labels = points.where(F.col("t") > OBSERVED).withColumn("frame_id", F.col("t") - OBSERVED).select(*KEYS, "x", "y")

@@ -48,7 +48,13 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def embedded_json(spark: SparkSession, path: str, variable: str, schema: str) -> DataFrame:
-    """A JSON array assigned to a variable in a script, as rows."""
+    """The rows of a JSON array, or the one row of an object, that a script assigns to a variable.
+
+    The value stands as such, or as a string literal that JSON.parse reads: then it is decoded twice.
+    """
     text = spark.read.text(path, wholetext=True)
-    body = F.regexp_extract("value", rf"(?s)\b{variable}\s*=\s*(\[.*?\])\s*;", 1)
-    return text.select(F.explode(F.from_json(body, f"array<{schema}>")).alias("r")).select("r.*")
+    plain = F.regexp_extract("value", rf"(?s)\b{variable}\s*=\s*([\[{{].*?[\]}}])\s*;", 1)
+    quoted = F.regexp_extract("value", rf'(?s)\b{variable}\s*=\s*JSON\.parse\(\s*(".*?[\]}}]")\s*\)', 1)
+    body = F.when(quoted != "", F.get_json_object(F.concat(F.lit('{"v":'), quoted, F.lit("}")), "$.v")).otherwise(plain)
+    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    return text.select(F.explode(F.from_json(listed, f"array<{schema}>")).alias("r")).select("r.*")

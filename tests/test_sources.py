@@ -41,6 +41,10 @@ def test_writers(spark, tmp_path):
     script = tmp_path / "data.js"
     script.write_text('window.rows = [{"game_id": 3, "partition": "c"}];\n')
     assert tuple(tables.embedded_json(spark, str(script), "rows", "struct<game_id:bigint,partition:string>").first()) == (3, "c")
+    body = json.dumps(json.dumps({"labels": [{"game_id": 4}], "note": 'a "b" \\ c'}))
+    script.write_text(f"const x = 1;\nwindow.demo = JSON.parse({body});\n")
+    r = tables.embedded_json(spark, str(script), "demo", "struct<labels:array<struct<game_id:bigint>>,note:string>").first()
+    assert (r.labels[0].game_id, r.note) == (4, 'a "b" \\ c')
 
 
 def test_manifest(spark, tmp_path):
@@ -64,25 +68,27 @@ def test_write_once(tmp_path):
             artifacts.safe_member(tmp_path, bad)
 
 
-def test_stage_reuse(tmp_path):
-    runs = []
+def test_stored_stage(spark, tmp_path):
+    runs, log = [], tmp_path / "log.jsonl"
 
-    def action():
+    def build(rows=5):
         runs.append(1)
-        (tmp_path / "out.txt").write_text("data")
-
-    with artifacts.EventLog(tmp_path / "log.jsonl") as log:
-        assert artifacts.run_stage(tmp_path, "s", "v1", ["out.txt"], action, log)
-        assert not artifacts.run_stage(tmp_path, "s", "v1", ["out.txt"], action, log)
-        (tmp_path / "out.txt").write_text("broken")
-        assert artifacts.run_stage(tmp_path, "s", "v1", ["out.txt"], action, log)
-        assert artifacts.run_stage(tmp_path, "s", "v2", ["out.txt"], action, log)
-        with pytest.raises(ZeroDivisionError):
-            artifacts.run_stage(tmp_path, "s", "v3", ["out.txt"], lambda: 1 / 0, log)
-        assert artifacts.run_stage(tmp_path, "s", "v2", ["out.txt"], action, log)
-    assert len(runs) == 4
-    events = [json.loads(x)["event"] for x in (tmp_path / "log.jsonl").read_text().splitlines()]
-    assert events == ["start", "ran", "reused", "ran", "ran", "ran", "completed"]
+        return spark.range(rows)
+
+    def stage(signature, f=build):
+        return artifacts.stored(spark, str(tmp_path), "s", signature, f, log)
+
+    assert stage("v1").count() == stage("v1").count() == 5 and len(runs) == 1
+    part = next(p for p in (tmp_path / "s-v1").glob("*.parquet") if p.stat().st_size)
+    part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+    part.unlink()
+    assert stage("v1").count() == 5 and len(runs) == 2
+    assert stage("v2", lambda: build(7)).count() == 7
+    with pytest.raises(ZeroDivisionError):
+        stage("v3", lambda: 1 / 0)
+    events = [json.loads(x) for x in log.read_text().splitlines()]
+    assert [e["event"] for e in events] == ["built", "reused", "built", "built", "failed"]
+    assert events[-1]["error"] == "ZeroDivisionError" and "zero" not in log.read_text()
     (tmp_path / "in.txt").write_text("1")
     first = artifacts.fingerprint(tmp_path, ["in.txt"], {"a": 1})
     assert first == artifacts.fingerprint(tmp_path, ["in.txt"], {"a": 1}) != artifacts.fingerprint(tmp_path, ["in.txt"], {"a": 2})
