@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -52,14 +53,26 @@ def count_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return count(text)
 
 
-def stable(text: str, low: int, high: int) -> list[int]:
-    """Positions of a blank between two letters, all three of them in [low, high).
+@cache
+def _special(vocabulary: str) -> tuple[frozenset[str], int, bool]:
+    """Characters of the special strings, the length of the longest, whether one is letters alone."""
+    held = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values()]
+    return frozenset("".join(held)), max(map(len, held), default=0), any(t.isalpha() for t in held)
+
+
+def stable(text: str, low: int, high: int, special: frozenset[str] = frozenset()) -> list[int]:
+    """Positions behind a letter, in [low, high), where a byte-level pre-tokenizer always cuts.
 
-    A byte-level pre-tokenizer ends a token before and begins one at such a blank,
-    whatever stands further left or right: runs of letters don't hold blanks, and a blank
-    with a letter behind it opens that letter's run. No special string holds a blank.
+    A run of letters ends where something else stands, whatever is further left or right. A blank counts with a letter
+    behind it; other characters if they are no mark or apostrophe (some pre-tokenizers join these to letters) and in
+    no special string, which could hold the position.
     """
-    return [p for p in range(low + 1, high - 1) if text[p] == " " and text[p - 1].isalpha() and text[p + 1].isalpha()]
+    return [
+        p
+        for p in range(low + 1, high - 1)
+        if text[p - 1].isalpha()
+        and (text[p + 1].isalpha() if text[p] == " " else not (text[p].isalpha() or text[p] in "'\u2019" or text[p] in special or unicodedata.category(text[p])[0] == "M"))
+    ]
 
 
 def chunk_tokens(text: str, first: bool, last: bool, overlap: int, vocabulary: str = VOCABULARY) -> tuple[int, int, int, int, int]:
@@ -71,7 +84,8 @@ def chunk_tokens(text: str, first: bool, last: bool, overlap: int, vocabulary: s
     from the overlap's start). A cut of -1: no stable boundary in the overlap.
     """
     code = _tokenizer(vocabulary).encode(text, add_special_tokens=False)
-    starts = [a for a, _ in code.offsets]
+    ids, offsets = code.ids, code.offsets  # each access makes a new list
+    starts = [a for a, _ in offsets]
 
     def index(at: int) -> int:
         low, high = 0, len(starts)
@@ -80,12 +94,24 @@ def chunk_tokens(text: str, first: bool, last: bool, overlap: int, vocabulary: s
             low, high = (mid + 1, high) if starts[mid] < at else (low, mid)
         return low
 
+    held, longest, lettered = _special(vocabulary)
+
     def seam(begin: int) -> tuple[int, int, int]:
-        found = stable(text, begin, begin + overlap)
-        if len(found) < 2:  # the stretch between two boundaries is what both windows compare
+        found = stable(text, begin, begin + overlap, held)
+        if len(found) >= 2:  # the stretch between two boundaries is what both windows compare
+            a, b = index(found[0]), index(found[-1])
+            return found[0] - begin, hash(tuple(ids[a:b])), a
+        low, high = begin + overlap // 4, begin + overlap - overlap // 4
+        if lettered or high - low <= 2 * longest + 8 or not text[begin : begin + overlap].isalpha():
+            return -1, 0, -1
+        # One run of letters: merges don't cross a boundary whose two tokens are neighbours in a valid encoding, so the
+        # windows splice where both have the same tokens around one.
+        inside = [(i, offsets[i]) for i in range(index(low), index(high)) if offsets[i][1] <= high]
+        cuts = [i for (_, (_, end)), (i, (start, _)) in zip(inside, inside[1:], strict=False) if end == start]
+        if not cuts:
             return -1, 0, -1
-        a, b = index(found[0]), index(found[-1])
-        return found[0] - begin, hash(tuple(code.ids[a:b])), a
+        at = cuts[len(cuts) // 2]
+        return starts[at] - begin, hash(tuple((ids[i], x - begin, y - begin) for i, (x, y) in inside)), at
 
     left = (0, 0, 0) if first else seam(0)
     right = (0, 0, len(starts)) if last else seam(len(text) - overlap)
@@ -169,7 +195,8 @@ def with_token_counts(
     ones are cut into windows that overlap and are dealt over all tasks, so
     that no task encodes a huge text alone. Neighbours splice at the first boundary in their overlap
     that no context can move, if both have the same tokens from it to the overlap's
-    last such boundary; else the text comes again with overlaps eight times as wide.
+    last such boundary; inside one run of letters, where both have the same tokens in its middle half. Else the text comes again
+    with overlaps eight times as wide; in the end it is encoded whole (long runs of one digit or sign).
 
     Null text counts as empty: 0 bytes, 0 tokens. Repeated rows count alike. Columns of the
     names made are replaced, the others (or `keep`) stay. Empty table: no rows.

@@ -308,3 +308,26 @@ def test_quality_agrees_with_labels(spark):
     good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
     assert sum(good) / len(good) > 0.97
     assert sum(bad) / len(bad) < 0.5
+
+
+@pytest.mark.parametrize("kind", ["letters", "base64", "repeats", "special"])
+def test_tokens_without_blanks(kind):
+    """Texts without blanks splice inside runs of letters, and give what the whole text gives."""
+    draw = random.Random(11)
+    ideographs = [chr(c) for c in range(0x4E00, 0x5100)]
+    pool = {
+        "letters": ideographs,
+        "base64": list("abcdefghijXYZ0123456789+/="),
+        "repeats": ["ab"],
+        "special": ["<|endoftext|>", "abc", "'s", "<|", "|>", "7", "don't"],
+    }[kind]
+    own, spliced = tokens._tokenizer(tokens.VOCABULARY), 0
+    for limit, overlap in [(300, 200), (1000, 128), (777, 333)]:
+        text = "".join(draw.choice(pool) for _ in range(3000))
+        n = -(-(len(text) - overlap) // limit)
+        cut = [text[k * limit : (k + 1) * limit + overlap] if k < n - 1 else text[k * limit :] for k in range(n)]
+        parts = [tokens.chunk_tokens(w, k == 0, k == n - 1, overlap) for k, w in enumerate(cut)]
+        if all(b[1] >= 0 and b[1:3] == a[3:5] for a, b in zip(parts, parts[1:], strict=False)):
+            spliced += 1
+            assert sum(p[0] for p in parts) == len(own.encode(text, add_special_tokens=False))
+    assert spliced or kind == "special"
