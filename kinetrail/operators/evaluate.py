@@ -177,6 +177,34 @@ def paired_by_game(errors: DataFrame) -> DataFrame:
     )
 
 
+def pairing(errors: DataFrame) -> DataFrame:
+    """(model_a, model_b, games, unmatched, pairable): pairing wants equal keys and two games at least.
+
+    The models of each key (a few names) are grouped once; what is compared is counts by set of models and game.
+    """
+    sets = errors.groupBy(*KEYS).agg(F.sort_array(F.collect_set("model")).alias("models"))
+    sets = sets.groupBy("models", "game_id").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    names = errors.select("model").distinct().withColumn("one", F.lit(1))
+    a, b = (names.select(F.col("model").alias(f"model_{s}"), "one") for s in "ab")
+    holds = [F.array_contains("models", F.col(f"model_{s}")) for s in "ab"]
+    return (
+        a.join(b, "one").where("model_a < model_b").join(sets, "one")
+        .groupBy("model_a", "model_b")
+        .agg(
+            F.countDistinct(F.when(holds[0] & holds[1], F.col("game_id"))).alias("games"),
+            F.coalesce(F.sum(F.when(holds[0] != holds[1], F.col("n"))), F.lit(0)).cast("long").alias("unmatched"),
+        )
+        .withColumn("pairable", (F.col("unmatched") == 0) & (F.col("games") >= 2))
+    )
+
+
+def require_pairable(errors: DataFrame) -> None:
+    """Raises unless each two models cover the same keys, of two games at least."""
+    bad = pairing(errors).where("NOT pairable").select("model_a", "model_b").orderBy("model_a", "model_b").first()
+    if bad:
+        raise ValueError(f"{bad.model_a} and {bad.model_b} can't be paired")
+
+
 def win_loss(paired: DataFrame) -> DataFrame:
     """Games that the second model of a pair wins, loses and ties."""
     delta = F.col("sse_delta")

@@ -18,6 +18,20 @@ LINK = r"(?i)\b(?:href|src)\s*=\s*[\"']([^\"']*)[\"']"
 REMOTE = r"(?i)^(?:https?:)?//"
 ACTIVE = r"(?i)<(script|iframe|object|embed|base)\b"
 
+CSS_URL = r"(?i)\burl\(\s*[\"']?([^\"')]*)"
+CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+SECURE = r"(?i)\bhref\s*=\s*[\"']?https://[^/\s\"'>]"
+SVG = r"(?is)<svg\b.*?</svg>"
+#: Rules that are counts of a pattern in the whole page, and in each of its drawings.
+ASSETS = {
+    "frames": r"(?i)<(iframe|object|embed|base)\b",
+    "refresh": r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b",
+    "srcset": r"(?i)<(script|img|source|audio|video|link)\b[^>]*\ssrcset\s*=",
+    "css_import": r"(?i)@import\b",
+    "module_import": r"(?:^|[^@\w])import\s*[(\"']",
+}
+DRAWN = {"svg_active": r"(?i)<(script|foreignObject)\b", "svg_handler": r"(?i)\son[a-z]+\s*="}
+
 
 def count_by_pattern(docs: DataFrame, text: str = "text", patterns: dict[str, str] | None = None) -> DataFrame:
     """(pattern, documents that match, matches), all patterns in one scan."""
@@ -58,6 +72,21 @@ def page_flags(pages: DataFrame) -> DataFrame:
     )
 
 
+def asset_findings(pages: DataFrame) -> DataFrame:
+    """Per page how often each asset rule is broken: containers, redirects, style sheets, drawings, canonical addresses."""
+    html = F.coalesce("html", F.lit(""))
+    drawings = F.concat_ws("\n", F.regexp_extract_all(html, F.lit(SVG), 0))
+    css = F.regexp_extract_all(html, F.lit(CSS_URL), 1)
+    canonical = F.regexp_extract_all(html, F.lit(CANONICAL), 0)
+    return pages.select(
+        "page_id",
+        *[F.regexp_count(html, F.lit(p)).cast("long").alias(k) for k, p in ASSETS.items()],
+        *[F.regexp_count(drawings, F.lit(p)).cast("long").alias(k) for k, p in DRAWN.items()],
+        F.size(F.filter(css, lambda x: x.rlike(REMOTE))).cast("long").alias("css_remote"),
+        F.size(F.filter(canonical, lambda x: ~x.rlike(SECURE))).cast("long").alias("bad_canonical"),
+    )
+
+
 def decoded_host(url: Column) -> Column:
     """The host of a percent-encoded address; null where there is none."""
     return F.try_parse_url(F.try_url_decode(url), F.lit("HOST"))

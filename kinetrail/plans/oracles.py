@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators.ridge import UPPER, N
-from ..operators.scan import ACTIVE, CREDENTIALS, LINK, NETWORK, REMOTE
+from ..operators.scan import ACTIVE, ASSETS, CANONICAL, CREDENTIALS, CSS_URL, DRAWN, LINK, NETWORK, REMOTE, SECURE, SVG
+from ..operators.select import BLOCKED_SUFFIXES
 from ..sources.synthetic import PARTITION
 from .queries import COMPARED, DIGITS, FORECASTS, GLOBAL_WEIGHTS, ROLE_WEIGHTS
 
@@ -282,3 +283,50 @@ pt AS (SELECT game_id, play_id, x, y FROM obs UNION ALL
 }
 for _name, _m in FORECASTS.items():
     ORACLES[_name] = _with(TRACKS, f"SELECT {KEYS}, {_nudged(_model(_m, 'x'), DIGITS.get(_m, 6))} AS x, {_nudged(_model(_m, 'y'), DIGITS.get(_m, 6))} AS y FROM rq")
+
+
+def _count(text: str, pattern: str, broken: str = "") -> str:
+    found = f"regexp_extract_all({text}, {_quoted(pattern)}, {1 if pattern == CSS_URL else 0})"
+    return f"CAST(len({f'list_filter({found}, lambda x: {broken})' if broken else found}) AS BIGINT)"
+
+
+_DRAWN = f"array_to_string(regexp_extract_all(html, {_quoted(SVG)}), chr(10))"
+_ORDERED = TRACKS + f",\nro AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) - 1 AS request_order FROM lab)"
+_ENDS = "['index.html', 'model.PT', 'a.tar.gz', '.env.local', 'secrets.json', 'notes']"
+_SUFFIXES = ", ".join(_quoted(s) for s in BLOCKED_SUFFIXES)
+ORACLES |= {
+    "asset_scan": "SELECT page_id, "
+    + ", ".join(
+        [f"{_count('html', p)} AS {k}" for k, p in ASSETS.items()]
+        + [f"{_count('drawn', p)} AS {k}" for k, p in DRAWN.items()]
+        + [f"{_count('html', CSS_URL, f'regexp_matches(x, {_quoted(REMOTE)})')} AS css_remote"]
+        + [f"{_count('html', CANONICAL, f'NOT regexp_matches(x, {_quoted(SECURE)})')} AS bad_canonical"]
+    )
+    + f" FROM (SELECT page_id, html, {_DRAWN} AS drawn FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))",
+    "request_order": _with(_ORDERED, "SELECT * FROM ro"),
+    "order_mismatch": _with(
+        _ORDERED,
+        """SELECT r.request_order, r.frame_id AS wanted_frame, g.frame_id AS given_frame FROM ro r LEFT JOIN (
+  SELECT request_order, CASE WHEN nfl_id % 5 = 0 THEN 13 - frame_id ELSE frame_id END AS frame_id FROM ro WHERE NOT (nfl_id % 9 = 0 AND frame_id = 12)) g
+  USING (request_order) WHERE r.frame_id IS DISTINCT FROM g.frame_id""",
+    ),
+    "pairing_check": _with(
+        _errors()
+        + f""",
+ke AS (SELECT model, {KEYS} FROM sq WHERE NOT (model = 'ball_arrival' AND nfl_id = 3) AND NOT (model = 'last_position' AND game_id <> 102)),
+md AS (SELECT DISTINCT model FROM ke),
+al AS (SELECT a.model AS model_a, b.model AS model_b, k.*, EXISTS (FROM ke x WHERE x.model = a.model AND ({", ".join("x." + k for k in KEYS.split(", "))}) = ({", ".join("k." + k for k in KEYS.split(", "))})) AS in_a,
+       EXISTS (FROM ke x WHERE x.model = b.model AND ({", ".join("x." + k for k in KEYS.split(", "))}) = ({", ".join("k." + k for k in KEYS.split(", "))})) AS in_b
+       FROM md a JOIN md b ON a.model < b.model CROSS JOIN (SELECT DISTINCT {KEYS} FROM ke) k),
+pa AS (SELECT model_a, model_b, count(DISTINCT game_id) FILTER (WHERE in_a AND in_b) AS games, count(*) FILTER (WHERE in_a <> in_b) AS unmatched FROM al GROUP BY ALL)""",
+        "SELECT *, unmatched = 0 AND games >= 2 AS pairable FROM pa",
+    ),
+    "play_selection": _with(TRACKS, f"SELECT {KEYS}, round(x, 6) AS x, round(y, 6) AS y FROM obs WHERE game_id = 103 AND play_id = 1"),
+    "historical_row": f"SELECT * FROM ({ORACLES['rmse_by_game']}) WHERE model = 'last_position' AND game_id = 103",
+    "blocked_files": f"""SELECT page_id, path FROM (SELECT page_id, {_ENDS}[page_id % 6 + 1] AS name, 'site/' || page_id || '/' || {_ENDS}[page_id % 6 + 1] AS path FROM pages)
+WHERE lower(regexp_extract(name, '[^.](\\.[^.]+)$', 1)) IN ({_SUFFIXES}) OR name = 'secrets.json' OR name LIKE '.env%'""",
+    "exact_sums": _with(
+        TRACKS,
+        "SELECT fr.event_type AS player_role, count(*) AS n, round(fsum(o.x), 6) AS x FROM obs o JOIN fr USING (game_id, play_id, nfl_id) WHERE fr.f = 8 GROUP BY ALL",
+    ),
+}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.motion import MODELS
-from ..operators import evaluate, report, ridge, scan, validate
+from ..operators import evaluate, order, report, ridge, scan, select, sums, validate
 from ..operators.forecast import design, predict, ridge_predict
 from ..operators.split import split_games
 from ..operators.state import observed_state
@@ -333,3 +333,55 @@ def remote_ref_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.page_flags(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query
+def asset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.asset_findings(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def request_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.with_order(load(spark, sf_dir).requests)
+
+
+@query
+def order_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of requests whose prediction is another's, after every fifth player's frames came reversed and every ninth's last one is gone."""
+    requests = order.with_order(load(spark, sf_dir).requests)
+    reverse = F.when(F.col("nfl_id") % 5 == 0, 13 - F.col("frame_id")).otherwise(F.col("frame_id"))
+    given = requests.where("NOT (nfl_id % 9 = 0 AND frame_id = 12)").withColumn("frame_id", reverse)
+    return order.order_mismatches(given, requests).select(
+        "request_order", F.col("wanted.frame_id").alias("wanted_frame"), F.col("given.frame_id").alias("given_frame")
+    )
+
+
+@query
+def pairing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which models can be paired once one of them misses a player and another all games but one."""
+    found = errors(spark, sf_dir)
+    return evaluate.pairing(found.where("NOT (model = 'ball_arrival' AND nfl_id = 3) AND NOT (model = 'last_position' AND game_id <> 102)"))
+
+
+@query
+def play_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first play of a game, all players."""
+    return select.chosen(load(spark, sf_dir).observed, game=103, play="1", player=select.ALL).select(*KEYS, *r6("x", "y"))
+
+
+@query
+def historical_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.only(rmse_by_game(spark, sf_dir), "model = 'last_position' AND game_id = 103")
+
+
+@query
+def blocked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocked names among one file a page."""
+    ends = ["index.html", "model.PT", "a.tar.gz", ".env.local", "secrets.json", "notes"]
+    name = F.element_at(F.array(*map(F.lit, ends)), (F.pmod("page_id", F.lit(len(ends))) + 1).cast("int"))
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("site/"), "page_id", F.lit("/"), name).alias("path"))
+    return select.blocked_paths(files, names=["Secrets.json"])
+
+
+@query
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of all observed positions per role, rounded once."""
+    return sums.exact_sum(load(spark, sf_dir).observed, "x", "player_role").select("player_role", "n", *r6("x"))
