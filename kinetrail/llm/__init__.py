@@ -19,4 +19,7 @@ ORACLE_SQL = {
     "op2_chat": chat.OP2_SQL,
     "op3_lines": lines.OP3_SQL,
     "op5_leaks": leaks.OP5_SQL,
+    "op6_neardup": neardup.OP6_SQL,
+    "op7_repeats": repeats.OP7_SQL,
+    "op8_secrets": secrets.OP8_SQL,
 }

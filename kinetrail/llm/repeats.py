@@ -437,3 +437,27 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that occur again."""
     out = drop_repeats(documents(spark, sf_dir), keep=["doc_id"])
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window, in pieces of 4096 bytes: for tables of a few megabytes.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (
+  SELECT doc_id, c, substring(h, 2 * c + 1, 8590) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 4096)) AS c FROM d)),
+spot AS (
+  SELECT doc_id, c + o AS p, md5_number(substring(h, 2 * o + 1, 400)) AS k
+  FROM (SELECT doc_id, c, h, unnest(range(0, least(len(h) // 2 - 199, 4096))) AS o FROM piece)),
+hit AS (SELECT doc_id, p FROM spot JOIN (SELECT k FROM spot GROUP BY k HAVING count(*) > 1) USING (k)),
+edge AS (SELECT *, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 200 AS fresh FROM hit),
+run AS (SELECT *, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM edge),
+span AS (SELECT doc_id, min(p) AS b, max(p) + 200 AS e FROM run GROUP BY doc_id, r),
+gap AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM span),
+cut AS (
+  SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last,
+    string_agg(substring(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS kept
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

@@ -263,3 +263,53 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.filter("secrets", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("secrets")).alias("spans"),
     )
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: Fixed values of the query: kind, pattern, group, fewest characters; base kinds first.
+STATED = (
+    (
+        "assign",
+        f"({'|'.join(map(_either, ('password', 'passwd', 'secret', 'token', 'api_?key')))})"
+        r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        6,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("map", "AIza[0-9A-Za-z_-]{35}", 0, 1),
+)
+
+
+def _hits(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """A kind's matches, and what lies between them: their lengths add up to the positions."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, {k} AS k, '{kind}' AS kind, found, rest, i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS found, "
+        f"string_split_regex(t, {p}) AS rest, unnest(range(1, len(found) + 1)) AS i FROM d) "
+        f"WHERE length(regexp_extract(found[i], {p}, {group})) >= {least}"
+    )
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hit AS (
+  {" UNION ALL ".join(_hits(k, *s) for k, s in enumerate(STATED))}),
+span AS (
+  SELECT doc_id, k, kind, length(found[i]) AS n, length(array_to_string(rest[1:i], '') || array_to_string(found[1:i - 1], '')) AS a FROM hit),
+listed AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(concat_ws(':', kind, a, a + n), ',' ORDER BY a, k) FILTER (k < 3) AS base,
+    string_agg(concat_ws(':', kind, a, a + n), ',' ORDER BY a, k) AS spans
+  FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
