@@ -13,7 +13,7 @@ class WordHashes(dict):
     """Hash of each word seen; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
