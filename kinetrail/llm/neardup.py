@@ -166,29 +166,47 @@ def _numbers(block: pa.Table, count: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return asks, ids, comps, np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint16).reshape(-1, count)
 
 
-def _against(sig: np.ndarray, comp: int, sigs: np.ndarray, comps: np.ndarray, band: int, bands: int, rows: int, percent: int, miss: float) -> np.ndarray:
-    """Members of other components whose signatures no batch prunes and whose first common band this is, likeliest first."""
-    other = np.flatnonzero(comps != comp)
-    alive = other[surviving(np.broadcast_to(sig, (len(other), bands * rows)), sigs[other], percent, BATCH, miss)]
-    if not len(alive):
-        return alive
-    here = int(np.flatnonzero(band_keys(sig, bands, rows) == band)[0])
-    same = sigs[alive] == sig
-    first = same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == here
-    return alive[first][np.argsort(-same[first].sum(axis=1), kind="stable")]
+def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many positions each row of left has in common with each row of right; at most 255 positions."""
+    columns, out = np.ascontiguousarray(right.T), np.zeros((len(left), len(right)), np.uint8)
+    for k, column in enumerate(columns):
+        out += left[:, k, None] == column
+    return out
+
+
+def _likely(block: pa.Table, band: int, bands: int, rows: int, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (asking, asked) of a block that signatures don't rule out: of other components, in their first common band only.
+
+    The first batch of positions is counted for all pairs of the block at once, later ones for what it leaves.
+    In the order of the asking rows, likeliest partners first.
+    """
+    asks, _, comps, sigs = _numbers(block, bands * rows)
+    of, to = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(of) or not len(to):
+        return of[:0], to[:0]
+    here = int(np.flatnonzero(band_keys(sigs[of[0]], bands, rows) == band)[0])
+    (seen, least), *later = _least_matches(bands * rows, percent, BATCH, miss) or ((0, 0),)
+    common = _shared(sigs[of, :seen], sigs[to, :seen])
+    i, k = np.nonzero((common >= least) & (comps[of, None] != comps[to]))
+    matches, i, k = common[i, k].astype(np.int64), of[i], to[k]
+    for n, least in later:
+        matches = matches + (sigs[i, seen:n] == sigs[k, seen:n]).sum(axis=1)
+        on = matches >= least
+        i, k, matches, seen = i[on], k[on], matches[on], n
+    earlier = (sigs[i, : here * rows] == sigs[k, : here * rows]).reshape(len(i), here, rows).all(axis=2).any(axis=1)
+    here_too = (sigs[i, here * rows : (here + 1) * rows] == sigs[k, here * rows : (here + 1) * rows]).all(axis=1)
+    first = np.flatnonzero(here_too & ~earlier)
+    first = first[np.lexsort((-matches[first], i[first]))]
+    return i[first], k[first]
 
 
 def _matched(bands: int, rows: int, percent: int, miss: float):
     """Who of a block of outsiders, and of a block of a band's members, has a pair that signatures don't rule out."""
 
     def compare(key: tuple, block: pa.Table) -> pa.Table:
-        asks, ids, comps, sigs = _numbers(block, bands * rows)
-        of, partner = np.flatnonzero(~asks), np.zeros(len(asks), bool)
-        if len(of):
-            for i in np.flatnonzero(asks).tolist():
-                alive = _against(sigs[i], comps[i], sigs[of], comps[of], key[0].as_py(), bands, rows, percent, miss)
-                partner[i] = len(alive) > 0
-                partner[of[alive]] = True
+        partner = np.zeros(block.num_rows, bool)
+        for side in _likely(block, key[0].as_py(), bands, rows, percent, miss):
+            partner[side] = True
         return block.drop_columns("sig").filter(pa.array(partner))
 
     return compare
@@ -200,25 +218,21 @@ def _across(bands: int, rows: int, percent: int, size: int, miss: float):
     A pair is compared in its first common band only: signatures first, then whole texts, likeliest
     pairs first. Components that a link of this block has joined already need no second one.
     """
-    count = bands * rows
 
     def compare(key: tuple, block: pa.Table) -> pa.Table:
-        asks, ids, comps, sigs = _numbers(block, count)
-        of, texts = np.flatnonzero(~asks), block.column("text").to_pylist()
-        found, joined, sets = [], {}, _Sets(size)
+        ids, comps = (block.column(c).to_pylist() for c in ("id", "comp"))
+        texts, found, joined, sets = block.column("text").to_pylist(), [], {}, _Sets(size)
 
         def find(comp: int) -> int:
             while comp in joined:
                 comp = joined[comp]
             return comp
 
-        if len(of):
-            for i in np.flatnonzero(asks).tolist():
-                for k in of[_against(sigs[i], comps[i], sigs[of], comps[of], key[0].as_py(), bands, rows, percent, miss)].tolist():
-                    a, b = find(int(comps[i])), find(int(comps[k]))
-                    if a != b and alike(sets[texts[i]], sets[texts[k]], percent):
-                        joined[max(a, b)] = min(a, b)
-                        found.append({"a": int(min(ids[i], ids[k])), "b": int(max(ids[i], ids[k]))})
+        for i, k in zip(*(x.tolist() for x in _likely(block, key[0].as_py(), bands, rows, percent, miss)), strict=True):
+            a, b = find(comps[i]), find(comps[k])
+            if a != b and alike(sets[texts[i]], sets[texts[k]], percent):
+                joined[max(a, b)] = min(a, b)
+                found.append({"a": min(ids[i], ids[k]), "b": max(ids[i], ids[k])})
         return pa.Table.from_pylist(found, schema=_LINK)
 
     return compare
@@ -292,8 +306,13 @@ def near_groups(
         near = rows.groupBy("id").agg(few.alias("p")).select("id", F.explode("p.pivot").alias("pivot"))
         return near.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels of components that further links join: what the labels say stands for the links behind them."""
+        return saved(components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links)), "near-labels")
+
     links = own.unionByName(verified(stars(member.where("id != low").withColumnRenamed("low", "pivot"), F.col("pivot"))))
     labels = saved(components(links), "near-labels")
+    links = own.limit(0)
     for star in range(1, STARS + 1):
         labelled = member.select("band", "id", "w").join(labels, "id", "left").select("band", "id", "w", F.coalesce("comp", "id").alias("comp"))
         split = (
@@ -313,11 +332,10 @@ def near_groups(
         tried, more = pairs.count(), verified(pairs)
         gained = more.count()
         discard(pairs)
-        if gained:
-            links = links.unionByName(more)
         if gained * 20 <= tried:  # labels that miss a few links cost some comparisons below, nothing else
+            links = more
             break
-        labels = saved(components(links), "near-labels")
+        labels = joined(labels, more)
     if tried:
         blocks = open_.withColumns(
             {
@@ -349,8 +367,7 @@ def near_groups(
             .applyInArrow(_across(bands, rows, percent, size, miss), "a long, b long")
             .distinct()
         )
-        links = links.unionByName(saved(pairs, "near-links"))
-        labels = saved(components(links), "near-labels")
+        labels = joined(labels, links.unionByName(saved(pairs, "near-links")))
     discard(known, member, open_, own)
     named = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "d1", "d2", "n", F.coalesce("comp", "rep").alias("comp")
