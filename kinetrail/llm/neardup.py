@@ -349,7 +349,7 @@ def near_groups(
         cells = blocks.select("band", "id", "comp", F.lit(False).alias("asks"), F.explode(every).alias("cell")).unionByName(
             blocks.where("comp != main").select("band", "id", "comp", F.lit(True).alias("asks"), F.explode(outer).alias("cell"))
         )
-        parts = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         place = ["band", "x", "y"]
         dealt = cells.select("band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "id", "comp", "asks")
         matched = saved(
