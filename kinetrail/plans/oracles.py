@@ -330,3 +330,58 @@ WHERE lower(regexp_extract(name, '[^.](\\.[^.]+)$', 1)) IN ({_SUFFIXES}) OR name
         "SELECT fr.event_type AS player_role, count(*) AS n, round(fsum(o.x), 6) AS x FROM obs o JOIN fr USING (game_id, play_id, nfl_id) WHERE fr.f = 8 GROUP BY ALL",
     ),
 }
+
+
+def _fitted() -> str:
+    """CTEs from the basis to `wt`, role and total weights w1..wN: scaled normal equations, eliminated and substituted back."""
+    terms = range(1, N + 1)
+    train = ", ".join(str(g) for g, p in PARTITION.items() if p == "train")
+    sums = [f"sum(fx{i} * fx{j} + fy{i} * fy{j}) AS g{i}{j}" for i, j in UPPER]
+    sums += [f"sum(fx{i} * (tx - x) + fy{i} * (ty - y)) AS r{i}" for i in terms]
+    scales = [f"sqrt(greatest(g{i}{i} / n, 1e-12)) AS s{i}" for i in terms]
+    scaled = [f"g{i}{j} / (s{i} * s{j} * n) + {0.001 if i == j else 0.0}::DOUBLE AS a{i}{j}" for i, j in UPPER]
+    scaled += [f"r{i} / (s{i} * n) AS b{i}" for i in terms]
+    steps = []
+    for k in terms[:-1]:
+        later = [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i, j in UPPER if i > k]
+        later += [f"b{i} - a{k}{i} * b{k} / a{k}{k} AS b{i}" for i in terms if i > k]
+        steps.append(f"e{k} AS (SELECT * REPLACE ({', '.join(later)}) FROM e{k - 1})")
+    for k in reversed(terms):
+        known = "".join(f" - a{k}{j} * z{j}" for j in range(k + 1, N + 1))
+        steps.append(f"u{k} AS (SELECT *, (b{k}{known}) / a{k}{k} AS z{k} FROM {f'u{k + 1}' if k < N else f'e{N - 1}'})")
+    return (
+        f"""{_BASIS},
+sm AS (SELECT player_role, grouping(player_role) = 1 AS is_total, 2 * count(*) AS n, {", ".join(sums)} FROM ba WHERE game_id IN ({train}) GROUP BY ROLLUP (player_role)),
+sc AS (SELECT *, {", ".join(scales)} FROM sm),
+e0 AS (SELECT *, {", ".join(scaled)} FROM sc),
+"""
+        + ",\n".join(steps)
+        + f",\nwt AS (SELECT player_role, is_total, {', '.join(f'z{i} / s{i} AS w{i}' for i in terms)} FROM u1)"
+    )
+
+
+def _fitted_error(a: str) -> str:
+    return f"{a} - t{a}" + "".join(f" + f{a}{k} * coalesce(r.w{k}, g.w{k})" for k in range(1, N + 1))
+
+
+ORACLES["ridge_fitted"] = _with(
+    _fitted()
+    + f""",
+re AS (SELECT ba.game_id, {_fitted_error("x")} AS dx, {_fitted_error("y")} AS dy
+       FROM ba LEFT JOIN wt r ON r.player_role = ba.player_role AND NOT r.is_total JOIN wt g ON g.is_total)""",
+    "SELECT 'role_ridge' AS model, game_id, count(*) AS n, round(sqrt(sum(dx * dx + dy * dy) / (2.0 * count(*))), 6) AS rmse FROM re GROUP BY game_id",
+)
+
+
+def _listed(table: str, columns: str, name: str) -> str:
+    fields = ", ".join(f"{c.split()[-1]} := {c.split()[0]}" for c in columns.split(", "))
+    return f"(SELECT game_id, play_id, list(struct_pack({fields}) ORDER BY nfl_id, frame_id) AS {name} FROM {table} GROUP BY ALL)"
+
+
+_POINTS = f"{KEYS}, x, y"
+ORACLES["selection_export"] = _with(
+    TRACKS,
+    f"""SELECT game_id, play_id, CAST(to_json(struct_pack(inputs := inputs, requests := requests, predictions := predictions, labels := labels)) AS VARCHAR) AS document
+FROM {_listed("obs", _POINTS, "inputs")} JOIN {_listed("lab", KEYS, "requests")} USING (game_id, play_id)
+JOIN {_listed("rq", f"'last_position' model, {_POINTS}", "predictions")} USING (game_id, play_id) JOIN {_listed("lab", _POINTS, "labels")} USING (game_id, play_id)""",
+)
