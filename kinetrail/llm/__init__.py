@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, and their registered queries."""
 
-from . import chat, leaks, licenses, lines, mixing, neardup, quality, repeats, secrets, tokens
+from . import chat, leaks, licenses, lines, mixing, neardup, quality, repeats, resample, search, secrets, simhash, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
+    "op11_resample": resample.op11_resample,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_search": search.op13_search,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op6_neardup": neardup.OP6_SQL,
     "op7_repeats": repeats.OP7_SQL,
     "op8_secrets": secrets.OP8_SQL,
+    "op11_resample": resample.OP11_SQL,
+    "op13_search": search.OP13_SQL,
 }

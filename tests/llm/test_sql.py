@@ -46,6 +46,6 @@ def test_query(spark, small_dir, name):
     compare(spark, name, small_dir)
 
 
-@pytest.mark.parametrize("name", ["op3_lines", "op5_leaks", "op6_neardup", "op7_repeats", "op8_secrets"])
+@pytest.mark.parametrize("name", ["op3_lines", "op5_leaks", "op6_neardup", "op7_repeats", "op8_secrets", "op11_resample", "op13_search"])
 def test_awkward_documents(spark, odd_dir, name):
     compare(spark, name, odd_dir)
