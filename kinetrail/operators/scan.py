@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Published credential formats, by name. Only syntax that Java and RE2 share.
-CREDENTIALS = {
-    "aws_access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+from ..functions import uri
+
+# Published credential formats that no release holds, by name. Only syntax that Java and RE2 share.
+RELEASED_CREDENTIALS = {
+    "aws_access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{25,}",
+    "github_fine_grained": r"github_pat_[A-Za-z0-9_]{30,}",
+    "dataset_token": r"KGAT_[A-Za-z0-9_-]{25,}",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "signed_address": r"[?&](?:X-Amz-Signature|X-Amz-Credential|X-Goog-Signature)=",
+}
+#: These, and what looks like a credential or a private place in a text.
+CREDENTIALS = RELEASED_CREDENTIALS | {
     "assigned_token": r"(?i)\b(token|secret|api_key|password)\b\s*[:=]\s*[\"'][^\"'\s]{16,}[\"']",
     "private_path": r"(/home/|/Users/)[A-Za-z0-9_.-]+/",
 }
 NETWORK = r"(?i)\b(fetch|XMLHttpRequest|WebSocket|EventSource|sendBeacon)\s*\("
-LINK = r"(?i)\b(?:href|src)\s*=\s*[\"']([^\"']*)[\"']"
-REMOTE = r"(?i)^(?:https?:)?//"
+LINK = r"(?i)\b(?:href|src|poster)\s*=\s*[\"']([^\"']*)[\"']"
+BARE_LINK = r"(?i)\b(?:href|src|poster)\s*=\s*([^\s\"'>]+)"
+#: An address with a scheme of any kind, or with a host.
+REMOTE = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:|[/\\]{2})"
 ACTIVE = r"(?i)<(script|iframe|object|embed|base)\b"
 
 CSS_URL = r"(?i)\burl\(\s*[\"']?([^\"')]*)"
@@ -30,6 +40,12 @@ ASSETS = {
     "css_import": r"(?i)@import\b",
     "module_import": r"(?:^|[^@\w])import\s*[(\"']",
 }
+COMMENT, SCRIPT, STYLE = r"(?s)<!--.*?-->", r"(?is)(<script\b[^>]*>).*?(</script\s*>)", r"(?is)(<style\b[^>]*>).*?(</style\s*>)"
+TAG = r"""(?i)<(?:script|img|source|audio|video|link|a|meta|iframe|object|embed|base)\b[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""
+ATTRIBUTE = r"""([^\s"'>/=<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: Elements whose src, href and poster are fetched with the page, and those that hold another document.
+RUNTIME, FETCHED = ("script", "img", "source", "audio", "video", "link"), ("src", "href", "poster")
+CONTAINERS = ("iframe", "object", "embed", "base")
 DRAWN = {"svg_active": r"(?i)<(script|foreignObject)\b", "svg_handler": r"(?i)\son[a-z]+\s*="}
 
 
@@ -47,7 +63,39 @@ def count_by_pattern(docs: DataFrame, text: str = "text", patterns: dict[str, st
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(LINK), 1)
+    """Values of href, src and poster anywhere, quoted or not."""
+    return F.concat(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(BARE_LINK), F.lit(1)))
+
+
+def elements(html: Column) -> Column:
+    """Each reference-bearing tag outside comments and scripts as (name, attributes: array of name, value), values unescaped."""
+    seen = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, COMMENT, ""), SCRIPT, "$1$2"), STYLE, "$1$2")
+
+    def attribute(found: Column) -> Column:
+        value = F.regexp_extract(found, ATTRIBUTE, 2)
+        plain = F.when(value.rlike("^[\"']"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(F.lower(F.regexp_extract(found, ATTRIBUTE, 1)).alias("name"), uri.cleaned(uri.unescaped(plain)).alias("value"))
+
+    def element(tag: Column) -> Column:
+        named = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), attribute)
+        return F.struct(F.lower(F.regexp_extract(tag, "^<([A-Za-z0-9]+)", 1)).alias("name"), named.alias("attributes"))
+
+    return F.transform(F.regexp_extract_all(seen, F.lit(TAG), F.lit(0)), element)
+
+
+def value_of(element: Column, name: str) -> Column:
+    return F.try_element_at(F.filter(element["attributes"], lambda a: a["name"] == name), F.lit(-1))["value"]
+
+
+def is_canonical(element: Column) -> Column:
+    """Whether a link says who the page is, and nothing else: such an address is not fetched."""
+    return (element["name"] == "link") & (F.lower(F.coalesce(value_of(element, "rel"), F.lit(""))) == "canonical")
+
+
+def fetched(tags: Column) -> Column:
+    """The addresses that elements() fetch with the page."""
+    own = F.filter(tags, lambda t: t["name"].isin(*RUNTIME) & ~is_canonical(t))
+    return F.flatten(F.transform(own, lambda t: F.transform(F.filter(t["attributes"], lambda a: a["name"].isin(*FETCHED)), lambda a: a["value"])))
 
 
 def link_counts(pages: DataFrame) -> DataFrame:
@@ -62,13 +110,13 @@ def link_counts(pages: DataFrame) -> DataFrame:
 
 
 def page_flags(pages: DataFrame) -> DataFrame:
-    """Pages with active elements, network calls or remote references."""
+    """Pages with active elements, network calls, or remote addresses that are fetched with the page; anchors and canonical addresses are not."""
     html = F.coalesce("html", F.lit(""))
     return pages.select(
         "page_id",
         html.rlike(ACTIVE).alias("active"),
         html.rlike(NETWORK).alias("network"),
-        F.exists(links(html), lambda x: x.rlike(REMOTE)).alias("remote"),
+        F.exists(fetched(elements(html)), lambda x: x.rlike(REMOTE)).alias("remote"),
     )
 
 
@@ -84,6 +132,7 @@ def asset_findings(pages: DataFrame) -> DataFrame:
         *[F.regexp_count(drawings, F.lit(p)).cast("long").alias(k) for k, p in DRAWN.items()],
         F.size(F.filter(css, lambda x: x.rlike(REMOTE))).cast("long").alias("css_remote"),
         F.size(F.filter(canonical, lambda x: ~x.rlike(SECURE))).cast("long").alias("bad_canonical"),
+        F.size(F.filter(fetched(elements(html)), lambda x: x.rlike(REMOTE))).cast("long").alias("remote_asset"),
     )
 
 

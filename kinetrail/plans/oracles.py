@@ -3,7 +3,31 @@
 from __future__ import annotations
 
 from ..operators.ridge import UPPER, N
-from ..operators.scan import ACTIVE, ASSETS, CANONICAL, CREDENTIALS, CSS_URL, DRAWN, LINK, NETWORK, REMOTE, SECURE, SVG
+from ..functions.uri import PARTS
+from ..operators.references import ENTRY, FILE_BYTES, PRIVATE, SITE_BYTES, SITE_FILES, SUFFIXES
+from ..operators.scan import (
+    ACTIVE,
+    ASSETS,
+    ATTRIBUTE,
+    BARE_LINK,
+    CANONICAL,
+    COMMENT,
+    CONTAINERS,
+    CREDENTIALS,
+    CSS_URL,
+    DRAWN,
+    FETCHED,
+    LINK,
+    NETWORK,
+    RELEASED_CREDENTIALS,
+    REMOTE,
+    RUNTIME,
+    SCRIPT,
+    SECURE,
+    STYLE,
+    SVG,
+    TAG,
+)
 from ..operators.select import BLOCKED_SUFFIXES
 from ..sources.synthetic import PARTITION
 from .queries import COMPARED, DIGITS, FORECASTS, GLOBAL_WEIGHTS, ROLE_WEIGHTS
@@ -132,7 +156,84 @@ def _hits(pattern: str) -> str:
     return f"len(regexp_extract_all(coalesce(text, ''), {_quoted(pattern)}))"
 
 
-_LINKS = f"pg AS (SELECT page_id, coalesce(html, '') AS html, regexp_extract_all(coalesce(html, ''), {_quoted(LINK)}, 1) AS l FROM pages)"
+_LINKS = (
+    f"pg AS (SELECT page_id, coalesce(html, '') AS html, list_concat(regexp_extract_all(coalesce(html, ''), {_quoted(LINK)}, 1), "
+    f"regexp_extract_all(coalesce(html, ''), {_quoted(BARE_LINK)}, 1)) AS l FROM pages)"
+)
+#: Tags with their attributes; `fe`: the addresses that are fetched with a page.
+_TAGS = f"""tg AS (
+  SELECT *, row_number() OVER () AS tag_id FROM (
+    SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      {_quoted(COMMENT)}, '', 'g'), {_quoted(SCRIPT)}, '\\1\\2', 'g'), {_quoted(STYLE)}, '\\1\\2', 'g'), {_quoted(TAG)})) AS tag FROM pages)),
+av AS (
+  SELECT page_id, url, tag_id, lower(regexp_extract(tag, '^<([A-Za-z0-9]+)', 1)) AS name, lower(regexp_extract(a, {_quoted(ATTRIBUTE)}, 1)) AS attribute,
+         trim(replace(regexp_replace(regexp_extract(a, {_quoted(ATTRIBUTE)}, 2), '^["'']|["'']$', '', 'g'), '&amp;', '&')) AS value
+  FROM (SELECT *, unnest(regexp_extract_all(tag, {_quoted(ATTRIBUTE)})) AS a FROM tg)),
+cn AS (SELECT DISTINCT tag_id FROM av WHERE name = 'link' AND attribute = 'rel' AND lower(value) = 'canonical'),
+fe AS (SELECT page_id, value FROM av ANTI JOIN cn USING (tag_id)
+       WHERE name IN ({", ".join(map(_quoted, RUNTIME))}) AND attribute IN ({", ".join(map(_quoted, FETCHED))}))"""
+
+
+def _without_dots(path: str) -> str:
+    fold = (
+        f"list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace({path}, '^/', ''), '/'), lambda s: [s])), "
+        "lambda k, s: CASE s[1] WHEN '.' THEN k WHEN '..' THEN k[:-2] ELSE list_append(k, s[1]) END)"
+    )
+    return (
+        f"CASE WHEN regexp_matches({path}, '(?:^|/)\\.\\.?(?:/|$)') THEN CASE WHEN {path} LIKE '/%' THEN '/' ELSE '' END || "
+        f"array_to_string(list_concat({fold}, CASE WHEN regexp_matches({path}, '(?:^|/)\\.\\.?$') THEN [''] ELSE []::VARCHAR[] END), '/') ELSE {path} END"
+    )
+
+
+def _part(address: str, k: int) -> str:
+    return f"regexp_extract({address}, {_quoted(PARTS)}, {k})"
+
+
+_KEY = "lower({0}_scheme) || '://' || lower({0}_host) || url_decode(CASE WHEN {0}_path = '' THEN '/' ELSE {0}_path END) || CASE WHEN {0}_query <> '' THEN '?' || {0}_query ELSE '' END"
+_GRAPH = f"""{_TAGS},
+rf AS (
+  SELECT page_id, CASE WHEN name = 'a' THEN 'link' WHEN tag_id IN (FROM cn) THEN 'canonical' ELSE 'runtime' END AS kind, value AS reference, url
+  FROM av WHERE value <> '' AND (name = 'a' AND attribute = 'href' OR name IN ({", ".join(map(_quoted, RUNTIME))}) AND attribute IN ({", ".join(map(_quoted, FETCHED))}))
+  UNION ALL SELECT * FROM (SELECT page_id, 'css', unnest(regexp_extract_all(coalesce(html, ''), {_quoted(CSS_URL)}, 1)) AS r, url FROM pages) WHERE r <> ''),
+sp AS (
+  SELECT *, {_part("url", 1)} AS b_scheme, {_part("url", 2)} AS b_host, {_part("url", 3)} AS b_path, {_part("url", 4)} AS b_query,
+         lower({_part("reference", 1)}) AS scheme, {_part("reference", 2)} AS host, {_part("reference", 3)} AS path, {_part("reference", 4)} AS query FROM rf),
+rs AS (
+  SELECT *, CASE WHEN scheme <> '' THEN scheme ELSE b_scheme END AS t_scheme, CASE WHEN scheme <> '' OR host <> '' THEN host ELSE b_host END AS t_host,
+         CASE WHEN scheme = '' AND host = '' AND path = '' THEN b_path WHEN scheme <> '' OR host <> '' OR path LIKE '/%' THEN {_without_dots("path")}
+              ELSE {_without_dots("(regexp_extract(b_path, '^(.*/)?') || path)")} END AS t_path,
+         CASE WHEN scheme = '' AND host = '' AND path = '' AND query = '' THEN b_query ELSE query END AS t_query FROM sp),
+ta AS (SELECT *, {_KEY.format("t")} AS key,
+         t_scheme || ':' || CASE WHEN t_host <> '' THEN '//' || t_host ELSE '' END || t_path || CASE WHEN t_query <> '' THEN '?' || t_query ELSE '' END AS target FROM rs),
+kn AS (SELECT DISTINCT {_KEY.format("u")} AS key FROM (
+  SELECT {_part("url", 1)} AS u_scheme, {_part("url", 2)} AS u_host, {_part("url", 3)} AS u_path, {_part("url", 4)} AS u_query FROM pages WHERE url IS NOT NULL))"""
+
+#: The pages as files of their hosts, `index.html` where the path ends in a slash.
+_SITE = f"""fl AS (
+  SELECT site, path, strlen(text) AS bytes, text, lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) AS kind FROM (
+    SELECT {_part("url", 2)} AS site, ltrim({_part("url", 3)} || CASE WHEN regexp_matches({_part("url", 3)}, '(^|/)$') THEN 'index.html' ELSE '' END, '/') AS path,
+           coalesce(html, '') AS text FROM pages WHERE url IS NOT NULL)),
+si AS (SELECT site, sum(bytes) AS bytes, count(*) AS n, list(path) AS paths,
+         coalesce(bool_or(regexp_matches(text, '(?i)synthetic')) FILTER (path LIKE '%.html'), false) AS marked FROM fl GROUP BY site)"""
+
+
+def _rule(name: str, broken: str, detail: str = "''") -> str:
+    return f"SELECT site, path, '{name}' AS rule, {detail} AS detail FROM fl WHERE {broken}"
+
+
+_SITE_RULES = [
+    _rule("suffix", f"kind NOT IN ({', '.join(map(_quoted, SUFFIXES))})", "kind"),
+    _rule("size", f"bytes > {FILE_BYTES}", "CAST(bytes AS VARCHAR)"),
+    *[_rule("credential", f"regexp_matches(text, {_quoted(p)})", _quoted(k)) for k, p in RELEASED_CREDENTIALS.items()],
+    _rule("private_locator", f"regexp_matches(text, {_quoted(PRIVATE)})"),
+    _rule("network", f"regexp_matches(text, {_quoted(NETWORK)}) OR regexp_matches(text, '\\bimport\\s*\\(|\\bimportScripts\\s*\\(')"),
+    _rule("container", f"kind = '.html' AND regexp_matches(text, '(?i)<({'|'.join(CONTAINERS)})\\b')"),
+    _rule("css_import", f"kind IN ('.html', '.svg', '.css') AND regexp_matches(text, '(?i)@import')"),
+    *[f"SELECT site, NULL, 'entry', '{e}' FROM si WHERE NOT list_contains(paths, '{e}')" for e in ENTRY],
+    f"SELECT site, NULL, 'total_size', CAST(bytes AS VARCHAR) FROM si WHERE bytes > {SITE_BYTES}",
+    f"SELECT site, NULL, 'count', CAST(n AS VARCHAR) FROM si WHERE n > {SITE_FILES}",
+    "SELECT site, NULL, 'marker', '(?i)synthetic' FROM si WHERE NOT marked",
+]
 
 ORACLES: dict[str, str] = {
     "terminal_state": _with(
@@ -276,10 +377,17 @@ pt AS (SELECT game_id, play_id, x, y FROM obs UNION ALL
         f"CAST(len(list_filter(l, lambda x: regexp_matches(x, {_quoted(REMOTE)}))) AS BIGINT) AS n_remote FROM pg",
     ),
     "remote_ref_scan": _with(
-        _LINKS,
-        f"SELECT page_id, regexp_matches(html, {_quoted(ACTIVE)}) AS active, regexp_matches(html, {_quoted(NETWORK)}) AS network, "
-        f"len(list_filter(l, lambda x: regexp_matches(x, {_quoted(REMOTE)}))) > 0 AS remote FROM pg",
+        _TAGS,
+        f"SELECT page_id, regexp_matches(coalesce(html, ''), {_quoted(ACTIVE)}) AS active, regexp_matches(coalesce(html, ''), {_quoted(NETWORK)}) AS network, "
+        f"page_id IN (SELECT page_id FROM fe WHERE regexp_matches(value, {_quoted(REMOTE)})) AS remote FROM pages",
+    ),
+    "reference_graph": _with(
+        _GRAPH,
+        """SELECT page_id, kind, reference, target, CASE WHEN reference LIKE '#%' THEN 'fragment' WHEN t_scheme NOT IN ('http', 'https') THEN 'scheme'
+  WHEN key IN (FROM kn) THEN 'page' WHEN lower(t_host) <> lower(b_host) THEN 'remote'
+  WHEN regexp_matches(regexp_extract(b_path, '^(.*/)?') || path, '^/?\\.\\.(/|$)') THEN 'escapes' ELSE 'missing' END AS status FROM ta""",
     ),
+    "site_audit": _with(_SITE, " UNION ALL ".join(_SITE_RULES)),
 }
 for _name, _m in FORECASTS.items():
     ORACLES[_name] = _with(TRACKS, f"SELECT {KEYS}, {_nudged(_model(_m, 'x'), DIGITS.get(_m, 6))} AS x, {_nudged(_model(_m, 'y'), DIGITS.get(_m, 6))} AS y FROM rq")
@@ -295,14 +403,15 @@ _ORDERED = TRACKS + f",\nro AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS
 _ENDS = "['index.html', 'model.PT', 'a.tar.gz', '.env.local', 'secrets.json', 'notes']"
 _SUFFIXES = ", ".join(_quoted(s) for s in BLOCKED_SUFFIXES)
 ORACLES |= {
-    "asset_scan": "SELECT page_id, "
+    "asset_scan": f"WITH {_TAGS} SELECT page_id, "
     + ", ".join(
         [f"{_count('html', p)} AS {k}" for k, p in ASSETS.items()]
         + [f"{_count('drawn', p)} AS {k}" for k, p in DRAWN.items()]
         + [f"{_count('html', CSS_URL, f'regexp_matches(x, {_quoted(REMOTE)})')} AS css_remote"]
         + [f"{_count('html', CANONICAL, f'NOT regexp_matches(x, {_quoted(SECURE)})')} AS bad_canonical"]
+        + [f"(SELECT count(*) FROM fe WHERE fe.page_id = p.page_id AND regexp_matches(value, {_quoted(REMOTE)})) AS remote_asset"]
     )
-    + f" FROM (SELECT page_id, html, {_DRAWN} AS drawn FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))",
+    + f" FROM (SELECT page_id, html, {_DRAWN} AS drawn FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)) p",
     "request_order": _with(_ORDERED, "SELECT * FROM ro"),
     "order_mismatch": _with(
         _ORDERED,

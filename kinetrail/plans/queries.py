@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import uri
 from ..functions.motion import MODELS
-from ..operators import evaluate, order, report, ridge, scan, select, sums, validate
+from ..operators import evaluate, order, references, report, ridge, scan, select, sums, validate
 from ..operators.forecast import design, predict, ridge_predict
 from ..operators.split import split_games
 from ..operators.state import observed_state
@@ -338,6 +339,25 @@ def asset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.asset_findings(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query
+def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference of the pages, resolved against its page's address and looked up among the pages."""
+    return references.reference_graph(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def site_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as the files of their hosts' sites, and what keeps each site from being self-contained."""
+    p = uri.parts(F.col("url"))
+    path = F.regexp_replace(F.when(p["path"].rlike("(^|/)$"), F.concat(p["path"], F.lit("index.html"))).otherwise(p["path"]), "^/+", "")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url IS NOT NULL")
+    text = F.coalesce("html", F.lit(""))
+    files = pages.select(
+        p["authority"].alias("site"), path.alias("path"), F.octet_length(text).cast("long").alias("bytes"), text.cast("binary").alias("content")
+    )
+    return references.site_findings(files, markers=((r"[^/]*\.html", "(?i)synthetic"),))
+
+
 @query
 def request_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.with_order(load(spark, sf_dir).requests)

@@ -66,7 +66,7 @@ def test_asset_findings(spark):
     <p onclick="b()"><script>import("x")</script>"""
     r = scan.asset_findings(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
     assert r[0].asDict() == {"page_id": 1, "frames": 1, "refresh": 1, "srcset": 1, "css_import": 1, "module_import": 1} | {
-        "svg_active": 1, "svg_handler": 1, "css_remote": 1, "bad_canonical": 1
+        "svg_active": 1, "svg_handler": 1, "css_remote": 1, "bad_canonical": 1, "remote_asset": 0
     }
     assert set(tuple(r[1])[1:]) == {0}
 
