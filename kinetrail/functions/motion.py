@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate, repeat
+from operator import mul
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import RATE
+from ..schema import LONGEST, RATE
+from .exact import rounded
 
 BASIS = ("velocity", "smoothed_velocity", "acceleration", "ball", "ball_squared", "ball_cubed")
 
@@ -44,12 +47,18 @@ def weighted(axis: str, weights: Sequence[Column | float]) -> Column:
 
 
 def damped_sum(frame: Column, damping: float) -> Column:
-    """damping + damping**2 + ... + damping**frame."""
+    """damping + damping**2 + ... + damping**frame.
+
+    Up to the LONGEST frame these are constants of the plan, added frame by frame; beyond, the closed form, whose last digits differ.
+    """
     if not 0.0 <= damping <= 1.0:
         raise ValueError("damping must lie in [0, 1]")
     if damping == 1.0:
         return frame.cast("double")
-    return F.lit(damping) * (1.0 - F.pow(F.lit(damping), frame)) / F.lit(1.0 - damping)
+    steps = accumulate(repeat(damping, LONGEST), mul)
+    table = F.array(*[F.lit(total) for total in accumulate(steps)])
+    closed = F.lit(damping) * (1.0 - F.pow(F.lit(damping), frame)) / F.lit(1.0 - damping)
+    return F.when(frame.between(1, LONGEST), F.element_at(table, frame.cast("int"))).otherwise(closed)
 
 
 def _last(axis: str) -> Column:
@@ -61,7 +70,7 @@ def _elapsed(axis: str) -> Column:
 
 
 def _frames(axis: str) -> Column:
-    return F.round(F.col(axis) + F.col("frame_id") * F.col(f"d{axis}"), 6)
+    return rounded(F.col(axis) + F.col("frame_id") * F.col(f"d{axis}"))
 
 
 def _smoothed(axis: str) -> Column:
@@ -79,7 +88,7 @@ def _ball(axis: str) -> Column:
 
 def damped(damping: float) -> Callable[[str], Column]:
     def model(axis: str) -> Column:
-        return F.round(F.col(axis) + damped_sum(F.col("frame_id"), damping) * F.col(f"d{axis}"), 6)
+        return rounded(F.col(axis) + damped_sum(F.col("frame_id"), damping) * F.col(f"d{axis}"))
 
     return model
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def score(truth: DataFrame, prediction: DataFrame, models: Sequence[str] | None
 
     Truth and forecast must hold the same keys, each once (for every model), with finite coordinates: any
     missing, extra, repeated or non-finite row raises when the result is read. `models` names those
-    that each key must have; where it is left out, the models found are (a small job). With `partial`, only matching rows are
-    scored and nothing raises. Both sides are dealt by the keys once.
+    that each key must have; where it is left out, all models found anywhere are. With `partial`, only matching rows are
+    scored and nothing raises. Both sides are dealt by the keys once. score_wide does with fewer rows.
     """
     named = "model" in prediction.columns
     extra = ["model"] if named else []
@@ -37,9 +38,9 @@ def score(truth: DataFrame, prediction: DataFrame, models: Sequence[str] | None
     residuals = [(F.col("x") - F.col("tx")).alias("dx"), (F.col("y") - F.col("ty")).alias("dy")]
     if partial:
         return prediction.join(t, KEYS).select(*extra, *KEYS, *residuals)
-    if named and models is None:
-        models = [r[0] for r in prediction.select("model").distinct().collect()]
     expected = F.array(*[F.lit(m) for m in sorted(models)]) if named and models else F.array(F.lit(""))
+    if named and models is None:  # a value of the plan, not a job while it is built
+        expected = prediction.agg(F.sort_array(F.collect_set("model"))).scalar()
     label = F.col("model") if named else F.lit("")
     made = prediction.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(label.alias("model"), "x", "y"))).alias("made"))
     known = t.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("tx").alias("tx"), F.first("ty").alias("ty"))
@@ -59,6 +60,30 @@ def score(truth: DataFrame, prediction: DataFrame, models: Sequence[str] | None
     )
 
 
+def score_wide(truth: DataFrame, forecasts: DataFrame, models: Sequence[str]) -> DataFrame:
+    """score for forecasts with a row per key and columns x_<model>, y_<model>: (model, keys, dx, dy), exact in the same way.
+
+    Truth and forecasts meet in one aggregation by key, so a key is exchanged twice, not once a model; models become rows at the end.
+    """
+    both = [f"{a}_{m}" for m in models for a in "xy"]
+    absent = [F.lit(None).cast("double").alias(c) for c in both]
+    t = truth.select(*KEYS, F.col("x").alias("tx"), F.col("y").alias("ty"), F.lit(1).alias("_t"), F.lit(0).alias("_f"), *absent)
+    f = forecasts.select(*KEYS, *[F.lit(None).cast("double").alias(c) for c in ("tx", "ty")], F.lit(0).alias("_t"), F.lit(1).alias("_f"), *both)
+    met = t.unionByName(f).groupBy(*KEYS).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("tx", "ty", *both)], F.sum("_t").alias("_t"), F.sum("_f").alias("_f"))
+    known = lambda *columns: reduce(lambda x, y: x & y, [finite(F.col(c)) for c in columns])
+    off = (
+        F.when(F.col("_t") == 0, "extra forecast")
+        .when(F.col("_f") == 0, "missing forecast")
+        .when(F.col("_t") > 1, "repeated label")
+        .when(F.col("_f") > 1, "repeated forecast")
+        .when(~known("tx", "ty"), "label that is not finite")
+        .when(~known(*both), "forecast that is not finite")
+    )
+    each = [F.struct(F.lit(m).alias("model"), (F.col(f"x_{m}") - F.col("tx")).alias("dx"), (F.col(f"y_{m}") - F.col("ty")).alias("dy")) for m in models]
+    checked = F.when(off.isNull(), F.array(*each)).otherwise(F.raise_error(F.concat(off, F.lit(" at "), F.concat_ws(", ", *KEYS))))
+    return met.select(*KEYS, F.explode(checked).alias("p")).select("p.model", *KEYS, "p.dx", "p.dy")
+
+
 def squared() -> Column:
     return F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
 
@@ -134,13 +159,13 @@ def by_horizon(errors: DataFrame, width: int = 4) -> DataFrame:
 
 
 def trajectory_diagnostics(errors: DataFrame) -> DataFrame:
-    """One row per model and entity: n, sse, rmse, ade, last frame, fde, largest displacement."""
+    """One row per model and entity: n, sse (added by frame, so that no digit depends on the order of rows), rmse, ade, last frame, fde, largest displacement."""
     d = errors.withColumn("d", distance())
     return (
         d.groupBy("model", *ENTITY)
         .agg(
             F.count("*").alias("n"),
-            F.sum(squared()).alias("sse"),
+            F.aggregate(F.sort_array(F.collect_list(F.struct("frame_id", squared().alias("e")))), F.lit(0.0), lambda at, r: at + r["e"]).alias("sse"),
             F.avg("d").alias("ade"),
             F.max("frame_id").alias("last_frame"),
             F.max_by("d", "frame_id").alias("fde"),
@@ -180,22 +205,20 @@ def paired_by_game(errors: DataFrame) -> DataFrame:
 def pairing(errors: DataFrame) -> DataFrame:
     """(model_a, model_b, games, unmatched, pairable): pairing wants equal keys and two games at least.
 
-    The models of each key (a few names) are grouped once; what is compared is counts by set of models and game.
+    Keys without a partner are those of either model less twice those of both, so only counts are needed: of each set of models in each game
+    (keys are grouped once), then per model and per pair within a set. Just the models' names meet each other.
     """
-    sets = errors.groupBy(*KEYS).agg(F.sort_array(F.collect_set("model")).alias("models"))
-    sets = sets.groupBy("models", "game_id").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    names = errors.select("model").distinct().withColumn("one", F.lit(1))
-    a, b = (names.select(F.col("model").alias(f"model_{s}"), "one") for s in "ab")
-    holds = [F.array_contains("models", F.col(f"model_{s}")) for s in "ab"]
-    return (
-        a.join(b, "one").where("model_a < model_b").join(sets, "one")
-        .groupBy("model_a", "model_b")
-        .agg(
-            F.countDistinct(F.when(holds[0] & holds[1], F.col("game_id"))).alias("games"),
-            F.coalesce(F.sum(F.when(holds[0] != holds[1], F.col("n"))), F.lit(0)).cast("long").alias("unmatched"),
-        )
-        .withColumn("pairable", (F.col("unmatched") == 0) & (F.col("games") >= 2))
-    )
+    sets = errors.groupBy(*KEYS).agg(F.sort_array(F.collect_set("model")).alias("models")).groupBy("models", "game_id").agg(F.count("*").alias("n"))
+    each = sets.select(F.explode("models").alias("model"), "n").groupBy("model").agg(F.sum("n").alias("n"))
+    of = F.col("models")
+    pairs = F.flatten(F.transform(of, lambda a: F.transform(F.filter(of, lambda b: b > a), lambda b: F.struct(a.alias("model_a"), b.alias("model_b")))))
+    met = sets.select(F.explode(pairs).alias("p"), "game_id", "n").groupBy("p.model_a", "p.model_b")
+    met = met.agg(F.countDistinct("game_id").alias("games"), F.sum("n").alias("both"))
+    a, b = (each.select(F.col("model").alias(f"model_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    unmatched = F.col("n_a") + F.col("n_b") - 2 * F.coalesce("both", F.lit(0))
+    out = a.join(b, F.col("model_a") < F.col("model_b")).join(met, ["model_a", "model_b"], "left")
+    out = out.select("model_a", "model_b", F.coalesce("games", F.lit(0)).cast("long").alias("games"), unmatched.cast("long").alias("unmatched"))
+    return out.withColumn("pairable", (F.col("unmatched") == 0) & (F.col("games") >= 2))
 
 
 def require_pairable(errors: DataFrame) -> None:
@@ -270,12 +293,24 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str] = tuple(
 
 
 def coverage(predictions: DataFrame, requests: DataFrame, models: DataFrame) -> DataFrame:
-    """(model, keys) that are required but absent, or present but not required, with `status`.
+    """(model, keys, status): what is required but missing, or extra (present but not required), once each.
 
-    Every model needs every request, so the requirement itself is their product; Spark decides by size how it is made.
+    Every model needs every request. Models have numbers, and a key a bitmap of those it has, in words of 64; only bits that are absent, or
+    set where nothing was asked, become rows, so the product of models and requests is never made.
     """
-    keys = ["model", *KEYS]
-    required = requests.select(*KEYS).distinct().crossJoin(models.select("model").distinct())
-    have = predictions.select(*keys)
-    absent = missing_keys(required, have, keys).withColumn("status", F.lit("missing"))
-    return absent.unionByName(missing_keys(have, required, keys).withColumn("status", F.lit("extra")))
+    full = models.where("model IS NOT NULL").agg(F.sort_array(F.collect_set("model")).alias("m")).select("m").scalar()
+    place = F.coalesce(F.array_position(full, F.col("model")), F.lit(0)) - 1
+    have = predictions.select("model", *KEYS).withColumn("_p", place)
+    asked = requests.select(*KEYS, F.lit(-1).cast("long").alias("_w"), F.lit(0).cast("long").alias("_bits"))
+    bit = F.expr("shiftleft(1L, CAST(_p % 64 AS INT))")
+    words = asked.unionByName(have.where("_p >= 0").select(*KEYS, F.expr("_p div 64").alias("_w"), bit.alias("_bits")))
+    words = words.groupBy(*KEYS, "_w").agg(F.bit_or("_bits").alias("_bits"))
+    held = F.map_from_entries(F.collect_list(F.struct("_w", "_bits")))
+    keys = words.groupBy(*KEYS).agg(held.alias("_held")).withColumn("_all", full)
+    word = lambda p: F.coalesce(F.try_element_at("_held", F.floor(p / 64)), F.lit(0).cast("long"))
+    wanted = F.map_contains_key("_held", F.lit(-1).cast("long"))
+    off = F.filter(F.transform("_all", lambda m, p: F.struct(m.alias("model"), F.getbit(word(p), F.pmod(p, F.lit(64)).cast("int")).alias("has"))), lambda x: (x["has"] == 1) != wanted)
+    status = F.when(wanted, "missing").otherwise("extra").alias("status")
+    known = keys.select(*KEYS, status, F.explode(off).alias("x")).select("x.model", *KEYS, "status")
+    others = have.where("_p < 0").select("model", *KEYS).distinct().withColumn("status", F.lit("extra"))
+    return known.unionByName(others)

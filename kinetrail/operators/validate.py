@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.motion import finite
-from ..schema import ENTITY, KEYS
-
-LONGEST = 120
+from ..schema import ENTITY, KEYS, LONGEST
 
 
 class Invalid(ValueError):

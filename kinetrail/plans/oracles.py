@@ -30,7 +30,7 @@ from ..operators.scan import (
 )
 from ..operators.select import BLOCKED_SUFFIXES
 from ..sources.synthetic import PARTITION
-from .queries import COMPARED, DIGITS, FORECASTS, GLOBAL_WEIGHTS, ROLE_WEIGHTS
+from .queries import COMPARED, FORECASTS, GLOBAL_WEIGHTS, ROLE_WEIGHTS
 
 TRACKS = r"""
 ev AS (
@@ -41,7 +41,8 @@ fr AS (
   FROM ev QUALIFY count(*) OVER (PARTITION BY user_id, n // 20) = 20),
 obs AS (SELECT game_id, play_id, nfl_id, f AS frame_id, x, y FROM fr WHERE f <= 8),
 lab AS (SELECT game_id, play_id, nfl_id, f - 8 AS frame_id, x, y FROM fr WHERE f > 8),
-ball AS (SELECT game_id, play_id, avg(x) AS bx, avg(y) AS bz FROM obs GROUP BY ALL),
+ball AS (SELECT game_id, play_id, CAST(sum(CAST(round_even(x * 1e6::DOUBLE, 0) AS BIGINT)) AS DOUBLE) / (count(*) * 1e6::DOUBLE) AS bx,
+         CAST(sum(CAST(round_even(y * 1e6::DOUBLE, 0) AS BIGINT)) AS DOUBLE) / (count(*) * 1e6::DOUBLE) AS bz FROM obs GROUP BY ALL),
 st1 AS (
   SELECT *, (frame_id - lag(frame_id) OVER w) / 10.0::DOUBLE AS dt, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy,
          row_number() OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id DESC) AS back
@@ -50,8 +51,13 @@ st2 AS (
   SELECT *, (dx / dt - lag(dx / dt) OVER w) / ((dt + lag(dt) OVER w) / 2) AS ax, (dy / dt - lag(dy / dt) OVER w) / ((dt + lag(dt) OVER w) / 2) AS ay
   FROM st1 WINDOW w AS (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id)),
 slope AS (
-  SELECT game_id, play_id, nfl_id, count(*) AS n, regr_slope(x, frame_id / 10.0::DOUBLE) AS sx, regr_slope(y, frame_id / 10.0::DOUBLE) AS sy
-  FROM st1 WHERE back <= 5 GROUP BY ALL),
+  SELECT game_id, play_id, nfl_id, n, list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, n + 1), lambda i: (ts[i] - mt) * (xs[i] - mx))), lambda a, b: a + b) / spread AS sx,
+         list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, n + 1), lambda i: (ts[i] - mt) * (ys[i] - my))), lambda a, b: a + b) / spread AS sy
+  FROM (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, list_transform(ts, lambda t: (t - mt) * (t - mt))), lambda a, b: a + b) AS spread FROM (
+    SELECT *, list_reduce(list_prepend(0.0::DOUBLE, ts), lambda a, b: a + b) / n AS mt, list_reduce(list_prepend(0.0::DOUBLE, xs), lambda a, b: a + b) / n AS mx,
+           list_reduce(list_prepend(0.0::DOUBLE, ys), lambda a, b: a + b) / n AS my FROM (
+      SELECT game_id, play_id, nfl_id, count(*) AS n, list(frame_id / 10.0::DOUBLE ORDER BY frame_id) AS ts, list(x ORDER BY frame_id) AS xs, list(y ORDER BY frame_id) AS ys
+      FROM st1 WHERE back <= 5 GROUP BY ALL)))),
 cnt AS (SELECT game_id, play_id, nfl_id, count(*) AS n_observed, min(frame_id) = 1 AND max(frame_id) = count(*) AND count(*) >= 2 AS contiguous FROM obs GROUP BY ALL),
 st AS (
   SELECT s.game_id, s.play_id, s.nfl_id, s.x, s.y, coalesce(dx / dt, 0) AS vx, coalesce(dy / dt, 0) AS vy, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy,
@@ -67,16 +73,25 @@ KEYS = "game_id, play_id, nfl_id, frame_id"
 ENTITY = "game_id, play_id, nfl_id"
 
 
+#: 0.9 + 0.9**2 + ..., added step by step, for each frame of a forecast.
+_DAMPED = "(SELECT list(m ORDER BY k) FROM (WITH RECURSIVE s AS (SELECT 1 AS k, 0.9::DOUBLE AS m, 0.9::DOUBLE * 0.9::DOUBLE AS v UNION ALL SELECT k + 1, m + v, v * 0.9::DOUBLE FROM s WHERE k < 12) SELECT k, m FROM s))"
+
+
+def _exact(expression: str) -> str:
+    """To 6 digits as text, which DuckDB writes from the exact value, ties to even."""
+    return f"CAST(format('{{:.6f}}', {expression}) AS DOUBLE)"
+
+
 def _model(name: str, a: str) -> str:
     ball = "bx" if a == "x" else "bz"
     return {
         "last_position": f"{a}",
         "constant_velocity": f"{a} + v{a} * t",
-        "constant_velocity_frames": f"round({a} + frame_id * d{a}, 6)",
+        "constant_velocity_frames": _exact(f"{a} + frame_id * d{a}"),
         "smoothed_velocity": f"{a} + s{a} * t",
         "constant_acceleration": f"{a} + v{a} * t + a{a} * t * t / 2",
         "ball_arrival": f"{a} + ({ball} - {a}) * q",
-        "damped_velocity": f"round({a} + 0.9::DOUBLE * (1 - pow(0.9::DOUBLE, frame_id)) / (1 - 0.9::DOUBLE) * d{a}, 6)",
+        "damped_velocity": _exact(f"{a} + {_DAMPED}[frame_id] * d{a}"),
     }[name]
 
 
@@ -88,10 +103,6 @@ def _errors(models: tuple[str, ...] = COMPARED) -> str:
 _PARTITIONS = "part AS (SELECT * FROM (VALUES " + ", ".join(f"({g}, '{p}')" for g, p in PARTITION.items()) + ") v(game_id, partition))"
 
 
-def _nudged(expression: str, digits: int = 6) -> str:
-    return f"round({expression} + {3.37 / 10 ** (digits + 2)!r}::DOUBLE, {digits})"
-
-
 def _with(body: str, select: str) -> str:
     return f"WITH {body}\n{select}"
 
@@ -109,7 +120,7 @@ def _terms(a: str) -> list[str]:
 
 
 _BASIS = TRACKS + ",\nba AS (SELECT *, " + ", ".join(f"{e} AS f{a}{k}" for a in "xy" for k, e in enumerate(_terms(a), 1)) + " FROM rq)"
-_ROUNDED_BASIS = ", ".join(f"{_nudged(f'f{a}{k}')} AS f{a}{k}" for a in "xy" for k in range(1, N + 1))
+_ROUNDED_BASIS = ", ".join(f"{_exact(f'f{a}{k}')} AS f{a}{k}" for a in "xy" for k in range(1, N + 1))
 _GRAM = ", ".join(
     [f"round(sum(fx{i} * fx{j} + fy{i} * fy{j}) / (2 * count(*)), 4) AS g{i}{j}" for i, j in UPPER]
     + [f"round(sum(fx{i} * (tx - x) + fy{i} * (ty - y)) / (2 * count(*)), 4) AS r{i}" for i in range(1, N + 1)]
@@ -122,7 +133,7 @@ def _weight(k: int) -> str:
 
 
 def _ridge(a: str) -> str:
-    return _nudged(f"{a} + " + " + ".join(f"f{a}{k + 1} * {_weight(k)}" for k in range(N))) + f" AS {a}"
+    return _exact(f"{a} + " + " + ".join(f"f{a}{k + 1} * {_weight(k)}" for k in range(N))) + f" AS {a}"
 
 
 _INCOMPLETE = (
@@ -269,13 +280,13 @@ fm AS (SELECT model, count(*) AS n, sqrt(sum(e) / (2.0 * count(*))) AS coordinat
     ),
     "trajectory_diagnostics": _with(
         _errors(("constant_velocity", "ball_arrival")),
-        f"SELECT model, {ENTITY}, count(*) AS n, max(frame_id) AS last_frame, {_nudged('sum(e)', 2)} AS sse, round(sqrt(sum(e) / (2.0 * count(*))), 6) AS rmse, "
+        f"SELECT model, {ENTITY}, count(*) AS n, max(frame_id) AS last_frame, {_exact('list_reduce(list_prepend(0.0::DOUBLE, list(e ORDER BY frame_id)), lambda a, b: a + b)')} AS sse, round(sqrt(sum(e) / (2.0 * count(*))), 6) AS rmse, "
         f"round(avg(d), 6) AS ade, round(max_by(d, frame_id), 6) AS fde, round(max(d), 6) AS max_displacement FROM sq GROUP BY model, {ENTITY}",
     ),
     "paired_by_game": _with(
         _PAIRS,
         "SELECT model_a, model_b, game_id, grouping(game_id) = 1 AS is_pooled, CAST(sum(n) AS BIGINT) AS n, "
-        "round(sqrt(sum(sb) / (2.0 * sum(n))) - sqrt(sum(sa) / (2.0 * sum(n))), 6) AS rmse_delta, " + _nudged("sum(sb) - sum(sa)", 1) + " AS sse_delta "
+        "round(sqrt(sum(sb) / (2.0 * sum(n))) - sqrt(sum(sa) / (2.0 * sum(n))), 6) AS rmse_delta, round(sum(sb) - sum(sa), 3) AS sse_delta "
         "FROM pg GROUP BY GROUPING SETS ((model_a, model_b, game_id), (model_a, model_b))",
     ),
     "paired_win_loss": _with(
@@ -390,7 +401,7 @@ pt AS (SELECT game_id, play_id, x, y FROM obs UNION ALL
     "site_audit": _with(_SITE, " UNION ALL ".join(_SITE_RULES)),
 }
 for _name, _m in FORECASTS.items():
-    ORACLES[_name] = _with(TRACKS, f"SELECT {KEYS}, {_nudged(_model(_m, 'x'), DIGITS.get(_m, 6))} AS x, {_nudged(_model(_m, 'y'), DIGITS.get(_m, 6))} AS y FROM rq")
+    ORACLES[_name] = _with(TRACKS, f"SELECT {KEYS}, {_exact(_model(_m, 'x'))} AS x, {_exact(_model(_m, 'y'))} AS y FROM rq")
 
 
 def _count(text: str, pattern: str, broken: str = "") -> str:
@@ -399,7 +410,8 @@ def _count(text: str, pattern: str, broken: str = "") -> str:
 
 
 _DRAWN = f"array_to_string(regexp_extract_all(html, {_quoted(SVG)}), chr(10))"
-_ORDERED = TRACKS + f",\nro AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) - 1 AS request_order FROM lab)"
+_ORDERED = """ro AS (SELECT user_id, event_id, row_number() OVER () - 1 AS request_order FROM events),
+ko AS (SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS request_order FROM events)"""
 _ENDS = "['index.html', 'model.PT', 'a.tar.gz', '.env.local', 'secrets.json', 'notes']"
 _SUFFIXES = ", ".join(_quoted(s) for s in BLOCKED_SUFFIXES)
 ORACLES |= {
@@ -415,9 +427,8 @@ ORACLES |= {
     "request_order": _with(_ORDERED, "SELECT * FROM ro"),
     "order_mismatch": _with(
         _ORDERED,
-        """SELECT r.request_order, r.frame_id AS wanted_frame, g.frame_id AS given_frame FROM ro r LEFT JOIN (
-  SELECT request_order, CASE WHEN nfl_id % 5 = 0 THEN 13 - frame_id ELSE frame_id END AS frame_id FROM ro WHERE NOT (nfl_id % 9 = 0 AND frame_id = 12)) g
-  USING (request_order) WHERE r.frame_id IS DISTINCT FROM g.frame_id""",
+        """SELECT request_order, r.event_id AS wanted_event, k.event_id AS given_event FROM ro r LEFT JOIN (FROM ko WHERE user_id % 9 <> 0) k USING (request_order)
+  WHERE r.event_id IS DISTINCT FROM k.event_id OR r.user_id IS DISTINCT FROM k.user_id""",
     ),
     "pairing_check": _with(
         _errors()

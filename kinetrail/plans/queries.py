@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import uri
+from ..functions.exact import rounded
 from ..functions.motion import MODELS
 from ..operators import evaluate, order, references, report, ridge, scan, select, sums, validate
-from ..operators.forecast import design, predict, ridge_predict
+from ..operators.forecast import design, predict, ridge_predict, wide
 from ..operators.split import split_games
 from ..operators.state import observed_state
 from ..schema import ENTITY, KEYS
@@ -35,20 +36,20 @@ def r6(*columns: str, digits: int = 6) -> list[Column]:
     return [F.round(F.col(c), digits).alias(c) for c in columns]
 
 
-def nudged(*columns: str, digits: int = 6) -> list[Column]:
-    """Rounded off decimal midpoints, which engines break either way after sums in another order."""
-    return [F.round(F.col(c) + F.lit(3.37 / 10 ** (digits + 2)), digits).alias(c) for c in columns]
+def exact(*columns: str) -> list[Column]:
+    """Rounded as their exact values are: for figures that both engines compute to the last bit."""
+    return [rounded(F.col(c)).alias(c) for c in columns]
 
 
 def errors(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = COMPARED) -> DataFrame:
     t = load(spark, sf_dir)
-    return evaluate.score(t.labels, predict(t.observed, t.requests, models), models)
+    return evaluate.score_wide(t.labels, wide(t.observed, t.requests, models), models)
 
 
 def _forecast(model: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load(spark, sf_dir)
-        return predict(t.observed, t.requests, [model]).select(*KEYS, *nudged("x", "y", digits=DIGITS.get(model, 6)))
+        return predict(t.observed, t.requests, [model]).select(*KEYS, *exact("x", "y"))
 
     return run
 
@@ -62,8 +63,6 @@ FORECASTS = {
     "ball_arrival_forecast": "ball_arrival",
     "damped_forecast": "damped_velocity",
 }
-#: The damped model rounds to 6 digits itself, and its closed form meets midpoints there.
-DIGITS = {"damped_velocity": 4}
 assert set(FORECASTS.values()) == set(MODELS)
 
 
@@ -92,7 +91,7 @@ for _name, _model in FORECASTS.items():
 @query
 def motion_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir)
-    return design(t.observed, t.requests).select(*KEYS, *nudged(*[f"f{a}{k}" for a in "xy" for k in range(1, 7)]))
+    return design(t.observed, t.requests).select(*KEYS, *exact(*[f"f{a}{k}" for a in "xy" for k in range(1, 7)]))
 
 
 @query
@@ -109,7 +108,7 @@ def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir)
     rows = [(None, GLOBAL_WEIGHTS), *ROLE_WEIGHTS.items()]
     weights = spark.createDataFrame(rows, "player_role string, w array<double>")
-    return ridge_predict(design(t.observed, t.requests), weights).select(*KEYS, *nudged("x", "y"))
+    return ridge_predict(design(t.observed, t.requests), weights).select(*KEYS, *exact("x", "y"))
 
 
 @query
@@ -144,20 +143,20 @@ def holdout_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir)
     games = partitions(spark).where("partition = 'holdout'").select("game_id")
     labels = t.labels.where("frame_id <= 6").join(games, "game_id", "left_semi")
-    found = evaluate.score(labels, predict(t.observed, labels, COMPARED), COMPARED)
+    found = evaluate.score_wide(labels, wide(t.observed, labels, COMPARED), COMPARED)
     return evaluate.pooled(found, "model").select("model", "n", *r6("rmse"))
 
 
 @query
 def trajectory_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.trajectory_diagnostics(errors(spark, sf_dir, ("constant_velocity", "ball_arrival")))
-    return out.select("model", *ENTITY, "n", "last_frame", *nudged("sse", digits=2), *r6("rmse", "ade", "fde", "max_displacement"))
+    return out.select("model", *ENTITY, "n", "last_frame", *exact("sse"), *r6("rmse", "ade", "fde", "max_displacement"))
 
 
 @query
 def paired_by_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.paired_by_game(errors(spark, sf_dir))
-    return out.select("model_a", "model_b", "game_id", "is_pooled", "n", *r6("rmse_delta"), *nudged("sse_delta", digits=1))
+    return out.select("model_a", "model_b", "game_id", "is_pooled", "n", *r6("rmse_delta"), *r6("sse_delta", digits=3))
 
 
 @query
@@ -360,17 +359,17 @@ def site_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def request_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.with_order(load(spark, sf_dir).requests)
+    """The events as requests in the order they were written in, which isn't that of their keys."""
+    return order.written_order(spark.read.parquet(f"{sf_dir}/events.parquet")).select("user_id", "event_id", "request_order")
 
 
 @query
 def order_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of requests whose prediction is another's, after every fifth player's frames came reversed and every ninth's last one is gone."""
-    requests = order.with_order(load(spark, sf_dir).requests)
-    reverse = F.when(F.col("nfl_id") % 5 == 0, 13 - F.col("frame_id")).otherwise(F.col("frame_id"))
-    given = requests.where("NOT (nfl_id % 9 = 0 AND frame_id = 12)").withColumn("frame_id", reverse)
-    return order.order_mismatches(given, requests).select(
-        "request_order", F.col("wanted.frame_id").alias("wanted_frame"), F.col("given.frame_id").alias("given_frame")
+    """Places of requests, as written, whose answer is another's, once answers come in the order of their keys and those of every ninth user are gone."""
+    requests = request_order(spark, sf_dir)
+    answers = order.key_order(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id"), ["user_id"], ["event_id"])
+    return order.order_mismatches(answers.where("user_id % 9 <> 0"), requests, ["user_id", "event_id"]).select(
+        "request_order", F.col("wanted.event_id").alias("wanted_event"), F.col("given.event_id").alias("given_event")
     )
 
 

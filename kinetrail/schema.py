@@ -22,3 +22,5 @@ OBSERVED = T.StructType(
 REQUESTS = T.StructType(KEY_FIELDS)
 PREDICTIONS = T.StructType([T.StructField("model", T.StringType()), *POINTS.fields])
 SPLITS = T.StructType([T.StructField("game_id", _long), T.StructField("partition", T.StringType())])
+#: Frames that a forecast can have.
+LONGEST = 120

@@ -23,7 +23,8 @@ FRAMES = OBSERVED + FUTURE
 def tracking(events: DataFrame) -> Tracking:
     """Plays of 20 events of one user: 8 observed and 12 to forecast; shorter plays are left out.
 
-    x is the event's value, y the number k of its properties. One exchange on the user serves both windows.
+    x is the event's value, y the number k of its properties. One exchange on the user serves both windows. The ball lands
+    at the mean position, added in millionths, as whole numbers, so that no digit depends on the order of rows.
     """
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     n = F.row_number().over(order) - 1
@@ -45,7 +46,8 @@ def tracking(events: DataFrame) -> Tracking:
     )
     past = frames.where(F.col("f") <= OBSERVED)
     role = F.max(F.when(F.col("f") == OBSERVED, F.col("event_type"))).over(Window.partitionBy(*ENTITY))
-    ball = past.groupBy("game_id", "play_id").agg(F.avg("x").alias("ball_land_x"), F.avg("y").alias("ball_land_y"))
+    mean = lambda c: F.sum(F.rint(F.col(c) * 1e6).cast("long")).cast("double") / (F.count("*") * 1e6)
+    ball = past.groupBy("game_id", "play_id").agg(mean("x").alias("ball_land_x"), mean("y").alias("ball_land_y"))
     observed = (
         past.withColumn("player_role", role)
         .join(ball, ["game_id", "play_id"])

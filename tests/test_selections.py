@@ -4,22 +4,63 @@ import random
 import zipfile
 from fractions import Fraction
 
+import pandas as pd
 import pytest
 from kinetrail.operators import evaluate, order, scan, select, sums
+from kinetrail.schema import KEYS
 from kinetrail.sources import archives
+from pyspark.sql import functions as F
 
 KEY = "game_id long, play_id long, nfl_id long, frame_id long"
 
 
-def test_order(spark):
+def test_key_order(spark):
     rows = [(g, p, i, f) for g in (2, 1) for p in (1, 2) for i in (7, 3) for f in (2, 1)]
-    numbered = order.with_order(spark.createDataFrame(rows, KEY)).cache()
+    numbered = order.key_order(spark.createDataFrame(rows, KEY), ["game_id", "play_id"], ["nfl_id", "frame_id"]).cache()
     got = [tuple(r) for r in order.in_request_order(numbered).collect()]
     assert got == [(*r, n) for n, r in enumerate(sorted(rows))]
-    assert order.order_mismatches(numbered, numbered).isEmpty()
+    assert order.order_mismatches(numbered, numbered, KEYS).isEmpty()
     fewer = numbered.where("request_order <> 3")
-    assert [r.request_order for r in order.order_mismatches(fewer, numbered).collect()] == [3]
-    assert order.with_order(spark.createDataFrame([], KEY)).count() == 0
+    assert [r.request_order for r in order.order_mismatches(fewer, numbered, KEYS).collect()] == [3]
+    assert order.key_order(spark.createDataFrame([], KEY), ["game_id"], ["nfl_id"]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet", "json"])
+def test_written_order(spark, tmp_path, kind):
+    """Shuffled keys in shuffled files, read in small blocks: rows come back as the caller wrote them, and with their keys reversed."""
+    rng = random.Random(5)
+    keys = [(g, p, i, f) for g in (2, 1) for p in (1, 2, 3) for i in range(1, 12) for f in range(1, 13)]
+    rng.shuffle(keys)
+    parts, paths = [keys[:300], keys[300:310], keys[310:]], []
+    for name, part in zip(("b", "c d", "a"), parts, strict=True):
+        paths.append(str(tmp_path / f"{name}.{kind}"))
+        frame = pd.DataFrame(part, columns=KEYS)
+        if kind == "csv":
+            frame.to_csv(paths[-1], index=False)
+        elif kind == "json":
+            frame.to_json(paths[-1], orient="records", lines=True)
+        else:
+            frame.to_parquet(paths[-1], row_group_size=50)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        reader = spark.read.schema(KEY).option("header", True)
+        source = reader.format(kind).load(paths)
+        assert source.rdd.getNumPartitions() > 3
+        numbered = order.written_order(source, paths)
+        got = [tuple(r)[:4] for r in order.in_request_order(numbered.orderBy(F.rand(2))).collect()]
+        assert got == keys
+        assert sorted(r.request_order for r in numbered.collect()) == list(range(len(keys)))
+        by_name = [tuple(r)[:4] for r in order.in_request_order(order.written_order(source)).collect()]
+        assert by_name == parts[2] + parts[0] + parts[1]
+        with pytest.raises(Exception, match="not among the files"):
+            order.written_order(source, paths[:2]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    answers = order.key_order(numbered.drop("request_order"), ["game_id"], ["play_id", "nfl_id", "frame_id"])
+    off = {r.request_order for r in order.order_mismatches(answers, numbered, KEYS).collect()}
+    assert off == {n for n, (a, b) in enumerate(zip(keys, sorted(keys), strict=True)) if a != b}
 
 
 def test_chosen_and_only(spark):

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 from kinetrail.functions.motion import MODELS, damped, model
-from kinetrail.operators import evaluate, report, ridge, validate, weekly
+from kinetrail.operators import evaluate, report, ridge, state, validate, weekly
 from kinetrail.operators.forecast import design, predict, ridge_predict
 from kinetrail.operators.split import enough_days, split_games
 from kinetrail.operators.state import observed_state
@@ -219,6 +219,54 @@ def test_score_is_exact(spark):
     assert [tuple(r)[-2:] for r in evaluate.score(truth, whole.where("frame_id = 1"), partial=True).collect()] == [(3.0, 4.0)]
 
 
+def test_wide_scores_are_exact(spark):
+    truth = points(spark, [(1, 1, 0, 0), (1, 2, 0, 0)])
+    made = points(spark, [(1, 1, 3, 4), (1, 2, 0, 0)]).selectExpr(*KEYS, "x AS x_a", "y AS y_a", "x + 1 AS x_b", "y AS y_b")
+    got = evaluate.score_wide(truth, made, ["a", "b"])
+    assert sorted(tuple(r)[0:1] + tuple(r)[-3:] for r in got.collect()) == [("a", 1, 3.0, 4.0), ("a", 2, 0.0, 0.0), ("b", 1, 4.0, 4.0), ("b", 2, 1.0, 0.0)]
+    bad = [
+        (truth, made.where("frame_id = 1")),
+        (truth.where("frame_id = 1"), made),
+        (truth, made.unionByName(made.limit(1))),
+        (truth.unionByName(truth.limit(1)), made),
+        (truth, made.withColumn("y_b", F.lit(float("nan")))),
+        (truth, made.withColumn("x_a", F.lit(None).cast("double"))),
+        (truth.withColumn("x", F.lit(float("inf"))), made),
+        (truth, made.where("false")),
+    ]
+    for t, p in bad:
+        with pytest.raises(Exception, match="forecast|label"):
+            evaluate.score_wide(t, p, ["a", "b"]).collect()
+
+
+def test_requests_need_history(spark):
+    table, asked = observed(spark), requests(spark, players=4)
+    for use in (lambda: predict(table, asked, ["last_position"]), lambda: design(table, asked).select("fx1"), lambda: predict(table, asked, ["last_position"]).groupBy().count()):
+        with pytest.raises(Exception, match="no history of the request 1, 1, 4"):
+            use().collect()
+
+
+def test_weights_have_one_global_row(spark):
+    designed = design(observed(spark), requests(spark))
+    schema, w = "player_role string, w array<double>", [0.1] * 6
+    assert ridge_predict(designed, spark.createDataFrame([(None, w)], schema)).count() == 36
+    for rows in ([("a", w)], [(None, w), (None, w)], [(None, w), ("a", w), ("a", w)]):
+        with pytest.raises(Exception, match="not one row of weights"):
+            ridge_predict(designed, spark.createDataFrame(rows, schema)).collect()
+
+
+def test_states_of_shards_merge(spark):
+    rng = random.Random(3)
+    rows = [(1, p, n, f, rng.uniform(0, 9), rng.uniform(0, 9), 1.0, 2.0, 12, f"r{f}") for p in (1, 2) for n in (1, 2, 3) for f in rng.sample(range(1, 30), rng.randint(1, 20))]
+    table = spark.createDataFrame(rows, OBSERVED)
+    whole = sorted(map(tuple, observed_state(table).collect()))
+    for parts in (2, 5):
+        shards = [state.partial_state(table.where(F.pmod(F.xxhash64("frame_id", "nfl_id"), F.lit(parts)) == k)) for k in range(parts)]
+        assert sorted(map(tuple, state.finished(state.merged(*shards)).collect())) == whole
+    plan = observed_state(table)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_exact_percentile(spark):
     rng = np.random.default_rng(2)
     groups = {"a": rng.lognormal(size=1000), "b": rng.integers(0, 3, 501) * 1.0, "c": np.zeros(7), "d": np.array([5.0])}
