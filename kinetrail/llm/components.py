@@ -54,10 +54,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _flat(edges: DataFrame) -> bool:
-    """Whether each node has one edge, and it leads to a root."""
-    several = edges.groupBy("u").count().where("count > 1").select("u").limit(1)
-    inner = edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").select("u").limit(1)
-    return several.unionByName(inner).isEmpty()
+    """Whether each node has one edge, and it leads to a root: one exchange of counts per node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("k")), F.struct(F.col("v").alias("n"), F.lit(0).alias("k")))).alias("e"))
+    nodes = ends.groupBy("e.n").agg(F.sum("e.k").alias("edges"), F.min("e.k").alias("root"))
+    return nodes.where("edges > 1 OR edges = 1 AND root = 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def components(links: DataFrame) -> DataFrame:
     while not _flat(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = saved(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from .common import discard, documents, saved, small_batches
 from .components import components
-from .shingles import SHINGLE, MinHash, band_keys, scramble, shingle_hashes
+from .shingles import SHINGLE, MinHash, band_keys, shingle_hashes
 
 #: 40 bands of 5: a pair of similarity 0.75 shares no band with probability 2e-5.
 BANDS, ROWS = 40, 5
@@ -92,8 +93,7 @@ class _Sets(dict):
 _SIGNED = T.StructType(
     [
         T.StructField("n", T.LongType()),
-        T.StructField("d1", T.LongType()),
-        T.StructField("d2", T.LongType()),
+        T.StructField("words", T.BinaryType()),
         T.StructField("sig", T.BinaryType()),
     ]
 )
@@ -104,17 +104,14 @@ def _sign(text: Column, count: int, size: int) -> Column:
 
     @F.arrow_udf(_SIGNED)
     def sign(texts: pa.Array) -> pa.Array:
-        ns, d1, d2, sigs = [], [], [], []
+        ns, digests, sigs = [], [], []
         for t in texts.to_pylist():
-            h = np.unique(shingle_hashes(words_of(t or b""), size))
+            words = words_of(t or b"")
+            h = np.unique(shingle_hashes(words, size))
             ns.append(len(h))
-            d1.append(int(h.sum(dtype=np.uint64).view(np.int64)))
-            d2.append(int(scramble(h).sum(dtype=np.uint64).view(np.int64)))
+            digests.append(blake2b(b" ".join(words), digest_size=16).digest())
             sigs.append(minhash.stored(minhash.minima(h)).tobytes() if len(h) else b"")
-        return pa.StructArray.from_arrays(
-            [pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary())],
-            names=_SIGNED.names,
-        )
+        return pa.StructArray.from_arrays([pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=_SIGNED.names)
 
     return sign(text.cast("binary"))
 
@@ -250,8 +247,8 @@ def near_groups(
 ) -> DataFrame:
     """Groups of documents linked by shingle sets of `percent` hundredths similarity.
 
-    1. One Arrow pass signs whole texts; documents with equal sets form a class, which its
-       smallest id stands for from here on. 2. Band keys of the classes are counted, and members of
+    1. One Arrow pass signs whole texts; those of the same words in the same order, by a cryptographic digest of 128 bits, are a class, a
+       numbered node from here on, with the text of its smallest id. Other texts with an equal set are compared like any others. 2. Band keys of the classes are counted, and members of
        bands with two or more stay. 3. Each is compared with the first members of its bands, PIVOTS at most (stars):
        batches of signature positions, pruned as soon as the posterior probability of reaching the
        threshold falls below `miss`, then the exact sets of whole texts. 4. Links become components.
@@ -262,7 +259,7 @@ def near_groups(
        come only to members that they leave with a partner, and are compared until a link joins two components. Just
        members and links become rows. So a group of n near copies costs about n comparisons, and no link between components is lost.
 
-    Returns one row per input row: id_col, n_shingles (long, distinct), component_id (long), kept (boolean, id =
+    Returns one row per input row: id_col, n_shingles (long, distinct by hashes of 64 bits), component_id (long), kept (boolean, id =
     component_id). Null, empty or blank text: 0 shingles, linked with nothing. Rows of equal id are one
     document: their texts are in one component; a null id is linked with nothing, component_id null, kept true. Other
     columns are ignored. Empty table: no rows. Ids must cast to long.
@@ -271,30 +268,24 @@ def near_groups(
     count = bands * rows
     source = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     weight = (1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / UNIT)).cast("int").alias("w")
-    signed = saved(source.select("own", "id", weight, _sign(F.col("text"), count, size).alias("s")).select("own", "id", "w", "s.*"), "near-signed")
+    text_hash = F.xxhash64(F.col("text").cast("binary"))
+    signed = source.select("own", "id", weight, text_hash.alias("h"), _sign(F.col("text"), count, size).alias("s"))
+    signed = saved(signed.select("own", "id", "w", "h", "s.*"), "near-signed")
     usable = signed.where("n > 0 AND id IS NOT NULL")
-    classes = saved(usable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "near-classes")
-    reps = saved(
-        usable.join(classes, ["d1", "d2", "n"]).where("id = rep").select("id", "w", "sig", "d1", "d2").dropDuplicates(["id", "d1", "d2"]),
-        "near-reps",
-    )
-    text = F.struct("d1", "d2", "n")
-    several = usable.groupBy("id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low != high").select("id")
-    own = usable.join(several, "id", "left_semi").join(classes, ["d1", "d2", "n"])
-    own = saved(own.select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a != b").distinct(), "near-own")
+    first = usable.groupBy("words").agg(F.min(F.struct("id", "h")).alias("first"))
+    classes = saved(first.select("words", "first.*").withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    # node, where its text is, and what is known of it: a row per class, however many texts an id has
+    reps = saved(usable.join(classes, ["words", "id", "h"]).select(F.col("node").alias("id"), F.col("id").alias("doc"), "h", "w", "sig").dropDuplicates(["id"]), "near-reps")
+    several = usable.groupBy("id").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low != high").select("id")
+    mine = usable.join(several, "id", "left_semi").select("id", "words").distinct().join(classes.select("words", "node"), "words")
+    mine = saved(mine.select("id", "node"), "near-mine")
+    own = mine.join(mine.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b").where("a != b")
     keyed = reps.select("id", "w", F.explode(_bands(F.col("sig"), bands, rows)).alias("band"))
     shared = keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("band", "low")
     member = saved(keyed.join(shared, "band").distinct(), "near-members")
-    ids = saved(member.select("id").distinct(), "near-ids")
-    texts = (
-        source.where("text IS NOT NULL")
-        .join(ids, "id", "left_semi")
-        .select("id", F.col("text").cast("binary").alias("text"))
-        .withColumn("h", F.xxhash64("text"))
-        .dropDuplicates(["id", "h"])
-        .select("id", "text")
-    )
-    known = saved(texts.join(reps.select("id", "sig"), "id"), "near-known")
+    ids = saved(member.select("id").distinct().join(reps.select("id", "doc", "h", "sig"), "id"), "near-ids")
+    texts = source.where("text IS NOT NULL").select(F.col("id").alias("doc"), text_hash.alias("h"), F.col("text").cast("binary").alias("text"))
+    known = saved(texts.join(ids, ["doc", "h"]).dropDuplicates(["id"]).select("id", "text", "sig"), "near-known")
     discard(ids, reps)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -368,11 +359,12 @@ def near_groups(
             .distinct()
         )
         labels = joined(labels, links.unionByName(saved(pairs, "near-links")))
-    discard(known, member, open_, own)
-    named = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
-        "d1", "d2", "n", F.coalesce("comp", "rep").alias("comp")
-    )
-    out = signed.select("own", "id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    discard(known, member, open_, mine)
+    labelled = classes.select("words", "node", F.col("id").alias("rep")).join(labels.select(F.col("id").alias("node"), "comp"), "node", "left")
+    labelled = saved(labelled.select("words", "rep", F.coalesce("comp", "node").alias("comp")), "near-labelled")
+    least = labelled.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = labelled.join(least, "comp").select("words", F.col("least").alias("comp"))
+    out = signed.select("own", "id", "n", "words").join(named, "words", "left")
     comp = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("comp")).otherwise(F.col("id"))
     return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), F.lit(True))

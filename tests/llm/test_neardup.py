@@ -80,6 +80,28 @@ def test_texts_of_one_id(spark):
     assert got == {(1, 1), (2, 1), (5, 1), (7, 1), (8, 1), (9, 1), (8, 8)}
 
 
+def test_many_texts_of_one_id(spark, monkeypatch):
+    """Thousands of different texts under one id, near to others or to none: a row per text is compared, one component."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(7, " ".join(rng.choices(words, k=30))) for _ in range(3000)]
+    rows += [(100 + k, rows[k * 7][1] + " tail") for k in range(50)] + [(3, rows[5][1]), (500, "quite another text than all of the others here")]
+    kept = []
+    real = neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df, label: kept.append((label, real(df, label))) or kept[-1][1])
+    got = {(r.doc_id, r.component_id) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 3), (3, 3), (500, 500), *((100 + k, 3) for k in range(50))}
+    assert {label: df.count() for label, df in kept if label == "near-classes"} == {"near-classes": 3051}
+
+
+def test_equal_sets_in_another_order(spark):
+    """Texts whose words differ in order but whose shingles are the same set are linked by comparison."""
+    a, b = "a b c d e a b c d e a b c d e", "a b c d e a b c d e"
+    rows = [(4, a), (2, b), (9, a.upper()), (8, "x y z u v w")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(4, 2), (2, 2), (9, 2), (8, 8)}
+
+
 def test_wide_band_of_other_texts(spark, monkeypatch):
     """Many documents that share a band but little more, some long, with a few links among them."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
