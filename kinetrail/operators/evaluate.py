@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.motion import finite, horizon_bucket
 from ..schema import ENTITY, KEYS
+from .draws import resample_counts
 
 
 def align(truth: DataFrame, prediction: DataFrame) -> DataFrame:
@@ -158,6 +159,35 @@ def by_horizon(errors: DataFrame, width: int = 4) -> DataFrame:
     return pooled(errors.withColumn("bucket", horizon_bucket(F.col("frame_id"), width)), "model", "bucket")
 
 
+def slices(errors: DataFrame, splits: DataFrame, frames: Sequence[tuple[int, int]] = ((1, 4), (5, 8), (9, 12))) -> DataFrame:
+    """(model, partition, slice, value, n, sse, rmse): totals of each partition, its slices by horizon and by game, from one scan of errors.
+
+    One aggregation over grouping sets makes them all. Its rows, few whatever the errors, are then reconciled: a game without a partition,
+    a frame in no horizon, an empty horizon, or slices that don't add up to their total raise when the result is read.
+    """
+    bucket = F.lit(None).cast("string")
+    names = [f"frames_{low}_{high}" for low, high in frames]
+    for name, (low, high) in zip(names, frames, strict=True):
+        bucket = F.when(F.col("frame_id").between(low, high), name).otherwise(bucket)
+    dealt = errors.join(splits.select("game_id", "partition"), "game_id", "left").withColumn("horizon", bucket)
+    keys = ["model", "partition"]
+    sets = [[F.col(c) for c in (*keys, *more)] for more in ([], ["horizon"], ["game_id"])]
+    kind = F.when(F.grouping("horizon") == 0, "horizon").when(F.grouping("game_id") == 0, "game").otherwise("total").alias("slice")
+    made = dealt.groupingSets(sets, *keys, "horizon", "game_id").agg(F.count("*").alias("n"), F.sum(squared()).alias("sse"), kind)
+    of = Window.partitionBy(*keys)
+    rows = lambda name: F.coalesce(F.sum(F.when(F.col("slice") == name, F.col("n"))).over(of), F.lit(0))
+    there = F.sort_array(F.collect_set(F.when(F.col("slice") == "horizon", F.col("horizon"))).over(of))
+    wrong = (
+        F.when(F.col("partition").isNull(), "a game without a partition")
+        .when((F.col("slice") == "horizon") & F.col("horizon").isNull(), "a frame in no horizon")
+        .when(there != F.array(*map(F.lit, sorted(names))), "an empty horizon")
+        .when((rows("horizon") != rows("total")) | (rows("game") != rows("total")), "slices that do not cover the total")
+    )
+    value = F.coalesce("horizon", F.col("game_id").cast("string"), F.lit("all"))
+    checked = made.withColumn("value", F.when(wrong.isNull(), value).otherwise(F.raise_error(wrong)))
+    return checked.select(*keys, "slice", "value", "n", "sse").withColumn("rmse", rmse(F.col("sse"), F.col("n")))
+
+
 def trajectory_diagnostics(errors: DataFrame) -> DataFrame:
     """One row per model and entity: n, sse (added by frame, so that no digit depends on the order of rows), rmse, ade, last frame, fde, largest displacement."""
     d = errors.withColumn("d", distance())
@@ -259,28 +289,20 @@ def cumulative(errors: DataFrame) -> DataFrame:
     ).withColumn("rmse", rmse(F.col("sse"), F.col("n")))
 
 
-def draw(seed: Column | int, rep: Column, turn: Column, n: Column) -> Column:
-    """A number from 0 to n - 1: 32 bits of a digest of seed, repetition and turn, so any engine can repeat it."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), rep, turn).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
-
-
 def bootstrap(errors: DataFrame, repeats: int = 2000, seed: int = 2026) -> DataFrame:
-    """(model, rep, rmse): whole games drawn with replacement.
+    """(model, rep, rmse): whole games, in the order of their ids, drawn with replacement as numpy.random.default_rng(seed) does.
 
-    Rows are summed per game. Draws, as many as games in each repetition, are made in tasks from the seed and counted
+    Rows are summed per game. Draws, as many as games in each repetition, are made in tasks and counted
     by (rep, game) before they meet the sums. One row per game reaches the unpartitioned window.
     """
     sums = errors.groupBy("model", "game_id").agg(F.count("*").alias("n"), F.sum(squared()).alias("sse"))
     games = sums.select("game_id").distinct()
     count = games.count()
-    if not count:
+    if not count or repeats < 1:
         raise ValueError("nothing to resample")
     numbered = games.withColumn("g", (F.row_number().over(Window.orderBy("game_id")) - 1).cast("long"))
-    turns = errors.sparkSession.range(repeats).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("turn"))
-    times = turns.groupBy("rep", draw(seed, F.col("rep"), F.col("turn"), F.lit(count)).alias("g")).agg(F.count("*").alias("times"))
     return (
-        times.join(sums.join(numbered, "game_id"), "g")
+        resample_counts(errors.sparkSession, seed, repeats, count).join(sums.join(numbered, "game_id"), "g")
         .groupBy("model", "rep")
         .agg(F.sum(F.col("sse") * F.col("times")).alias("sse"), F.sum(F.col("n") * F.col("times")).alias("n"))
         .select("model", "rep", rmse(F.col("sse"), F.col("n")).alias("rmse"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from ..operators.ridge import UPPER, N
 from ..functions.uri import PARTS
 from ..operators.references import ENTRY, FILE_BYTES, PRIVATE, SITE_BYTES, SITE_FILES, SUFFIXES
@@ -30,7 +32,7 @@ from ..operators.scan import (
 )
 from ..operators.select import BLOCKED_SUFFIXES
 from ..sources.synthetic import PARTITION
-from .queries import COMPARED, FORECASTS, GLOBAL_WEIGHTS, ROLE_WEIGHTS
+from .queries import COMPARED, FORECASTS, GLOBAL_WEIGHTS, ODD_PROPS, ROLE_WEIGHTS
 
 TRACKS = r"""
 ev AS (
@@ -246,6 +248,27 @@ _SITE_RULES = [
     "SELECT site, NULL, 'marker', '(?i)synthetic' FROM si WHERE NOT marked",
 ]
 
+def _draws(seed: int, repeats: int) -> str:
+    """`dr`: draws of rep and g, each of `gn`'s k games, by a permuted congruential generator of 128 bits in two halves."""
+    start, multiplier = np.random.PCG64(seed).state["state"], 0x2360ED051FC65DA44385DF649FCCF645
+    half = 1 << 64
+    (s1, s0), (m1, m0), (c1, c0) = (divmod(v, half) for v in (start["state"], multiplier, start["inc"]))
+    u = lambda v: f"{v}::UHUGEINT"
+    low = f"(lo * {u(m0)}) % {u(half)} + {u(c0)}"
+    high = f"(lo * {u(m0)}) // {u(half)} + (lo * {u(m1)}) % {u(half)} + (hi * {u(m0)}) % {u(half)} + {u(c1)} + ({low}) // {u(half)}"
+    return f"""pc AS (
+  SELECT 0 AS i, {u(s1)} AS hi, {u(s0)} AS lo UNION ALL
+  SELECT i + 1, ({high}) % {u(half)}, ({low}) % {u(half)} FROM pc WHERE i < {repeats} * (SELECT max(k) FROM gn) / 2 + 8),
+ou AS (SELECT i, xor(hi::UBIGINT, lo::UBIGINT)::UHUGEINT AS x, (hi // {u(1 << 58)})::INTEGER AS r FROM pc WHERE i > 0),
+wo AS (SELECT i, x // (1::UHUGEINT << r::UHUGEINT) + (x * (1::UHUGEINT << (64 - r)::UHUGEINT)) % {u(half)} AS v FROM ou),
+w32 AS (SELECT 2 * i AS p, (v % {u(1 << 32)})::BIGINT AS w FROM wo UNION ALL SELECT 2 * i + 1, (v // {u(1 << 32)})::BIGINT FROM wo),
+ac AS (SELECT row_number() OVER (ORDER BY p) - 1 AS place, (w::HUGEINT * k // {1 << 32})::BIGINT AS g, k
+       FROM w32, (SELECT max(k) AS k FROM gn) WHERE (w::HUGEINT * k) % {1 << 32} >= {1 << 32} % k),
+dr AS (SELECT place // k AS rep, g FROM ac WHERE place < {repeats} * k)"""
+
+
+_DRAWS = _draws(2026, 2000)
+
 ORACLES: dict[str, str] = {
     "terminal_state": _with(
         TRACKS,
@@ -300,13 +323,10 @@ fm AS (SELECT model, count(*) AS n, sqrt(sum(e) / (2.0 * count(*))) AS coordinat
         "FROM gs WINDOW w AS (PARTITION BY model)",
     ),
     "bootstrap_rmse": _with(
-        _errors(("constant_velocity", "last_position"))
-        + """,
-gs AS (SELECT model, game_id, count(*) AS n, sum(e) AS sse FROM sq GROUP BY ALL),
-gn AS (SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS g, count(*) OVER () AS k FROM (SELECT DISTINCT game_id FROM gs)),
-dr AS (
-  SELECT rep, CAST('0x' || substr(md5('2026:' || rep || ':' || turn), 1, 8) AS BIGINT) % (SELECT max(k) FROM gn) AS g
-  FROM range(2000) r(rep), range((SELECT max(k) FROM gn)) t(turn))""",
+        "RECURSIVE " + _errors(("constant_velocity", "last_position"))
+        + ",\ngs AS (SELECT model, game_id, count(*) AS n, sum(e) AS sse FROM sq GROUP BY ALL),\n"
+        + "gn AS (SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS g, count(*) OVER () AS k FROM (SELECT DISTINCT game_id FROM gs)),\n"
+        + _DRAWS,
         "SELECT model, rep, round(sqrt(sum(sse) / (2.0 * sum(n))), 6) AS rmse FROM dr JOIN gn USING (g) JOIN gs USING (game_id) GROUP BY model, rep",
     ),
     "error_timeline": _pooled("frame_id"),
@@ -441,6 +461,34 @@ al AS (SELECT a.model AS model_a, b.model AS model_b, k.*, EXISTS (FROM ke x WHE
 pa AS (SELECT model_a, model_b, count(DISTINCT game_id) FILTER (WHERE in_a AND in_b) AS games, count(*) FILTER (WHERE in_a <> in_b) AS unmatched FROM al GROUP BY ALL)""",
         "SELECT *, unmatched = 0 AND games >= 2 AS pairable FROM pa",
     ),
+    "slices_all": _with(
+        _errors(("constant_velocity", "last_position"))
+        + ",\n"
+        + _PARTITIONS
+        + """,
+sl AS (SELECT *, 'frames_' || ((frame_id - 1) // 4 * 4 + 1) || '_' || ((frame_id - 1) // 4 * 4 + 4) AS horizon FROM sq JOIN part USING (game_id))""",
+        """SELECT model, partition, CASE WHEN grouping(horizon) = 0 THEN 'horizon' WHEN grouping(game_id) = 0 THEN 'game' ELSE 'total' END AS slice,
+  coalesce(horizon, CAST(game_id AS VARCHAR), 'all') AS value, count(*) AS n, round(sqrt(sum(e) / (2.0 * count(*))), 6) AS rmse
+  FROM sl GROUP BY GROUPING SETS ((model, partition), (model, partition, horizon), (model, partition, game_id))""",
+    ),
+    "keyed_read": _with(TRACKS, "SELECT game_id, count(*) AS n, max(frame_id) AS last FROM lab GROUP BY game_id"),
+    "keyed_violations": "SELECT 'null key' AS rule, count(*) FILTER (l_orderkey IS NULL OR l_linenumber IS NULL) AS violations FROM lineitem "
+    "UNION ALL SELECT 'quantity over 45', count(*) FILTER (l_quantity > 45) FROM lineitem "
+    "UNION ALL SELECT 'duplicate key', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) "
+    "UNION ALL SELECT 'rows', count(*) FROM lineitem",
+    "typed_props": _with(
+        "op AS (SELECT " + ODD_PROPS.format(k="regexp_extract(props, '([0-9]+)', 1)") + " AS p FROM events),\n"
+        "ty AS (SELECT p, json_type(p, '$.k') AS t, TRY_CAST(json_extract_string(p, '$.k') AS DOUBLE) AS v FROM op),\n"
+        "fi AS (SELECT 'small' AS rule, CASE WHEN t IS NULL THEN 'missing' WHEN t NOT IN ('UBIGINT', 'BIGINT') THEN 'type' WHEN NOT v BETWEEN 0 AND 79 THEN 'value' END AS problem FROM ty\n"
+        "UNION ALL SELECT 'number', CASE WHEN t IS NULL THEN 'missing' WHEN t NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'type' END FROM ty)",
+        "SELECT rule, problem, count(*) AS n FROM fi WHERE problem IS NOT NULL GROUP BY ALL",
+    ),
+    "content_digest": """WITH h AS (
+  SELECT role, sha256(strlen(CAST(conv_id AS VARCHAR)) || ':' || conv_id || coalesce(strlen(text) || ':' || text, '-') || strlen(CAST(turn AS VARCHAR)) || ':' || turn) AS h
+  FROM conversations)
+SELECT role, count(*) AS n, """
+    + ", ".join(f"CAST(sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT) AS VARCHAR) AS s{k + 1}" for k in range(4))
+    + " FROM h GROUP BY role",
     "play_selection": _with(TRACKS, f"SELECT {KEYS}, round(x, 6) AS x, round(y, 6) AS y FROM obs WHERE game_id = 103 AND play_id = 1"),
     "historical_row": f"SELECT * FROM ({ORACLES['rmse_by_game']}) WHERE model = 'last_position' AND game_id = 103",
     "blocked_files": f"""SELECT page_id, path FROM (SELECT page_id, {_ENDS}[page_id % 6 + 1] AS name, 'site/' || page_id || '/' || {_ENDS}[page_id % 6 + 1] AS path FROM pages)

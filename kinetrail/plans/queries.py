@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import uri
 from ..functions.exact import rounded
 from ..functions.motion import MODELS
-from ..operators import evaluate, order, references, report, ridge, scan, select, sums, validate
+from ..operators import digest, evaluate, evidence, order, references, report, ridge, scan, select, sums, validate
 from ..operators.forecast import design, predict, ridge_predict, wide
 from ..operators.split import split_games
 from ..operators.state import observed_state
 from ..schema import ENTITY, KEYS
+from ..sources import strict
 from ..sources.events import load
 from ..sources.synthetic import partitions
 
@@ -380,6 +381,51 @@ def pairing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pairing(found.where("NOT (model = 'ball_arrival' AND nfl_id = 3) AND NOT (model = 'last_position' AND game_id <> 102)"))
 
 
+@query
+def slices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of each partition with their slices by horizon and game, reconciled."""
+    out = evaluate.slices(errors(spark, sf_dir, ("constant_velocity", "last_position")), partitions(spark))
+    return out.select("model", "partition", "slice", "value", "n", *r6("rmse"))
+
+
+@query
+def keyed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels read strictly: keys, domain and coordinates checked in the job that counts them."""
+    rows = strict.strict(load(spark, sf_dir).labels, KEYS, strict.point_rules())
+    return rows.groupBy("game_id").agg(F.count("*").alias("n"), F.max("frame_id").alias("last"))
+
+
+@query
+def keyed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of the line items, their keys included, in one pass."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rules = {"null key": F.col("l_orderkey").isNull() | F.col("l_linenumber").isNull(), "quantity over 45": F.col("l_quantity") > 45}
+    return strict.counted(items, ["l_orderkey", "l_linenumber"], rules)
+
+
+#: Events' properties, most of them rewritten as other types would write them.
+ODD_PROPS = (
+    "CASE event_id % 8 WHEN 1 THEN concat('{{\"k\": \"', {k}, '\"}}') WHEN 2 THEN '{{\"k\": true}}' WHEN 3 THEN concat('{{\"k\": ', {k}, '.5}}') "
+    "WHEN 4 THEN '{{}}' WHEN 5 THEN concat('{{\"k\": [', {k}, ']}}') WHEN 6 THEN '{{\"k\": null}}' ELSE props END"
+)
+
+
+@query
+def typed_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with events' properties, by rule, where k must be a whole number under 80."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    odd = events.select("event_id", F.expr(ODD_PROPS.format(k="regexp_extract(props, '([0-9]+)', 1)")).alias("props"))
+    rules = [evidence.Rule("small", "$.k", "integer", low=0, high=79), evidence.Rule("number", "$.k", "number")]
+    return evidence.findings(odd, "event_id", "props", rules).groupBy("rule", "problem").agg(F.count("*").alias("n"))
+
+
+@query
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the conversations' rows by role: equal wherever the same rows are."""
+    out = digest.table_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "role")
+    return out.select("role", "n", *[F.col(f"s{k}").cast("string").alias(f"s{k}") for k in range(1, 5)])
+
+
 @query
 def play_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first play of a game, all players."""

@@ -42,11 +42,6 @@ def report_json(df: DataFrame, order: list[str]) -> str:
     return json.dumps(rows, sort_keys=True, allow_nan=False, indent=1)
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, as often."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
 def embedded_json(spark: SparkSession, path: str, variable: str, schema: str) -> DataFrame:
     """The rows of a JSON array, or the one row of an object, that a script assigns to a variable.
 

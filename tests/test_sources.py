@@ -4,7 +4,7 @@ import hashlib
 import json
 
 import pytest
-from kinetrail.operators import scan
+from kinetrail.operators import digest, scan
 from kinetrail.schema import KEYS, POINTS, SPLITS
 from kinetrail.sources import artifacts, tables
 from kinetrail.sources.events import load
@@ -37,7 +37,7 @@ def test_writers(spark, tmp_path):
     assert [r["game_id"] for r in json.loads(tables.report_json(df, ["game_id"]))] == [1, 2]
     with pytest.raises(ValueError):
         tables.report_json(spark.sql("SELECT double('NaN') AS x"), ["x"])
-    assert tables.same_rows(df, df.orderBy("game_id")) and not tables.same_rows(df, df.unionByName(df))
+    assert digest.same_rows(df, df.orderBy("game_id")) and not digest.same_rows(df, df.unionByName(df))
     script = tmp_path / "data.js"
     script.write_text('window.rows = [{"game_id": 3, "partition": "c"}];\n')
     assert tuple(tables.embedded_json(spark, str(script), "rows", "struct<game_id:bigint,partition:string>").first()) == (3, "c")

@@ -1,6 +1,5 @@
 """State, forecasts, metrics, validation and splits on hand-made and generated tables."""
 
-import hashlib
 import json
 import math
 import random
@@ -176,7 +175,7 @@ def test_bootstrap(spark):
     rows = [("m", g, 1, 1, 1, 10.0 if g == 1 else 0.0, 0.0) for g in (1, 2)]
     errors = spark.createDataFrame(rows, "model string, game_id long, play_id long, nfl_id long, frame_id long, dx double, dy double")
     got = {r.rep: r.rmse for r in evaluate.bootstrap(errors, 200, 7).collect()}
-    drawn = [[int(hashlib.md5(f"7:{r}:{k}".encode()).hexdigest()[:8], 16) % 2 for k in range(2)] for r in range(200)]
+    drawn = np.random.default_rng(7).integers(0, 2, (200, 2)).tolist()
     want = {r: math.sqrt(sum(100.0 for g in d if g == 0) / 4) for r, d in enumerate(drawn)}
     assert got == pytest.approx(want)
     with pytest.raises(ValueError):
