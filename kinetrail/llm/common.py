@@ -61,6 +61,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table that saved() made."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kt_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that saved() made and nothing needs any longer."""
     for df in tables:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, discard, documents, saved, without
+from .common import WHITE, ascii_lower, discard, documents, saved, stored_bytes, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Bytes of the files of drops that are broadcast, some three times as many in memory; more meet their rows by a sort-merge join.
+BROADCAST = 8 << 20
 
 
 def _stripped(line: Column) -> Column:
@@ -28,7 +30,8 @@ def dedup_lines(
     hash, combined map-side, leaves the hashes that can reach min_docs; over
     their lines alone distinct documents are counted exactly. Positions to drop
     go back to their rows, and the other lines are joined again by position, in time linear in the lines. The drops
-    are a written table: Spark broadcasts it if its files are small, else rows meet them by a sort-merge join.
+    are a written table: it is broadcast if its files are small (BROADCAST, or what Spark is set to), so that texts stay where they are; else
+    rows meet them by a sort-merge join.
 
     Returns the input's columns with text_col replaced by the kept text, and n_lines, n_dropped
     (long; such columns, in either case, are replaced). Null or empty text: one empty line, kept, and
@@ -64,6 +67,8 @@ def dedup_lines(
     )
     drops = saved(drops, "lines-drops")
     discard(often, found, holders)
+    if stored_bytes(drops) <= BROADCAST:
+        drops = F.broadcast(drops)
     rows = docs.select(*kept).withColumn("_kt_lines", F.split(text, "\n", -1)).withColumn("_kt_h", row_hash)
     joined = rows.join(drops, (F.col(id_col).eqNullSafe(F.col("_kt_id"))) & (F.col("_kt_h") == F.col("_kt_row")), "left")
     # the positions that stay, by hash set; looking each position up in the array of drops would be quadratic

@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from .common import discard, documents, saved, small_batches, without
 from .shingles import scramble
 
-#: Bytes of a repeat; bytes of the samples' names; windows of a piece of text; bits of the filter of names.
-LENGTH, NAME, PIECE, BITS = 200, 100, 1 << 18, 24
+#: Bytes of a repeat; bytes of the samples' names; windows of a piece of text.
+LENGTH, NAME, PIECE = 200, 100, 1 << 18
+#: Bits of a filter of names, as a power of two: the least and the most (16 MB), and how many there are for a name up to the most.
+LEAST_BITS, MOST_BITS, BITS_A_NAME = 20, 27, 8
 #: Samples of one name that one task compares; the windows around a name with more are dealt by themselves.
 HOT = 10_000
 _BASE = 0x9E3779B97F4A7C15
@@ -91,19 +93,23 @@ _CONTEXT = pa.schema(
 )
 
 
-def _contexts(length: int, name: int, held, bits: int, without=None):
+def _held(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether a filter holds each name: its length says how many low bits of a name count."""
+    bit = names & (8 * len(bitmap) - 1)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _contexts(length: int, name: int, held, without=None):
     """For each sample whose name is in a filter, and not in another: where its windows start, and the bytes they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
-        if without is not None:
-            often &= ~np.unpackbits(np.frombuffer(without.value, np.uint8), bitorder="little") & 1
+        often, hot = np.frombuffer(held.value, np.uint8), None if without is None else np.frombuffer(without.value, np.uint8)
         for batch in batches:
             ids, hashes, texts = (batch.column(k) for k in range(3))
             for i, text in enumerate(texts.to_pylist()):
                 for at, data in _pieces(text, length):
                     first, last, place, names = samples(data, length, name)
-                    on = np.flatnonzero(often[names & ((1 << bits) - 1)])
+                    on = np.flatnonzero(_held(often, names) if hot is None else _held(often, names) & ~_held(hot, names))
                     if len(on):
                         raw = [text[at + a : at + b] for a, b in zip(first[on].tolist(), (last[on] + length).tolist(), strict=True)]
                         pick = pa.array(np.full(len(on), i))
@@ -196,7 +202,9 @@ def repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
     )
 
 
-_WINDOW = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "id", "row", "begin", "end")] + [("done", pa.bool_())])
+_WINDOW = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "id", "row", "begin", "end")] + [("window", pa.binary()), ("done", pa.bool_())])
+#: A window's name on the way to its equals; what is equal is decided by bytes.
+_digest = xxhash.xxh3_128_digest
 
 
 def _runs_of(marked: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,17 +217,21 @@ def _runs_of(marked: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _hot_rows(ids: pa.Array, places: np.ndarray, raw: list[bytes], length: int) -> pa.RecordBatch:
     """The windows of some contexts (row and start are `places`), those that are equal combined.
 
-    A window found once is a row with 128 bits of its bytes' hash and its place. Of windows found several times one row goes on,
-    without a place; their places are done, as stretches.
+    A window found once is a row with 128 bits of its bytes' hash, the bytes, and its place. Of windows found several times one row goes on,
+    without a place; their places are done, as stretches. Windows are equal if their bytes are.
     """
     sizes = np.array([len(x) for x in raw])
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(raw)), count)
     step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    digests = b"".join([xxhash.xxh3_128_digest(raw[i][a : a + length]) for i, a in zip(owner.tolist(), step.tolist(), strict=True)])
+    digests = b"".join([_digest(raw[i][a : a + length]) for i, a in zip(owner.tolist(), step.tolist(), strict=True)])
     w1, w2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
     order = np.lexsort((w2, w1))
     same = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+    if not _same_bytes(raw, owner, step, order[:-1][same], order[1:][same], length):  # hashes met that bytes don't
+        windows = [raw[i][a : a + length] for i, a in zip(owner.tolist(), step.tolist(), strict=True)]
+        order = np.array(sorted(range(len(order)), key=lambda k: (w1[k], w2[k], windows[k])))
+        same = np.array([windows[j] == windows[i] for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)], bool)
     twice = np.zeros(len(order), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     one = np.flatnonzero(~twice)
@@ -238,6 +250,7 @@ def _hot_rows(ids: pa.Array, places: np.ndarray, raw: list[bytes], length: int)
     first = start[owner[at]] + step[at]
     last = first + length
     last[done] = b
+    sent = [b"" if d else raw[i][a : a + length] for i, a, d in zip(owner[at].tolist(), step[at].tolist(), done.tolist(), strict=True)]
     spread = scramble((row[owner[at]] ^ first).view(np.uint64)).view(np.int64)  # places that are done go anywhere
     return pa.RecordBatch.from_arrays(
         [
@@ -247,6 +260,7 @@ def _hot_rows(ids: pa.Array, places: np.ndarray, raw: list[bytes], length: int)
             pa.array(row[owner[at]]),
             pa.array(np.where(ghost, -1, first)),
             pa.array(np.where(ghost, -1, last)),
+            pa.array(sent, pa.binary()),
             pa.array(done),
         ],
         schema=_WINDOW,
@@ -277,15 +291,14 @@ def _hot_windows(length: int, most: int):
 
 
 def _hot_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of windows found twice, and those done, from rows sorted by window; one row of the last window is carried over."""
+    """Places of windows found twice, and those done, from rows sorted by window, hash and bytes; one row of the last window is carried over."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         if not table.num_rows:
             continue
-        w1, w2, begin = (table.column(c).to_numpy() for c in ("w1", "w2", "begin"))
-        done = table.column("done").to_numpy()
-        same = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]) & ~done[1:] & ~done[:-1]
+        begin, done, window = table.column("begin").to_numpy(), table.column("done").to_numpy(), table.column("window").combine_chunks()
+        same = pc.equal(window.slice(1), window.slice(0, len(window) - 1)).to_numpy(zero_copy_only=False) & ~done[1:] & ~done[:-1]
         out = done.copy()
         out[1:] |= same
         out[:-1] |= same
@@ -346,8 +359,13 @@ def _cut(text: Column, runs: Column) -> Column:
     return cut(text, runs)
 
 
-def _filter(names: DataFrame, bits: int):
-    """A broadcast filter of 2**bits bits, whatever the input: a name's low bits are set. A full one lets all pass."""
+def _filter(names: DataFrame):
+    """A broadcast filter with a name's low bits set: BITS_A_NAME bits a name and more, 2**MOST_BITS (16 MB) at most, whatever the input.
+
+    Up to 16 million names one other name in eight passes at most; beyond, more pass, and a full filter lets all pass: then
+    contexts that stand alone travel too, and are found to be alone where they meet.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_NAME * names.count() - 1).bit_length()))
     bit = F.col("name").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's bitmaps count from 1
     filled = (
         names.select(bit.alias("bit"))
@@ -365,7 +383,6 @@ def drop_repeats(
     docs: DataFrame,
     length: int = LENGTH,
     name: int = NAME,
-    bits: int = BITS,
     most: int = HOT,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -375,10 +392,10 @@ def drop_repeats(
 
     Suffixes of all texts are sampled at content-defined positions that cover every window of `length` bytes,
     and named by a hash of the `name` bytes that stand there. Names are counted over all
-    samples; those found twice set bits in a filter of fixed size. What passes is dealt by name, and each window is placed
+    samples; those found twice set bits in a filter whose size is that of their count, and bounded. What passes is dealt by name, and each window is placed
     by its sample's name and its offset from it, so that equal windows meet; sorting them and comparing neighbours, by key and then by bytes,
     tells which occur twice. A name with over `most` samples is hot: its windows are dealt by 128 bits of their own bytes' hash,
-    and equal ones combined before they are, so that no task holds all of a name. Their stretches go back to
+    with the bytes, and equal ones combined before they are, so that no task holds all of a name; bytes decide there, too. Their stretches go back to
     their texts. Windows never cross documents.
 
     Returns the columns `keep` (default: all) and n_bytes, n_removed, n_spans (long; maximal removed runs), kept (binary: the
@@ -396,20 +413,20 @@ def drop_repeats(
     names = long.select("text").mapInArrow(_names(length, name), "name long")
     twice = saved(names.groupBy("name").count().where("count > 1"), "repeats-names")
     crowded = twice.where(F.col("count") > most)
-    often, hot = _filter(twice, bits), None if crowded.isEmpty() else _filter(crowded, bits)
+    often, hot = _filter(twice), None if crowded.isEmpty() else _filter(crowded)
     context = "name long, id long, row long, start long, offset long, context binary"
     found = (
-        long.mapInArrow(_contexts(length, name, often, bits, hot), context)
+        long.mapInArrow(_contexts(length, name, often, hot), context)
         .repartition("name")
         .sortWithinPartitions("name")
         .mapInArrow(_compare(length), "id long, row long, begin long, end long")
     )
     if hot is not None:
-        windows = long.mapInArrow(_contexts(length, name, hot, bits), context).mapInArrow(
-            _hot_windows(length, most), "w1 long, w2 long, id long, row long, begin long, end long, done boolean"
+        windows = long.mapInArrow(_contexts(length, name, hot), context).mapInArrow(
+            _hot_windows(length, most), "w1 long, w2 long, id long, row long, begin long, end long, window binary, done boolean"
         )
         found = found.unionByName(
-            windows.repartition("w1").sortWithinPartitions("w1", "w2").mapInArrow(_hot_found, "id long, row long, begin long, end long")
+            windows.repartition("w1").sortWithinPartitions("w1", "w2", "window").mapInArrow(_hot_found, "id long, row long, begin long, end long")
         )
     discard(twice)
     runs = saved(

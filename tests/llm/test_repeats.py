@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from kinetrail.llm import repeats
+from pyspark.sql import functions as F
 
 from .fixtures import SCHEMA, awkward
 
@@ -67,3 +69,33 @@ def test_equal_keys_of_other_bytes(spark, monkeypatch):
     for r in got.to_pylist():
         covered |= {(r["id"], i) for i in range(r["begin"], r["end"])}
     assert covered == want
+
+
+@pytest.mark.parametrize("hashes", [1, 3, 1 << 30])
+def test_hot_windows_of_equal_hashes(monkeypatch, hashes):
+    """Hot windows whose hashes meet, within a task or after the exchange, are told apart by their bytes."""
+    monkeypatch.setattr(repeats, "_digest", lambda w: (hash(w) % hashes).to_bytes(8, "little") + bytes(8))
+    rng = random.Random(7)
+    texts = [bytes(rng.choices(b"ab", k=rng.randint(20, 60))) for _ in range(60)]
+    texts += [texts[0], texts[31], texts[31]]
+    made = []
+    for part in (range(0, 30), range(30, 63)):
+        places = np.array([(k, 1000 * k) for k in part])
+        made += repeats._hot_rows(pa.array(list(part), pa.int64()), places, [texts[k] for k in part], 20).to_pylist()
+    made.sort(key=lambda r: (r["w1"], r["w2"], r["window"]))
+    covered = {k: set() for k in range(63)}
+    batches = [pa.RecordBatch.from_pylist(made[i : i + 50], schema=repeats._WINDOW) for i in range(0, len(made), 50)]
+    for r in pa.Table.from_batches(list(repeats._hot_found(iter(batches)))).to_pylist():
+        covered[r["id"]] |= set(range(r["begin"] - 1000 * r["id"], r["end"] - 1000 * r["id"]))
+    seen = Counter(t[i : i + 20] for t in texts for i in range(len(t) - 19))
+    assert covered == {k: {i + j for i in range(len(t) - 19) if seen[t[i : i + 20]] > 1 for j in range(20)} for k, t in enumerate(texts)}
+
+
+def test_filters_grow_with_their_names(spark):
+    names = spark.range(300_000).select(F.xxhash64("id").alias("name"))
+    held = np.frombuffer(repeats._filter(names).value, np.uint8)
+    assert 8 * len(held) == 1 << 22
+    some = np.array([r.name for r in names.limit(2000).collect()])
+    assert repeats._held(held, some).all()
+    assert 0.02 < repeats._held(held, np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.125
+    assert 8 * len(repeats._filter(names.limit(3)).value) == 1 << 20

@@ -151,7 +151,9 @@ def test_clashing_names(spark):
     assert mixing.mix(table).select("taken").first() == (3,)
 
 
-def test_lines(docs, empty):
+@pytest.mark.parametrize("bound", [8 << 20, -1])
+def test_lines(docs, empty, monkeypatch, bound):
+    monkeypatch.setattr(lines, "BROADCAST", bound)
     rows = awkward()
     keys = lambda t: [low(x.strip(" \t\n\x0b\f\r")) for x in (t or "").split("\n")]
     holders: dict = {}
