@@ -166,3 +166,35 @@ def site_findings(
     of_all = total.select("site", F.explode(F.filter(whole, lambda f: f.isNotNull())).alias("f"))
     of_all = of_all.select("site", F.lit(None).cast("string").alias("path"), "f.rule", "f.detail")
     return by_file.unionByName(broken).unionByName(of_all)
+
+
+# Links of Markdown, fenced code, and phrases that a front page does without.
+MARKDOWN_LINK = r"""!?\[[^\]]*\]\((<[^>]+>|[^\s)]+)(?:\s+["'][^"']*["'])?\)"""
+FENCED = r"(?s)```.*?```"
+ASPIRATION = (
+    r"(?i)\b(?:beat|surpass|chase|overtake)\b.{0,60}\b(?:winner|top score|leaderboard)\b"
+    r"|\b(?:goal|target|aim)\b.{0,60}\b(?:top score|first place|leaderboard)\b|\bclose (?:the |our )?(?:remaining )?gap\b"
+)
+
+
+def markdown_findings(files: DataFrame, front: Sequence[str] = ()) -> DataFrame:
+    """(site, path, rule, detail) of Markdown files (site, path, text): local links that leave the site or lead nowhere, phrases in front pages.
+
+    Links in fenced code, to other hosts, and to a place in the page itself are left alone; a link may lead to a file or a folder.
+    """
+    prose = F.regexp_replace(F.coalesce("text", F.lit("")), FENCED, "")
+    named = F.transform(F.regexp_extract_all(prose, F.lit(MARKDOWN_LINK), F.lit(1)), lambda r: F.regexp_replace(r, "^<|>$", ""))
+    links = files.where("lower(path) LIKE '%.md'").select("site", "path", F.explode(F.array_distinct(named)).alias("detail"))
+    p = uri.parts(F.col("detail"))
+    local = links.where(p["scheme"].isNull() & p["authority"].isNull() & (p["path"] != ""))
+    below = F.concat(F.regexp_extract("path", r"^(.*/)?", 0), uri.unquoted(p["path"]))
+    below = F.when(uri.unquoted(p["path"]).startswith("/"), F.concat(F.lit("../"), uri.unquoted(p["path"]))).otherwise(below)
+    open_ = local.withColumn("rule", F.when(uri.climbs(below), "escaping_link")).withColumn("_target", F.regexp_replace(uri.without_dots(below), "/$", ""))
+    folders = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split(F.col("path"), "/"), 1, k), "/"))
+    places = files.select("site", F.explode(F.array_append(folders, F.lit(""))).alias("_target")).distinct()
+    absent = open_.where("rule IS NULL").join(places, ["site", "_target"], "left_anti").withColumn("rule", F.lit("broken_link"))
+    found = open_.where("rule IS NOT NULL").unionByName(absent).select("site", "path", "rule", "detail")
+    phrase = F.regexp_extract(F.coalesce("text", F.lit("")), f"({ASPIRATION})", 0)
+    pages = files.where(F.col("path").isin(*front)) if front else files.limit(0)
+    said = pages.where(phrase != "").select("site", "path", F.lit("phrase").alias("rule"), phrase.alias("detail"))
+    return found.unionByName(said)

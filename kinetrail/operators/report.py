@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html import escape
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,38 @@ def view_bounds(observed: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
+# A view's width and height, the field around a play that it shows, and the least height of that; a panel's room.
+VIEW, MARGIN, LEAST_HEIGHT = (700.0, 402.0), 8.0, 15.0
+PANEL = (280.0, 235.0)
+
+
+def framed_bounds(observed: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Per play: the part of the field of a view's proportions around observations and a forecast, moved, not cut, where it would leave the field."""
+    points = observed.select("game_id", "play_id", "x", "y").unionByName(forecast.select("game_id", "play_id", "x", "y"))
+    ends = points.groupBy("game_id", "play_id").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    width, height = VIEW
+    around = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}") + MARGIN
+    tall = F.greatest(F.lit(LEAST_HEIGHT), around("y"), around("x") * height / width)
+    spans = {"x": tall * width / height, "y": tall}
+    out = []
+    for c, field in zip("xy", FIELD, strict=True):
+        start = (F.col(f"low_{c}") + F.col(f"high_{c}")) / 2.0 - spans[c] / 2.0
+        low = F.greatest(F.lit(0.0), F.least(F.lit(field) - spans[c], start))
+        out += [low.alias(f"{c}_low"), (low + spans[c]).alias(f"{c}_high")]
+    return ends.select("game_id", "play_id", *out)
+
+
+def panel_scale(*paths: DataFrame) -> DataFrame:
+    """Per entity: the middle of all its paths, and the scale at which they fit a panel, one scale for both axes."""
+    points = reduce(DataFrame.unionByName, [p.select(*ENTITY, "x", "y") for p in paths])
+    ends = points.groupBy(*ENTITY).agg(
+        *[f.alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.floor(F.min(c)) - 1.0), ("high", F.ceil(F.max(c)) + 1.0))]
+    )
+    middle = [((F.col(f"low_{c}") + F.col(f"high_{c}")) / 2.0).alias(f"center_{c}") for c in "xy"]
+    fit = [F.lit(room) / (F.col(f"high_{c}") - F.col(f"low_{c}")) for c, room in zip("xy", PANEL, strict=True)]
+    return ends.select(*ENTITY, *middle, F.least(*fit).alias("scale"))
+
+
 def track_labels(observed: DataFrame) -> DataFrame:
     """Letter and title of each track."""
     return observed.select(*ENTITY).distinct().select(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.motion import finite
+from ..functions.motion import MODELS, finite
 from ..schema import ENTITY, KEYS, LONGEST
 
 
@@ -15,6 +15,18 @@ class Invalid(ValueError):
     """A table breaks a rule."""
 
 
+def options(method: str, damping: float = 0.9, horizon: int | None = None, longest: int = 12) -> tuple[str, float, int]:
+    """A forecast's method, damping and horizon, or Invalid: a known method, a number of 0 to 1, a whole number of 1 to `longest`."""
+    horizon = longest if horizon is None else horizon
+    if method not in MODELS:
+        raise Invalid(f"unknown method {method!r}")
+    if isinstance(damping, bool) or not isinstance(damping, int | float) or not 0 <= damping <= 1:
+        raise Invalid("damping must be in 0..1")
+    if isinstance(horizon, bool) or not isinstance(horizon, int) or not 1 <= horizon <= longest:
+        raise Invalid(f"horizon must be in 1..{longest}")
+    return method, float(damping), horizon
+
+
 def need_columns(df: DataFrame, columns: Sequence[str]) -> None:
     absent = sorted(set(columns) - set(df.columns))
     if absent:

@@ -392,6 +392,25 @@ pt AS (SELECT game_id, play_id, x, y FROM obs UNION ALL
         "SELECT game_id, play_id, least(greatest(floor(min(x)) - 1, 0), 120.0::DOUBLE) AS x_low, least(greatest(ceil(max(x)) + 1, 0), 120.0::DOUBLE) AS x_high, "
         "least(greatest(floor(min(y)) - 1, 0), 53.333::DOUBLE) AS y_low, least(greatest(ceil(max(y)) + 1, 0), 53.333::DOUBLE) AS y_high FROM pt GROUP BY ALL",
     ),
+    "framed_bounds": _with(
+        TRACKS
+        + f""",
+pt AS (SELECT game_id, play_id, x, y FROM obs UNION ALL
+       SELECT game_id, play_id, {_model("constant_velocity_frames", "x")}, {_model("constant_velocity_frames", "y")} FROM rq),
+en AS (SELECT game_id, play_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pt GROUP BY ALL),
+sp AS (SELECT *, greatest(15, y1 - y0 + 8, (x1 - x0 + 8) * 402 / 700) AS h FROM en),
+lo AS (SELECT *, h * 700 / 402 AS w, greatest(0, least(120 - h * 700 / 402, (x0 + x1) / 2 - h * 700 / 402 / 2)) AS x_low,
+         greatest(0, least(53.333::DOUBLE - h, (y0 + y1) / 2 - h / 2)) AS y_low FROM sp)""",
+        "SELECT game_id, play_id, round(x_low, 6) AS x_low, round(x_low + w, 6) AS x_high, round(y_low, 6) AS y_low, round(y_low + h, 6) AS y_high FROM lo",
+    ),
+    "panel_scale": _with(
+        TRACKS
+        + f""",
+pt AS (SELECT {ENTITY}, x, y FROM obs UNION ALL SELECT {ENTITY}, x, y FROM lab UNION ALL
+       SELECT {ENTITY}, {_model("constant_velocity_frames", "x")}, {_model("constant_velocity_frames", "y")} FROM rq),
+en AS (SELECT {ENTITY}, floor(min(x)) - 1 AS x0, ceil(max(x)) + 1 AS x1, floor(min(y)) - 1 AS y0, ceil(max(y)) + 1 AS y1 FROM pt GROUP BY ALL)""",
+        f"SELECT {ENTITY}, round((x0 + x1) / 2, 6) AS center_x, round((y0 + y1) / 2, 6) AS center_y, round(least(280 / (x1 - x0), 235 / (y1 - y0)), 6) AS scale FROM en",
+    ),
     "track_labels": _with(
         TRACKS,
         f"SELECT DISTINCT {ENTITY}, chr(CAST(65 + (nfl_id - 1) % 26 AS INTEGER)) AS letter, "

@@ -303,6 +303,22 @@ def view_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def framed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir)
+    return report.framed_bounds(t.observed, predict(t.observed, t.requests, ["constant_velocity_frames"])).select(
+        "game_id", "play_id", *r6("x_low", "x_high", "y_low", "y_high")
+    )
+
+
+@query
+def panel_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir)
+    return report.panel_scale(t.observed, t.labels, predict(t.observed, t.requests, ["constant_velocity_frames"])).select(
+        *ENTITY, *r6("center_x", "center_y", "scale")
+    )
+
+
 @query
 def track_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.track_labels(load(spark, sf_dir).observed)

@@ -168,3 +168,21 @@ def test_site_from_a_folder(spark, tmp_path):
     (tmp_path / "sub" / "bad.css").write_bytes(b"\xff{}")
     found = references.site_findings(references.site_files(spark, str(tmp_path))).collect()
     assert [(r.path, r.rule) for r in found] == [("sub/bad.css", "encoding")]
+
+
+def test_markdown_links(spark):
+    text = """[a](sub/b.md) [b](<sub/c d.md> "title") ![i](sub/) [u](sub%2Fb.md#x) [h](https://e.org/x) [m](mailto:a@b) [p](#here)
+    ```
+    [code](nowhere.md)
+    ```
+    [gone](sub/gone.md) [out](../x.md) [root](/etc) [enc](%2e%2e/y.md)"""
+    files = [("s", "README.md", text), ("s", "sub/b.md", "[up](../README.md) We aim for first place."), ("s", "sub/c d.md", None), ("t", "sub/gone.md", "close the gap")]
+    got = references.markdown_findings(spark.createDataFrame(files, "site string, path string, text string"), ["sub/b.md", "sub/gone.md"])
+    assert sorted((r.site, r.path, r.rule, r.detail) for r in got.collect()) == [
+        ("s", "README.md", "broken_link", "sub/gone.md"),
+        ("s", "README.md", "escaping_link", "%2e%2e/y.md"),
+        ("s", "README.md", "escaping_link", "../x.md"),
+        ("s", "README.md", "escaping_link", "/etc"),
+        ("s", "sub/b.md", "phrase", "aim for first place"),
+        ("t", "sub/gone.md", "phrase", "close the gap"),
+    ]

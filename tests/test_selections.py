@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import pandas as pd
 import pytest
-from kinetrail.operators import evaluate, order, scan, select, sums
+from kinetrail.operators import evaluate, order, report, scan, select, sums, validate
 from kinetrail.schema import KEYS
 from kinetrail.sources import archives
 from pyspark.sql import functions as F
@@ -129,3 +129,21 @@ def test_archives(spark, tmp_path):
         archives.member_lines(spark, good, "train/w1.csv", largest=3).collect()
     with pytest.raises(ValueError, match="unsafe"):
         archives.member_lines(spark, good, "../w1.csv")
+
+
+def test_options():
+    assert validate.options("damped_velocity") == ("damped_velocity", 0.9, 12)
+    assert validate.options("last_position", 1, 3) == ("last_position", 1.0, 3)
+    for bad in (("none",), ("last_position", 1.1), ("last_position", True), ("last_position", "0.5"), ("last_position", float("nan")), ("last_position", 0.5, 0), ("last_position", 0.5, 13), ("last_position", 0.5, 2.0)):
+        with pytest.raises(validate.Invalid):
+            validate.options(*bad)
+
+
+def test_views_keep_their_proportions(spark):
+    rows = [(1, 1, 1, 1, 10.0, 20.0), (1, 1, 1, 2, 12.0, 20.0), (1, 2, 1, 1, 0.0, 0.0), (1, 2, 2, 1, 110.0, 5.0)]
+    points = spark.createDataFrame(rows, f"{KEY}, x double, y double")
+    for r in report.framed_bounds(points, points.limit(0)).collect():
+        assert (r.x_high - r.x_low) / (r.y_high - r.y_low) == pytest.approx(700 / 402)
+        assert r.x_low >= 0 and r.y_low >= 0
+    by = {(r.play_id, r.nfl_id): r for r in report.panel_scale(points, points.limit(0)).collect()}
+    assert (by[1, 1].center_x, by[1, 1].center_y, by[1, 1].scale) == (11.0, 20.0, min(280 / 4, 235 / 2))
