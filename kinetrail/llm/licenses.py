@@ -18,6 +18,8 @@ from .shingles import SHINGLE, MinHash, shingle_hashes
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bands of one row each; smallest scale; shares in hundredths.
 BANDS, SMALLEST, PERCENT = 96, 4, 75
+#: Low bits of a shingle's hash in the bitmap of all templates' shingles.
+OWN_BITS = 22
 
 #: Notices as their publishers word them: (name, text).
 TEMPLATES = (
@@ -84,14 +86,23 @@ TEMPLATES = (
 )
 
 
-def shingles(text: bytes) -> np.ndarray:
-    return shingle_hashes(WORDS.findall(text.lower()), SHINGLE)
+def grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The distinct shingles; fewer words are one."""
+    size = min(SHINGLE, len(words))
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if words else set()
+
+
+def templates_in(spark: SparkSession, folder: str) -> tuple[tuple[str, str], ...]:
+    """Every file of a folder of full license texts, such as a system keeps, as a template named by it: a parameter, so bounded."""
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1), F.col("content").cast("string")).collect()
+    return tuple(sorted((name, text) for name, text in files if text))
 
 
 @dataclass
 class Template:
     name: str
     hashes: np.ndarray  # distinct, sorted
+    grams: frozenset  # the shingles themselves
     scale: int
 
 
@@ -107,13 +118,16 @@ class Library:
     def __init__(self, templates: tuple[tuple[str, str], ...], bands: int = BANDS, smallest: int = SMALLEST):
         self.minhash, self.smallest = MinHash(bands), smallest
         self.templates: list[Template] = []
+        self.own = np.zeros(1 << OWN_BITS, bool)
         for name, text in templates:
-            h = np.unique(shingles(text.encode()))
+            words = WORDS.findall(text.encode().lower())
+            h = np.unique(shingle_hashes(words, SHINGLE))
             if len(h):
                 scale = smallest
                 while 4 * scale < 5 * len(h):
                     scale *= 2
-                self.templates.append(Template(name, h, scale))
+                self.templates.append(Template(name, h, frozenset(grams(words)), scale))
+                self.own[h & np.uint64(len(self.own) - 1)] = True
         self.scales = sorted({t.scale for t in self.templates})
         #: by scale: a bitmap of the low 16 bits of the minima, by band; then (band, minimum) -> templates
         self.bitmaps: dict[int, np.ndarray] = {}
@@ -125,6 +139,16 @@ class Library:
             for j, x in enumerate(low.tolist()):
                 self.lookup.setdefault(t.scale, {}).setdefault((j, x), []).append(k)
 
+    def stretches(self, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """Where a window that holds a shingle of any template can stand, aligned to all scales; the rest of a text holds no part of one."""
+        width = 2 * self.scales[-1]
+        hit = np.unique(np.flatnonzero(self.own[hashes & np.uint64(len(self.own) - 1)]) // width)
+        if not len(hit):
+            return []
+        breaks = np.flatnonzero(np.diff(hit) > 2)
+        first, last = hit[np.append(0, breaks + 1)], hit[np.append(breaks, len(hit) - 1)]
+        return [(max(0, (a - 1) * width), (b + 2) * width) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(template, window) pairs that share a band; window i of scale L holds shingles [i L, i L + 2 L)."""
         found: set[tuple[int, int]] = set()
@@ -163,14 +187,16 @@ class Library:
         words = WORDS.findall(text.lower())
         hashes = shingle_hashes(words, SHINGLE)
         good: dict[int, list[tuple[int, float, int, int]]] = {}
-        for k, i in sorted(self.candidates(hashes)):
+        found: set[tuple[int, int]] = set()
+        for a, b in self.stretches(hashes):
+            found |= {(k, i + a // self.templates[k].scale) for k, i in self.candidates(hashes[a:b])}
+        for k, i in sorted(found):
             t = self.templates[k]
-            part = hashes[i * t.scale : (i + 2) * t.scale]
-            inside = np.isin(part, t.hashes)
-            common = len(np.unique(part[inside]))
-            if common * 100 >= percent * len(t.hashes):
-                at = np.flatnonzero(inside) + i * t.scale
-                good.setdefault(k, []).append((i, common / len(t.hashes), int(at[0]), int(at[-1]) + min(SHINGLE, len(words))))
+            at = np.flatnonzero(np.isin(hashes[i * t.scale : (i + 2) * t.scale], t.hashes)) + i * t.scale
+            held = [(p, g) for p in at.tolist() if (g := tuple(words[p : p + SHINGLE])) in t.grams]
+            common = len({g for _, g in held})
+            if common * 100 >= percent * len(t.grams):
+                good.setdefault(k, []).append((i, common / len(t.grams), held[0][0], held[-1][0] + min(SHINGLE, len(words))))
         out: list[dict] = []
         for k, windows in good.items():
             last = -2
@@ -219,9 +245,9 @@ def find_licenses(
 ) -> DataFrame:
     """Adds `licenses`: array of license, template, start, end (words, end exclusive), share.
 
-    One Arrow pass over whole texts: minima of blocks of shingles are merged pairwise into
+    One Arrow pass over whole texts: a bitmap of all templates' shingles leaves the stretches that can hold part of one. There, minima of blocks of shingles are merged pairwise into
     windows of every scale, looked up band by band among the templates' (a parameter, so
-    bounded), and each candidate window's share of the template's shingles is counted exactly.
+    bounded), and each candidate window's share of the template's shingles is counted exactly, by their words.
 
     Null, empty or blank text: no matches. Repeated rows match alike; several templates may match one stretch. A
     column of the name licenses is replaced, others stay. Empty table: no rows.

@@ -63,3 +63,44 @@ def test_collisions_are_as_likely_as_stated():
         lost += not any(m["template"] == 0 for m in library.matches(text))
     assert lost <= 1
     assert all(np.all(np.diff(t.hashes.astype(float)) > 0) for t in library.templates)
+
+
+def test_recall_of_every_template():
+    """Each template with up to 4 % of its words changed, at any place in a long text: found at least nine times of ten, where a window holds it."""
+    library = licenses.Library(licenses.TEMPLATES)
+    rng = random.Random(12)
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        found = 0
+        for _ in range(30):
+            words = text.split()
+            for _ in range(len(words) // 25):
+                words[rng.randrange(len(words))] = "changed"
+            before, after = ([f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(3000))] for _ in range(2))
+            found += any(m["template"] == k for m in library.matches(" ".join([*before, *words, *after]).encode()))
+        assert found >= 27, (k, found)
+
+
+def test_stretches_leave_nothing_out(monkeypatch):
+    """Matches are those of a scan of the whole text, wherever templates stand."""
+    library, rng = licenses.Library(licenses.TEMPLATES), random.Random(5)
+    whole = licenses.Library(licenses.TEMPLATES)
+    monkeypatch.setattr(whole, "stretches", lambda hashes: [(0, len(hashes))])
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            words += [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3, 500, 5000]))] + rng.choice(licenses.TEMPLATES)[1].split()
+        text = " ".join(words).encode()
+        assert library.matches(text) == whole.matches(text)
+    assert library.matches(b"x " * 5000) == []
+
+
+def test_full_texts_of_a_folder(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {f"LIC-{k}": " ".join(rng.choices([f"w{i}" for i in range(900)], k=2000 * k)) for k in (1, 3)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    templates = licenses.templates_in(spark, str(tmp_path))
+    assert dict(templates) == texts
+    docs = [(1, "before it " + texts["LIC-3"] + " after"), (2, texts["LIC-1"][:4000]), (3, texts["LIC-1"])]
+    got = licenses.find_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()
+    assert {r.doc_id: {m.license for m in r.licenses} for r in got} == {1: {"LIC-3"}, 2: set(), 3: {"LIC-1"}}
