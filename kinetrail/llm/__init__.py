@@ -26,5 +26,6 @@ ORACLE_SQL = {
     "op7_repeats": repeats.OP7_SQL,
     "op8_secrets": secrets.OP8_SQL,
     "op11_resample": resample.OP11_SQL,
+    "op12_simhash": simhash.OP12_SQL,
     "op13_search": search.OP13_SQL,
 }

@@ -204,3 +204,79 @@ def simhash_groups(
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_groups(documents(spark, sf_dir))
+
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_TWO64 = 1 << 64
+
+
+def _wide(v: int) -> str:
+    return f"{v % _TWO64}::UHUGEINT"
+
+
+def _times(a: str, p: int) -> str:
+    return f"(({a}) * {_wide(p)} % {_TWO64}::UHUGEINT)"
+
+
+def _turned(a: str, r: int) -> str:
+    return f"(({a}) * {_wide(1 << r)} % {_TWO64}::UHUGEINT + ({a}) // {_wide(1 << (64 - r))})"
+
+
+def _plus(*terms: str) -> str:
+    return f"(({' + '.join(terms)}) % {_TWO64}::UHUGEINT)"
+
+
+def _lane(offset: str, size: int = 8) -> str:
+    """The number that `size` bytes of the hexadecimal text x make from a byte on, the lowest first."""
+    digits = " || ".join(f"substr(x, 2 * ({offset} + {k}) + 1, 2)" for k in reversed(range(size)))
+    return f"('0x' || {digits})::UBIGINT::UHUGEINT"
+
+
+def _xxh64_sql() -> str:
+    """Common tables from `x0` (s: a text, x: its bytes as hexadecimal text, n: their number) to `xh` (s, h: XXH64 with SEED)."""
+    stripe = "{" + ", ".join(f"'{c}': {_lane(f'32 * i + {8 * k}')}" for k, c in enumerate("abcd")) + "}"
+    first = dict(zip("abcd", (SEED + _P1 + _P2, SEED + _P2, SEED, SEED - _P1), strict=True))
+    start = "{" + ", ".join(f"'{c}': {_wide(v)}" for c, v in first.items()) + "}"
+    mixed = lambda at, lane: _times(_turned(_plus(at, _times(lane, _P2)), 31), _P1)
+    fold = "{" + ", ".join(f"'{c}': {mixed(f'held.{c}', f'lanes.{c}')}" for c in "abcd") + "}"
+    steps = [
+        f"x1 AS (SELECT *, list_reduce(list_prepend({start}, list_transform(range(n // 32), lambda i: {stripe})), lambda held, lanes: {fold}) AS v FROM x0)",
+        f"x2 AS (SELECT *, {_plus(*[_turned(f'v.{c}', r) for c, r in zip('abcd', (1, 7, 12, 18), strict=True)])} AS m FROM x1)",
+    ]
+    for k, c in enumerate("abcd"):
+        steps.append(f"x{3 + k} AS (SELECT * REPLACE ({_plus(_times(f'xor(m, {mixed(_wide(0), f"v.{c}")})', _P1), _wide(_P4))} AS m) FROM x{2 + k})")
+    tail = "(n // 32 * 32)"
+    eight = _plus(_times(_turned(f"xor(a, {mixed(_wide(0), 'b')})", 27), _P1), _wide(_P4))
+    four = _plus(_times(_turned(f"xor(h, {_times(_lane('(n // 8 * 8)', 4), _P1)})", 23), _P2), _wide(_P3))
+    one = _times(_turned(f"xor(a, {_times('b', _P5)})", 11), _P1)
+    steps += [
+        f"x7 AS (SELECT *, {_plus(f'CASE WHEN n >= 32 THEN m ELSE {_wide(SEED + _P5)} END', 'n::UHUGEINT')} AS h FROM x6)",
+        f"x8 AS (SELECT * REPLACE (list_reduce(list_prepend(h, list_transform(range((n - {tail}) // 8), lambda i: {_lane(f'{tail} + 8 * i')})), lambda a, b: {eight}) AS h) FROM x7)",
+        f"x9 AS (SELECT * REPLACE (CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h) FROM x8)",
+        f"x10 AS (SELECT * REPLACE (list_reduce(list_prepend(h, list_transform(range(n - n % 4, n), lambda i: {_lane('i', 1)})), lambda a, b: {one}) AS h) FROM x9)",
+        f"x11 AS (SELECT * REPLACE ({_times(f'xor(h, h // {_wide(1 << 33)})', _P2)} AS h) FROM x10)",
+        f"x12 AS (SELECT * REPLACE ({_times(f'xor(h, h // {_wide(1 << 29)})', _P3)} AS h) FROM x11)",
+        f"xh AS (SELECT s, xor(h, h // {_wide(1 << 32)})::UBIGINT AS h FROM x12)",
+    ]
+    return ",\n".join(steps)
+
+
+#: XXH64 in numbers of 128 bits, all pairs of fingerprints: for tables of a few thousand documents.
+OP12_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+sh AS (SELECT rid, array_to_string(words[i:i + {SHINGLE - 1}], ' ') AS s
+  FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - {SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+x0 AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM (SELECT DISTINCT s FROM sh)),
+{_xxh64_sql()},
+ones AS (SELECT rid, count(*) AS n, {", ".join(f"sum((h >> {k}) & 1) AS b{k}" for k in range(BITS))} FROM sh JOIN xh USING (s) GROUP BY rid),
+fp AS (SELECT doc_id, coalesce({" + ".join(f"(2 * b{k} > n)::UHUGEINT * {_wide(1 << k)}" for k in range(BITS))}, 0)::UBIGINT AS f FROM w LEFT JOIN ones USING (rid)),
+fs AS (SELECT f, min(doc_id) AS id FROM fp GROUP BY f),
+link AS (SELECT a.id AS a, b.id AS b FROM fs a JOIN fs b ON a.id <> b.id AND bit_count(xor(a.f, b.f)) <= {RADIUS}),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM link UNION SELECT reach.id, b FROM reach JOIN link ON a = other),
+least AS (SELECT id, min(other) AS m FROM reach GROUP BY id)
+SELECT doc_id, lower(lpad(to_hex(f), 16, '0')) AS fingerprint, coalesce(m, fs.id) AS component_id
+FROM fp JOIN fs USING (f) LEFT JOIN least ON least.id = fs.id
+"""

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 import xxhash
 from kinetrail.llm import simhash, texts
@@ -130,6 +131,15 @@ def test_slices_do_not_show(monkeypatch):
         assert [simhash.fingerprint(s.encode()) for s in samples] == [brute_print(s) for s in samples]
 
 
+def test_sql_hashes_are_xxh64():
+    rng, con = random.Random(1), duckdb.connect()
+    strings = {"".join(rng.choices("abcdé ß😀xyz", k=k)) for k in range(80)}
+    con.execute("CREATE TABLE t (s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(s,) for s in strings])
+    found = con.execute(f"WITH x0 AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM t), {simhash._xxh64_sql()} SELECT s, h FROM xh").fetchall()
+    assert dict(found) == {s: xxhash.xxh64_intdigest(s.encode(), 42) for s in strings}
+
+
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.simhash_groups(spark.createDataFrame([], SCHEMA), radius=3)
