@@ -6,9 +6,11 @@ import random
 
 import numpy as np
 import pytest
-from kinetrail.operators import digest, draws, evaluate, evidence
+from kinetrail.operators import digest, draws, evaluate, evidence, report
+from kinetrail.operators.forecast import wide
 from kinetrail.schema import KEYS, OBSERVED, POINTS
 from kinetrail.sources import strict
+from kinetrail.sources.synthetic import partitions, synthetic
 from pyspark.sql import functions as F
 
 HEAD = ",".join(KEYS) + ",x,y"
@@ -227,3 +229,30 @@ def test_slices(spark):
     ):
         with pytest.raises(Exception, match=why):
             evaluate.slices(errors_of(spark, rows), splits).collect()
+
+
+# Published figures of the fixture, by partition and slice: constant velocity, last position, damped velocity.
+RECORDED = [
+    ("train", "total", "all", 0.28268430878640, 2.00948407906814, 0.84902090451135),
+    ("validation", "total", "all", 0.28972924174638, 1.77512537172492, 0.71543859169670),
+    ("holdout", "total", "all", 0.26347552281594, 2.09754366293853, 0.87966547484684),
+    ("holdout", "horizon", "frames_1_4", 0.04067038207677, 0.77155563429996, 0.16325159134714),
+    ("holdout", "horizon", "frames_5_8", 0.17638190189886, 1.86934637945633, 0.63947433480593),
+    ("holdout", "horizon", "frames_9_12", 0.41891932167624, 3.01816405627565, 1.37326455425009),
+    ("holdout", "game", "106", 0.26315001438337, 2.18875068004507, 0.91730164887779),
+    ("holdout", "game", "105", 0.26380062959801, 2.00218612932700, 0.84034539341936),
+]
+MODELS = ("constant_velocity_frames", "last_position", "damped_velocity")
+
+
+def test_recorded_slices(spark):
+    """Slices of the published fixture against the recorded figures, in both directions, within their rounding."""
+    b = synthetic(spark)
+    made = evaluate.slices(evaluate.score_wide(b.labels, wide(b.observed, b.requests, MODELS), MODELS), partitions(spark))
+    keys = ["model", "partition", "slice", "value"]
+    rows = [(m, *r[:3], v) for r in RECORDED for m, v in zip(MODELS, r[3:], strict=True)]
+    recorded = spark.createDataFrame(rows, "model string, partition string, slice string, value string, rmse double")
+    same = report.assertions(recorded, made.join(recorded.select(*keys), keys, "left_semi"), keys, ["rmse"]).collect()
+    assert len(same) == 24 and all(r.passed for r in same)
+    off = report.assertions(recorded.withColumn("rmse", F.col("rmse") + 2e-6), made, keys, ["rmse"]).collect()
+    assert not any(r.passed for r in off)
