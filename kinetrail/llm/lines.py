@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, ascii_lower, discard, documents, saved, stored_bytes, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Bytes of the files of drops that are broadcast, some three times as many in memory; more meet their rows by a sort-merge join.
+#: Bytes of the files of drops that are broadcast, up to some ten times as many in memory; more meet their rows by a sort-merge join.
 BROADCAST = 8 << 20
 
 
