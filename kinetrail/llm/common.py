@@ -47,15 +47,15 @@ def _own_folder(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again.
+def saved(df: DataFrame, label: str, **options: str | int) -> DataFrame:
+    """df written as Parquet to the shared folder (with options of the writer) and read again.
 
     This cuts the lineage, survives lost executors and, since Spark knows the
     size of the files, lets it broadcast the table only if it is small.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kt_path = path
     return out

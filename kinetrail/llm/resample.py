@@ -17,6 +17,9 @@ from .texts import PLAIN, PLAIN_GAP, word_slices
 ORDER, BUCKETS, WORDS, PERCENT, SEED = 2, 10_000, 20, 25, 7
 #: Scores of one step of the ranks' offsets.
 STEP = 256
+#: A block ends with the document that brings it to so many entries. Bytes of its files' row groups and pages: writers hold a
+#: row group in memory, readers a page and up to 4,096 rows of a row group, and both look at sizes every 100 rows unless told otherwise.
+ENTRIES, ROW_GROUP, PAGE = 1 << 14, 8 << 20, 1 << 20
 
 
 def bucket_counts(text: bytes, order: int = ORDER, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
@@ -41,7 +44,7 @@ def _index_type(buckets: int) -> np.dtype:
 
 
 def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
-    """The sparse matrix of documents by buckets, in CSR blocks of one Arrow batch (bounded in bytes of text) each.
+    """The sparse matrix of documents by buckets, in CSR blocks of fewer than ENTRIES + `buckets` entries each.
 
     A row is a block: ids and n_words (arrays with an entry per document), indptr (int64), buckets (uint16, or uint32 of
     over 65,536) and counts (uint32) as little-endian binaries. Document k's entries stand at indptr[k] to indptr[k + 1], by bucket.
@@ -54,25 +57,33 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, ends, at, n = [], [0], [], []
-            for text in batch.column("text"):
+            first, n_words, ends, at, n = 0, [], [0], [], []
+            for k, text in enumerate(batch.column("text"), 1):
                 words, total = bucket_counts(text.as_py() or b"", order, buckets)
                 hit = np.flatnonzero(total)
                 n_words.append(words)
                 ends.append(ends[-1] + len(hit))
                 at.append(hit.astype(index))
                 n.append(total[hit].astype(np.uint32))
-            if n_words:
-                ids = pa.ListArray.from_arrays(pa.array([0, len(n_words)], pa.int32()), batch.column("id"))
+                if ends[-1] < ENTRIES and k < batch.num_rows:
+                    continue
+                ids = pa.ListArray.from_arrays(pa.array([0, k - first], pa.int32()), batch.column("id").slice(first, k - first))
                 binary = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (at, n)]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([n_words], pa.list_(pa.int64())), pa.array([np.array(ends, np.int64).tobytes()], pa.binary()), *binary],
                     ["ids", "n_words", "indptr", "buckets", "counts"],
                 )
+                first, n_words, ends, at, n = k, [], [0], [], []
 
     return rows.mapInArrow(build, f"ids array<{kind}>, n_words array<long>, indptr binary, buckets binary, counts binary")
 
 
+def saved_matrix(matrix: DataFrame) -> DataFrame:
+    """A count_matrix in files whose writers and readers hold a few MB of it, however large the input's splits are."""
+    sizes = {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE}
+    return saved(matrix, "sample-matrix", **sizes, **{f"parquet.{x}.size.row.check.min": 4 for x in ("block", "page")})
+
+
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n) of the buckets that hold a feature: sums of each task's blocks first, so at most `buckets` rows of a task meet."""
     index = _index_type(buckets)
@@ -111,16 +122,17 @@ def row_weights(matrix: DataFrame, gains: np.ndarray) -> DataFrame:
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = [[], []]
             for k in range(batch.num_rows):
-                ids, n_words = (batch.column(c)[k].values for c in ("ids", "n_words"))
                 ends = np.frombuffer(batch.column("indptr")[k].as_py(), np.int64)
                 at = np.frombuffer(batch.column("buckets")[k].as_py(), index)
                 n = np.frombuffer(batch.column("counts")[k].as_py(), np.uint32).astype(np.int64)
                 features, gained = (np.diff(np.append(0, np.cumsum(x))[ends]) for x in (n, n * gains[at]))
-                weight = np.where(features > 0, gained // np.maximum(features, 1), 0)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, n_words, pa.array(features, pa.int64()), pa.array(weight, pa.int64())], ["id", "n_words", "n_features", "weight"]
-                )
+                found[0].append(features)
+                found[1].append(np.where(features > 0, gained // np.maximum(features, 1), 0))
+            if found[0]:
+                own = [batch.column(c).flatten() for c in ("ids", "n_words")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(x), pa.int64()) for x in found)], ["id", "n_words", "n_features", "weight"])
 
     return matrix.mapInArrow(product, f"id {kind}, n_words long, n_features long, weight long")
 
@@ -178,7 +190,7 @@ def resample(
     wordless texts: no features, weight 0, never drawn. Null ids share one noise ("null"), as repeated ids do; repeated rows each have a rank,
     in any order. Other columns are ignored, whatever their names. Empty documents: no rows; an empty target: all gains from counts of 0.
     """
-    matrix = saved(count_matrix(docs, id_col, text_col, order, buckets), "sample-matrix")
+    matrix = saved_matrix(count_matrix(docs, id_col, text_col, order, buckets))
     wanted = column_sums(count_matrix(target.select(F.lit(0).alias("id"), F.col(target_text_col).alias("text")), "id", "text", order, buckets), buckets)
     gains = np.zeros(buckets, np.int64)
     for row in bucket_gains(column_sums(matrix, buckets), wanted, buckets).collect():

@@ -108,6 +108,29 @@ def test_matrix_is_csr(spark):
         assert block["n_words"][k] == features(row[1])[0]
 
 
+def test_blocks_and_row_groups_are_bounded(spark, monkeypatch):
+    """One task's documents make many blocks and row groups, so that neither writers nor readers hold all of them."""
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(resample, "ROW_GROUP", 200_000)
+    monkeypatch.setattr(resample, "PAGE", 100_000)
+    rng = random.Random(9)
+    texts_ = [" ".join(str(rng.randrange(10**6)) for _ in range(rng.choice([0, 30, 900]))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").coalesce(1)
+    matrix = resample.saved_matrix(resample.count_matrix(docs))
+    blocks = matrix.collect()
+    assert sorted(i for b in blocks for i in b["ids"]) == list(range(600))
+    assert max(len(b["buckets"]) // 2 for b in blocks) < resample.ENTRIES + resample.BUCKETS
+    assert all(len(b["ids"]) == len(b["n_words"]) == len(b["indptr"]) // 8 - 1 for b in blocks)
+    (file,) = glob.glob(matrix._kt_path.removeprefix("file://") + "/*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_row_groups > 4 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= 8
+    assert result(resample.resample(docs, docs.limit(0))) == brute(list(enumerate(texts_)), [])
+
+
 def test_documents_like_the_target_are_drawn(spark):
     import random
 
