@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -18,6 +19,15 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Code points: longer texts are huge; a chunk's own part; its first overlap with the next one.
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 512
 LIMIT = 1024
+#: Letters in any version of Unicode (ASCII and extended Latin), and a text's pieces: runs of these, of ASCII digits or of ASCII signs, each
+#: with a blank before it, single line ends, and what else stands up to the next blank or line end with a visible character behind it.
+_L = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+PIECE = re.compile(
+    rf" ?[{_L}]++(?![^\x00-\x7F])| ?[0-9]++(?![^\x00-\x7F])| ?[!-&(-/:-@\[-`{{-~]++(?=[{_L}0-9 \n]|\Z)"
+    rf"|\n(?=[!-~{_L}])|(?s:.+?)(?=[ \n][!-~{_L}]|\Z)"
+)
+#: A worker keeps the counts of pieces up to so many characters, and forgets all beyond so many pieces.
+KEPT, KNOWN = 64, 1 << 19
 
 
 @cache
@@ -33,16 +43,55 @@ def _tokenizer(name: str):
     return own
 
 
+@cache
+def _pieced(vocabulary: str) -> bool:
+    """Whether PIECE cuts only where the vocabulary's pre-tokenizer does."""
+    from tokenizers import models, pre_tokenizers
+
+    own = _tokenizer(vocabulary)
+    pre, model = own.pre_tokenizer, own.model
+    plain = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+    return plain and own.normalizer is None and isinstance(model, models.BPE) and not model.dropout
+
+
+@cache
+def _known(vocabulary: str) -> dict[str, int]:
+    return {}
+
+
+def _counts(texts: list[str], vocabulary: str) -> list[int]:
+    """Tokens of each text: the library encodes each distinct piece once, as long as the worker knows it.
+
+    Pieces end where the byte-level pre-tokenizer cuts whatever stands around: behind a run of letters, digits or signs (an
+    apostrophe may begin a contraction, so it ends none), and before the last of white space that something visible follows.
+    Tokens never cross its cuts, so counts add up. A text that holds a special string is one piece.
+    """
+    encode = lambda x: map(len, _tokenizer(vocabulary).encode_batch_fast(x, add_special_tokens=False))
+    if not _pieced(vocabulary):
+        return list(encode(texts))
+    known, held = _known(vocabulary), _special_strings(vocabulary)
+    pieces = [[t] if any(x in t for x in held) else PIECE.findall(t) for t in texts]
+    new = list(set().union(*pieces) - known.keys())
+    known.update(zip(new, encode(new), strict=True))
+    out = [sum(map(known.__getitem__, p)) for p in pieces]
+    for p in new:
+        if len(p) > KEPT:
+            del known[p]
+    if len(known) > KNOWN:
+        known.clear()
+    return out
+
+
 def count_tokens(texts: list[str], vocabulary: str = VOCABULARY) -> list[int]:
     """Tokens of each text, in batches of about a million characters."""
-    own, out, part, size = _tokenizer(vocabulary), [], [], 0
+    out, part, size = [], [], 0
     for t in texts:
         part.append(t)
         size += len(t)
         if size > 1_000_000:
-            out += [len(e) for e in own.encode_batch_fast(part, add_special_tokens=False)]
+            out += _counts(part, vocabulary)
             part, size = [], 0
-    return out + [len(e) for e in own.encode_batch_fast(part, add_special_tokens=False)]
+    return out + _counts(part, vocabulary)
 
 
 def count_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -53,10 +102,15 @@ def count_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return count(text)
 
 
+@cache
+def _special_strings(vocabulary: str) -> tuple[str, ...]:
+    return tuple(t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values())
+
+
 @cache
 def _special(vocabulary: str) -> tuple[frozenset[str], int, bool]:
     """Characters of the special strings, the length of the longest, whether one is letters alone."""
-    held = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values()]
+    held = _special_strings(vocabulary)
     return frozenset("".join(held)), max(map(len, held), default=0), any(t.isalpha() for t in held)
 
 

@@ -333,3 +333,34 @@ def test_tokens_without_blanks(kind):
             spliced += 1
             assert sum(p[0] for p in parts) == len(own.encode(text, add_special_tokens=False))
     assert spliced or kind == "special"
+
+
+def test_pieces_count_as_whole_texts():
+    """Pieces add up to what the library gives for the whole text, whatever stands side by side."""
+    draw, own = random.Random(4), tokens._tokenizer(tokens.VOCABULARY)
+    pool = [*" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000\u200b\u0301'\u2019aZ09_.,-#\u00aa\u00b5\u00d7\u00e9\u0250\u4e00\u0661\u00b2\U0001f600"]
+    pool += ["  ", "\n\n", " '", "'s", "'re", "don't", "<|", "|>", "endoftext", "<|endoftext|>", " word", "\u00e9t\u00e9", "\r\n", "\x00", "x" * 70]
+    texts = ["", *("".join(draw.choices(pool, k=draw.choice([1, 2, 3, 5, 9, 60]))) for _ in range(20_000))]
+    assert all("".join(tokens.PIECE.findall(t)) == t for t in texts)
+    assert tokens.count_tokens(texts) == [len(own.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    own, seen = tokens._tokenizer(tokens.VOCABULARY), []
+
+    class Recorder:
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return own.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokens, "_tokenizer", lambda _: Recorder())
+    draw = random.Random(6)
+    texts = [" ".join(draw.choices([f"word{chr(97 + k)}" for k in range(26)], k=500)) + "." for _ in range(300)]
+    want = [len(own.encode(t, add_special_tokens=False)) for t in texts]
+    assert tokens.count_tokens(texts) == want and tokens.count_tokens(texts[::-1]) == want[::-1]
+    assert sum(map(len, seen)) < 2000
+    monkeypatch.setattr(tokens, "KNOWN", 5)
+    assert tokens.count_tokens(texts) == want and len(tokens._known(tokens.VOCABULARY)) == 0
